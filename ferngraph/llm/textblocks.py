@@ -47,11 +47,9 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def _hash_block(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and at which word each text starts."""
-    n = len(buf)
-    if n == 0:
-        return np.empty(0, U), np.zeros(len(bounds), np.int64)
+def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last-but-one byte of all words of a block of texts, and at
+    which word each text starts."""
     word = ~_SPACE[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -61,12 +59,29 @@ def _hash_block(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     heads, tails = bounds[:-1][full], bounds[1:][full] - 1
     first[heads] = word[heads]
     last[tails] = word[tails]
-    s, t = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _pow(n)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((_LOWER[buf].astype(U) + U(1)) * up[:n], out=sums[1:])
-    h = (sums[t] - sums[s]) * down[s] + (t - s).astype(U) * U(0xC2B2AE3D27D4EB4F)
-    return mix(h), np.searchsorted(s, bounds)
+    s = np.flatnonzero(first)
+    return s, np.flatnonzero(last) + 1, np.searchsorted(s, bounds)
+
+
+class Hasher:
+    """Hashes of any byte ranges of a block, A-Z lower-cased."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        up, self.down = _pow(n)
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum((_LOWER[buf].astype(U) + U(1)) * up[:n], out=self.sums[1:])
+
+    def __call__(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return mix((self.sums[t] - self.sums[s]) * self.down[s] + (t - s).astype(U) * U(0xC2B2AE3D27D4EB4F))
+
+
+def _hash_block(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and at which word each text starts."""
+    if len(buf) == 0:
+        return np.empty(0, U), np.zeros(len(bounds), np.int64)
+    s, t, start = word_spans(buf, bounds)
+    return Hasher(buf)(s, t), start
 
 
 def _hash_long(buf: np.ndarray) -> np.ndarray:
@@ -100,19 +115,26 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Blocks of texts: number of the first text, hashes of all words of the
-    block, and at which word each text starts (one more entry than texts)."""
+def blocks(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about BLOCK bytes: number of the first text,
+    bytes, and where each text starts (one more entry than texts)."""
     buf, off = utf8(col)
     at = 0
     while at < len(off) - 1:
         end = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK, "right")) - 1)
-        if off[end] - off[at] > 2 * BLOCK:
-            h = _hash_long(buf[off[at] : off[end]])
+        yield at, buf[off[at] : off[end]], off[at : end + 1] - off[at]
+        at = end
+
+
+def words(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of texts: number of the first text, hashes of all words of the
+    block, and at which word each text starts (one more entry than texts)."""
+    for at, buf, bounds in blocks(col):
+        if len(buf) > 2 * BLOCK:
+            h = _hash_long(buf)
             yield at, h, np.array([0, len(h)])
         else:
-            yield at, *_hash_block(buf[off[at] : off[end]], off[at : end + 1] - off[at])
-        at = end
+            yield at, *_hash_block(buf, bounds)
 
 
 def shingle_sets(col: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
