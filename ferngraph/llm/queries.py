@@ -6,18 +6,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ferngraph.llm.common import table
+from ferngraph.llm import compaction, line_dedup, ngram_join, packing, permutation_index, piece_sampling, pii, token_files, toxicity, va_search
+from ferngraph.llm.common import table, workdir
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ferngraph.llm.ngram_join import ngram_join
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+    return files.digest(spark)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
-    return ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+def op6_va_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = compaction.shard(table(spark, sf_dir, "documents"), workdir(spark, "shards"))
+    return compaction.digest(store.read())
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_token_files, op3_toxicity, op4_line_dedup, op5_piece_sampling, op6_va_top_k, op7_permutation_index, op8_pii, op9_sharding, op10_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op6_va_top_k": va_search.ORACLE,
+    "op9_sharding": compaction.ORACLE,
+}
