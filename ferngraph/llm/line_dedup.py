@@ -42,7 +42,8 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     text of fewer lines than a window stays as it is, so do null texts (0 lines)
     and rows without doc_id. Rows of equal doc_id and text count as one
     document. A run of one repeated line keeps the first line. An empty table
-    gives an empty result. Other columns, of whatever names but those two, stay.
+    gives an empty result. Other columns stay; n_lines and n_removed replace any of
+    those names.
     """
     work = workdir(docs.sparkSession, "line-dedup")
     key = F.xxhash64(text_col)
@@ -54,16 +55,17 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     place = F.struct("d", "k", "p")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
-    covered = later.groupBy("d", "k").agg(F.sort_array(F.collect_set("p")).alias("_starts"))
-    lines = _lines(F.col(text_col))
-    joined = docs.withColumn("_k", key).join(covered.select(F.col("d").alias("_d"), F.col("k").alias("_k2"), "_starts"), (F.col(id_col) == F.col("_d")) & (F.col("_k") == F.col("_k2")), "left")
-    kept = _kept(lines, F.col("_starts"), window)
-    cleaned = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(n_lines)
-    removed = F.when(F.col("_starts").isNull(), 0).otherwise(F.size(lines) - F.size(kept))
-    columns = [cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    covered = later.groupBy("d", "k").agg(F.sort_array(F.collect_set("p")).alias("starts"))
+    # docs as one struct, so that no column name meets another; and in steps,
+    # since a lambda would take a new column `text` for the old one
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col(id_col).alias("d"), key.alias("k"), F.col(text_col).alias("t"))
+    rows = rows.join(covered, ["d", "k"], "left").withColumn("ls", _lines(F.col("t")))
+    rows = rows.withColumn("kept", F.when(F.col("starts").isNotNull(), _kept(F.col("ls"), F.col("starts"), window)))
+    n_lines = F.when(F.col("t").isNull(), 0).otherwise(F.size("ls")).cast("long")
+    removed = F.when(F.col("kept").isNull(), 0).otherwise(F.size("ls") - F.size("kept")).cast("long")
+    rows = rows.select("r", n_lines.alias("n"), removed.alias("gone"), F.coalesce(F.array_join("kept", "\n"), "t").alias("cleaned"))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return rows.select(*[F.col("cleaned").alias(c) if c == text_col else F.col(f"r.`{c}`").alias(c) for c in others], F.col("n").alias("n_lines"), F.col("gone").alias("n_removed"))
 
 
 ORACLE = """

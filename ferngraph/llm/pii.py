@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import workdir, written
+from ferngraph.llm.common import ship, workdir, written
 
 #: In the order that breaks ties of position.
 KINDS = ("email", "ip", "card", "phone")
@@ -159,6 +159,26 @@ def score_graph(edges: DataFrame, work: str, rounds: int = 3, damping: float = 3
     return patterns
 
 
+def bootstrap(rows: DataFrame, reliability: float, rounds: int) -> DataFrame:
+    """(row, base, spans) of rows (row, text); row is a key of any type."""
+    work = workdir(rows.sparkSession, "pii")
+    kind = rows.schema["row"].dataType.simpleString()
+    found = written(rows.mapInArrow(_found, f"row {kind}, spans array<{SPAN}>, slots array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>"), f"{work}/found")
+    slots = found.where(F.size("slots") > 0).select("row", F.explode("slots").alias("s")).select("row", "s.*")
+    places = slots.select("instance", "kind", F.explode("patterns").alias("pattern"))
+    edges = written(places.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.count("*").alias("n")), f"{work}/edges")
+    good = score_graph(edges, f"{work}/graph", rounds).where(F.col("reliability") >= reliability)
+    good = good.groupBy("pattern").agg(F.max(F.struct("reliability", -F.col("kind"))).alias("m")).select("pattern", (-F.col("m.col2")).alias("of"), F.col("m.reliability").alias("reliability"))
+    new = slots.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    new = new.groupBy("row", "start", "end").agg(F.max(F.struct("reliability", -F.col("of"))).alias("m"))
+    new = new.select("row", F.struct((-F.col("m.col2")).cast("int").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("s"))
+    added = new.groupBy("row").agg(F.collect_list("s").alias("added"))
+    every = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    every = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    out = found.select("row", F.col("spans").alias("base")).join(added.withColumnRenamed("row", "row2"), F.col("row").eqNullSafe(F.col("row2")), "left")
+    return out.select("row", "base", F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))).alias("spans")).select("row", "base", every.alias("spans"))
+
+
 def find_pii(docs: DataFrame, reliability: float = 0.6, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, base and spans, arrays of (kind,
     start, end) with kind a place in KINDS, positions in code points, end
@@ -169,23 +189,8 @@ def find_pii(docs: DataFrame, reliability: float = 0.6, rounds: int = 3, id_col:
     doc_id stays null; an empty table gives an empty result. Columns besides
     the two named are not read.
     """
-    work = workdir(docs.sparkSession, "pii")
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("k")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    found = written(rows.mapInArrow(_found, f"row struct<doc_id: bigint, k: bigint>, spans array<{SPAN}>, slots array<struct<kind: int, start: int, end: int, instance: string, patterns array<string>>>".replace("patterns array", "patterns: array")), f"{work}/found")
-    slots = found.where(F.size("slots") > 0).select("row", F.explode("slots").alias("s")).select("row", "s.*")
-    places = slots.select("instance", "kind", F.explode("patterns").alias("pattern"))
-    edges = written(places.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.count("*").alias("n")), f"{work}/edges")
-    good = score_graph(edges, f"{work}/graph", rounds).where(F.col("reliability") >= reliability)
-    good = good.groupBy("pattern").agg(F.max(F.struct("reliability", -F.col("kind"))).alias("m")).select("pattern", (-F.col("m.col2")).alias("of"), F.col("m.reliability").alias("reliability"))
-    new = slots.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
-    new = new.groupBy("row", "start", "end").agg(F.max(F.struct("reliability", -F.col("of"))).alias("m"))
-    new = new.select("row", F.struct((-F.col("m.col2")).cast("int").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("s"))
-    added = new.groupBy("row").agg(F.collect_list("s").alias("added"))
-    out = found.select("row", "spans").join(added, "row", "left")
-    every = F.concat("spans", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
-    every = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    every = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.select(F.col("row.doc_id").alias("doc_id"), F.col("row.k").alias("row_id"), F.col("spans").alias("base"), every.alias("spans"))
+    return bootstrap(rows, reliability, rounds).select("row.doc_id", "base", "spans")
 
 
 def span_text(spans):
@@ -216,13 +221,17 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[batch.column(k) for k in range(2, batch.num_columns)]], ["text", *batch.schema.names[2:]])
 
 
-def mask_pii(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with every span replaced by its kind in brackets;
-    overlapping spans give one replacement. Columns stay; a null text stays null."""
-    work = workdir(docs.sparkSession, "pii-mask")
-    others = [c for c in docs.columns if c != "text"]
-    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"), *others), f"{work}/rows")
-    found = find_pii(numbered, id_col="_row", **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans"))
-    rows = numbered.join(found, "_row", "left").select("text", "_spans", *others)
-    schema = ", ".join(["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])])
-    return rows.mapInArrow(_masked, schema).select(*docs.columns)
+def mask_pii(docs: DataFrame, reliability: float = 0.6, rounds: int = 3) -> DataFrame:
+    """The rows of docs with every span of `text` replaced by its kind in
+    brackets; overlapping spans give one replacement. Columns stay; a null text
+    stays null. Only texts with a digit or an @ are searched and moved."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col("text").cast("string").alias("t"))
+    may = F.coalesce(F.regexp_like("t", F.lit("[0-9@]")), F.lit(False))
+    keyed = rows.where(may).withColumn("k", F.xxhash64("t")).withColumn("k2", F.xxhash64(F.lit(1), "t"))
+    distinct = keyed.select(F.struct("k", "k2").alias("row"), F.col("t").alias("text"))
+    spans = bootstrap(distinct, reliability, rounds).where(F.size("spans") > 0).select("row.k", "row.k2", "spans").dropDuplicates(["k", "k2"])
+    joined = keyed.join(spans, ["k", "k2"], "left").select("t", "spans", "r")
+    kind = joined.schema["r"].dataType.simpleString()
+    masked = joined.mapInArrow(_masked, f"text string, r {kind}").unionByName(rows.where(~may).select(F.col("t").alias("text"), "r"))
+    return masked.select(*[F.col("text") if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])

@@ -184,7 +184,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows whose score is below the threshold, with their columns."""
-    model = train(docs, labels)
-    cols = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumn("_text", F.col("text"))
-    return score(rows, model, [*cols, "_text"]).where(F.col("score") < threshold).select(*[F.col("_text").alias(c) if c == "text" else c for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col("text"))
+    kept = score(rows, train(docs, labels), ["r"]).where(F.col("score") < threshold)
+    return kept.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
