@@ -20,6 +20,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,8 +33,8 @@ from ferngraph.llm.common import ship
 from ferngraph.llm.textblocks import U, mix
 
 MARK = "▁"
-#: Edges of filtered lattices that a worker keeps before it starts afresh (about 120 MB).
-EDGES = 4_000_000
+#: Edges of filtered lattices that a worker keeps before it starts afresh (about 130 MB).
+EDGES = 2_500_000
 #: Characters drawn together.
 CHARS = 1 << 20
 _PART = re.compile("▁+[^▁]*")
@@ -68,9 +69,9 @@ class Pieces:
     def clear(self) -> None:
         self.node: dict[str, int] = {}  # of a part: the node at its end
         self.n_nodes = 1  # node 0 is every part's start
-        self.cdf: list[float] = []  # node + cumulated share of its edges
-        self.to: list[int] = []
-        self.piece: list[int] = []
+        self.cdf = array("d")  # node + cumulated share of its edges
+        self.to = array("q")
+        self.piece = array("i")
         self.arrays = None
 
     def add(self, part: str, standin: str | None) -> int:
@@ -130,7 +131,7 @@ class Pieces:
         """Sampled ids of each text; keys: a 64-bit seed for each."""
         ends = [self.parts(t) if t else [] for t in texts]
         if self.arrays is None:
-            self.arrays = np.array(self.cdf), np.array(self.to, np.int64), np.array(self.piece, np.int32)
+            self.arrays = np.array(self.cdf), np.array(self.to), np.array(self.piece)
         cdf, to, piece = self.arrays
         counts = np.array([len(e) for e in ends])
         at = np.array([k for e in ends for k in e], np.int64)
