@@ -14,7 +14,7 @@ used:
   [2^k, 2^(k+1)) of the larger set. Where a set has no more than d blocks that
   aren't empty, both sets of a pair that could be missed are such sets, and
   these also get their d+1 smallest hashes as keys.
-* A narrow sketch of about as many bits as elements: candidates whose narrow
+* Narrow sketches of one, then WIDE bits per element: candidates whose narrow
   sketches differ in more than d bits are no links.
 
 What remains is verified on the texts, so the result is exact up to 64-bit
@@ -40,6 +40,8 @@ from ferngraph.llm.textblocks import U, mix, shingle_sets
 
 #: Sets of a bucket that one task tests against each other or another block.
 BUCKET = 256
+#: Bits per element of the sketch that decides which pairs are verified.
+WIDE = 8
 _K = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], U)
 
 
@@ -61,7 +63,7 @@ def sketch_keys(u: np.ndarray, percent: int) -> np.ndarray:
         if d == 0:
             continue
         band = U(low * int(_K[2]) & 0xFFFFFFFFFFFFFFFF)
-        m = max(2, 4 * most_apart(low, 100 * low // percent, percent))
+        m = max(2, 5 * most_apart(low, 100 * low // percent, percent) // 2)
         block = ((u >> U(32)) * U(m)) >> U(32)
         starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         content = np.bitwise_xor.reduceat(mix(u ^ _K[0]), starts)
@@ -75,9 +77,9 @@ def sketch_keys(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, U)
 
 
-def narrow_sketch(u: np.ndarray) -> bytes:
-    """Parity of the elements at each of 64 or more bits."""
-    width = max(64, 1 << (len(u) - 1).bit_length())
+def narrow_sketch(u: np.ndarray, per_element: int) -> bytes:
+    """Parity of the elements at each of 64 or more bits, so many per element."""
+    width = max(64, per_element << (len(u) - 1).bit_length())
     return np.packbits((np.bincount((u & U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
@@ -87,59 +89,74 @@ def _sketches(width: int, percent: int):
             ids = batch.column(0)
             size = np.zeros(len(ids), np.int64)
             h = np.zeros((2, len(ids)), U)
-            sketch, keys, count = [], [], np.zeros(len(ids), np.int64)
+            sketch, wide, keys, count = [], [], [], np.zeros(len(ids), np.int64)
             seen: set[tuple[int, int, int]] = set()  # of this batch: copies need their keys once
             for i, u in shingle_sets(batch.column(1), width):
                 size[i] = n = len(u)
+                sketch.append(b"")
+                wide.append(b"")
                 if not n:
-                    sketch.append(b"")
                     continue
                 h[0, i], h[1, i] = u.sum(dtype=U), np.bitwise_xor.reduce(mix(u ^ _K[1]))
                 one = (n, int(h[0, i]), int(h[1, i]))
                 if one in seen:
-                    sketch.append(b"")
                     continue
                 seen.add(one)
                 k = sketch_keys(u, percent)
-                sketch.append(narrow_sketch(u) if len(k) else b"")
+                if len(k):
+                    sketch[-1], wide[-1] = narrow_sketch(u, 1), narrow_sketch(u, WIDE)
                 keys.append(k)
                 count[i] = len(k)
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(sketch, pa.binary()), lists], ["doc_id", "n", "h1", "h2", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), lists], ["doc_id", "n", "h1", "h2", "sketch", "wide", "keys"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: those whose key has several documents, with the
-    block of BUCKET documents that each lies in. Holds one batch at a time."""
-    last, rank, held = None, 0, None  # key of the row before, rows of it so far, its first row if not yet given out
-    for batch in batches:
-        key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(starts, append=len(key))
-        ranks = np.arange(len(key)) - np.repeat(starts, sizes)
-        goes_on = last is not None and key[0] == last
-        keep = np.repeat(sizes > 1, sizes)
-        if goes_on:
-            ranks[: sizes[0]] += rank
-            keep[: sizes[0]] = True
+def _shared(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key and size: those that have a row of the same key
+        whose size allows a link, with the block of BUCKET rows they lie in, and
+        of that block the first row of a run of like sizes and the row before.
+        Holds one batch; the last row waits until the next is known."""
+        held = None  # key, n, doc_id, rank in its key, first of its run, whether it goes on from the row before, that row
+        for batch in batches:
+            key, n, doc = (batch.column(k).to_numpy() for k in range(3))
+            if not len(key):
+                continue
+            if held is not None:
+                key, n, doc = (np.concatenate(([h], x)) for h, x in zip(held, (key, n, doc)))
+            same = np.concatenate(([False], key[1:] == key[:-1]))
+            idx = np.arange(len(key))
+            rank = idx - np.maximum.accumulate(np.where(same, 0, idx))
             if held is not None:
-                yield _rows([held[0]], [0], [held[1]])
-                held = None
-        last, rank = int(key[-1]), int(ranks[-1]) + 1
-        if not keep[-1]:
-            held = (int(key[-1]), int(doc[-1]))
-        elif rank > 1:
-            held = None
-        yield _rows(key[keep], ranks[keep] // BUCKET, doc[keep])
+                rank[: len(key) if same[1:].all() else 1 + int(np.argmin(same[1:]))] += held[3]
+            like = same & np.concatenate(([False], 100 * n[:-1] >= percent * n[1:]))
+            goes_on = like & (rank % BUCKET != 0)
+            start = np.maximum.accumulate(np.where(goes_on, 0, idx))
+            first, before = doc[start], np.concatenate((doc[:1], doc[:-1]))
+            if held is not None:
+                first[start == 0] = held[4]
+                like[0], goes_on[0], before[0] = held[5], held[4] != held[2], held[6]
+            keep = like | np.concatenate((like[1:], [False]))
+            keep[-1] = False
+            held = int(key[-1]), int(n[-1]), int(doc[-1]), int(rank[-1]), int(first[-1]), bool(like[-1]), int(before[-1])
+            yield _rows(key, rank // BUCKET, doc, n, first, before, goes_on, keep)
+        if held is not None and held[5]:
+            one = [np.array([x]) for x in held]
+            yield _rows(one[0], one[3] // BUCKET, one[2], one[1], one[4], one[6], one[4] != one[2], np.array([True]))
+
+    return run
+
+
+SHARED = "key long, block long, doc_id long, n long, first long, before long"
 
 
-def _rows(key, block, doc) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(doc, pa.int64())], ["key", "block", "doc_id"])
+def _rows(key, block, doc, n, first, before, goes_on, keep) -> pa.RecordBatch:
+    none = ~goes_on[keep]
+    cols = [pa.array(x[keep], pa.int64()) for x in (key, block, doc, n)] + [pa.array(x[keep], pa.int64(), mask=none) for x in (first, before)]
+    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SHARED.split(", ")])
 
 
 class _Rows:
@@ -154,21 +171,23 @@ class _Rows:
         self.at, self.width = off[:-1], np.diff(off)
         self.buf = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.empty(0, np.uint8)
 
-    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the pairs' sizes and narrow sketches allow a link."""
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the pairs' sizes and narrow sketches allow a link, and in
+        how many bits the sketches differ."""
         p = self.percent
         small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
         ok = (100 * small >= p * large) & (self.doc[i] != self.doc[j])
         most = (100 - p) * (small + large) // (100 + p)
         w = np.minimum(self.width[i], self.width[j])
+        bits = np.zeros(len(i), np.int64)
         for width in np.unique(w[ok]):
             of = np.flatnonzero(ok & (w == width))
             step = max(1, (1 << 22) // max(1, int(width)))
             for k in range(0, len(of), step):
                 part = of[k : k + step]
-                apart = np.bitwise_count(self._take(i[part], width) ^ self._take(j[part], width)).sum(1, dtype=np.int64)
-                ok[part] = apart <= most[part]
-        return ok
+                bits[part] = np.bitwise_count(self._take(i[part], width) ^ self._take(j[part], width)).sum(1, dtype=np.int64)
+                ok[part] = bits[part] <= most[part]
+        return ok, bits
 
     def _take(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Sketches of these rows, folded to width bytes."""
@@ -212,52 +231,71 @@ def _starts(table: pa.Table, by: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _first_tests(percent: int):
+NEAR = "key long, block long, doc_id long, n long"
+
+
+def _pairs(table: pa.Table, percent: int) -> Iterator[tuple[_Rows, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (row, row, sketch distance) of a bucket, or of two blocks of it,
+    that aren't connected yet and may link; with the rows and their labels."""
+    by = ["key", "one", "two"]
+    rows, starts = _Rows(table, percent), _starts(table, by)
+    label, block = table["label"].to_numpy(), table["block"].to_numpy()
+    one, two = table["one"].to_numpy(), table["two"].to_numpy()
+    for s, e in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
+        if label[s:e].min() == label[s:e].max():
+            continue
+        i, j = np.triu_indices(e - s, 1)
+        i, j = i + s, j + s
+        ok = label[i] != label[j]
+        if one[s] != two[s]:
+            ok &= block[i] != block[j]
+        i, j = i[ok], j[ok]
+        ok, bits = rows.may_link(i, j)
+        yield rows, label, i[ok], j[ok], bits[ok]
+
+
+def _near_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document with the first of its bucket block, else with the one
-        before it, if their sketches allow a link."""
-        for table in _groups(batches, ["key", "block"]):
-            rows, starts = _Rows(table, percent), _starts(table, ["key", "block"])
-            first = np.repeat(starts, np.diff(starts, append=table.num_rows))
-            i = np.flatnonzero(first != np.arange(table.num_rows))
-            j = first[i]
-            ok = rows.may_link(i, j)
-            i2 = i[~ok & (j != i - 1)]
-            ok2 = rows.may_link(i2, i2 - 1)
-            a, b = np.concatenate((i[ok], i2[ok2])), np.concatenate((j[ok], i2[ok2] - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows.doc[a]), pa.array(rows.doc[b])], ["a", "b"])
+        """Rows that may link with a row of another component in their bucket."""
+        names = [c.split()[0] for c in NEAR.split(", ")]
+        for table in _groups(batches, ["key", "one", "two"]):
+            keep = np.zeros(table.num_rows, bool)
+            for _, _, i, j, _ in _pairs(table, percent):
+                keep[i] = keep[j] = True
+            yield from table.select(names).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
-def _rest_tests(percent: int):
+def _rest_tests(percent: int, nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All pairs of a bucket (of two blocks of it) that aren't connected
-        yet and whose sketches allow a link."""
-        by = ["key", "one", "two"]
-        for table in _groups(batches, by):
-            rows, starts = _Rows(table, percent), _starts(table, by)
-            label, block = table["label"].to_numpy(), table["block"].to_numpy()
-            one, two = table["one"].to_numpy(), table["two"].to_numpy()
-            found: set[tuple[int, int]] = set()
-            for s, e in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
-                if label[s:e].min() == label[s:e].max():
-                    continue
-                i, j = np.triu_indices(e - s, 1)
-                i, j = i + s, j + s
-                ok = label[i] != label[j]
-                if one[s] != two[s]:
-                    ok &= block[i] != block[j]
-                i, j = i[ok], j[ok]
-                ok = rows.may_link(i, j)
-                x, y = rows.doc[i[ok]], rows.doc[j[ok]]
-                found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-            a, b = zip(*sorted(found), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        """Pairs to verify: all, or of each component (x) the nearest one. A
+        task gives out each once, and lets go of them by the million."""
+        best: dict = {}
+        for table in _groups(batches, ["key", "one", "two"]):
+            for rows, label, i, j, bits in _pairs(table, percent):
+                a, b = np.minimum(rows.doc[i], rows.doc[j]).tolist(), np.maximum(rows.doc[i], rows.doc[j]).tolist()
+                if nearest:
+                    for x in (label[i], label[j]):
+                        for k, v in zip(x.tolist(), zip(bits.tolist(), a, b, strict=True), strict=True):
+                            if k not in best or v < best[k]:
+                                best[k] = v
+                else:
+                    best.update(((p, (0, *p)) for p in zip(a, b, strict=True)))
+            if len(best) > 1_000_000:
+                yield _tests(best, nearest)
+                best = {}
+        yield _tests(best, nearest)
 
     return run
 
 
+def _tests(best: dict, nearest: bool) -> pa.RecordBatch:
+    bits, a, b = zip(*best.values(), strict=True) if best else ((), (), ())
+    x = list(best) if nearest else [0] * len(a)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (x, bits, a, b)], ["x", "bits", "a", "b"])
+
+
 def _verified(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by pair: the pairs of which a text of one end links with
@@ -310,32 +348,49 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     work = workdir(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sets = written(docs.mapInArrow(_sketches(width, percent), "doc_id long, n long, h1 long, h2 long, sketch binary, keys array<long>"), f"{work}/sets")
+    sets = written(docs.mapInArrow(_sketches(width, percent), "doc_id long, n long, h1 long, h2 long, sketch binary, wide binary, keys array<long>"), f"{work}/sets")
 
     same = ["n", "h1", "h2"]
     classes = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
     copies = sets.select("doc_id", *same).join(classes, same).select(F.col("doc_id").alias("a"), "b")
 
-    keyed = sets.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "doc_id")
-    buckets = keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key long, block long, doc_id long")
-    sketch = sets.where(F.size("keys") > 0).select("doc_id", "n", "sketch")
-    shared = written(buckets.join(sketch, "doc_id").select("key", "block", "doc_id", "n", "sketch"), f"{work}/buckets")
+    keyed = sets.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "n", "doc_id")
+    shared = written(keyed.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_shared(percent), SHARED), f"{work}/buckets")
 
-    tests = shared.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id").mapInArrow(_first_tests(percent), "a long, b long")
-    tests = written(tests.groupBy("a").agg(F.min("b").alias("b")), f"{work}/first")
+    # each document with the neighbour it shares most buckets with
+    met = [shared.where(F.col(c).isNotNull()).select(F.col("doc_id").alias("a"), F.col(c).alias("b")) for c in ("first", "before")]
+    met = met[0].unionByName(met[1]).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    tests = met.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
+    tests = written(tests.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{work}/tests-0")
     links = verify(docs, tests, width, percent)
-    found = written(components(copies.unionByName(links), f"{work}/parts"), f"{work}/found")
-
-    label = found.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
-    labelled = shared.select("key", "block", "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("block").alias("top")).where("x < y").select("key", "top")
-    rest = shared.join(mixed, "key").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))))
-    rest = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "n", "sketch", "label")
-    rest = rest.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc_id").mapInArrow(_rest_tests(percent), "a long, b long")
-    rest = written(rest.distinct(), f"{work}/rest")
-    more = verify(docs, rest, width, percent)
-    parts = written(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), f"{work}/more"), f"{work}/components")
+    found = written(components(copies.unionByName(links), f"{work}/parts-0"), f"{work}/found-0")
+
+    # rows of buckets that hold several components and, by narrow sketch, a pair that may link
+    by = ["key", "one", "two"]
+
+    def blocks(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+        """Rows (key, block, doc_id, n) of mixed buckets, once for every block they are tested against."""
+        label = found.select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+        rows = rows.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("block").alias("top")).where("x < y").select("key", "top")
+        rows = rows.join(mixed, "key").join(sketch, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))))
+        rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "n", "sketch", "label")
+        return rows.repartition(*by).sortWithinPartitions(*by, "doc_id")
+
+    sketched = sets.where(F.size("keys") > 0)
+    near = blocks(shared.select("key", "block", "doc_id", "n"), sketched.select("doc_id", "sketch"))
+    near = written(near.mapInArrow(_near_rows(percent), NEAR).distinct(), f"{work}/near")
+
+    # by wide sketch: of each component the nearest other one, then all pairs left
+    done = tests
+    for k, nearest in ((1, True), (2, False)):
+        rest = blocks(near, sketched.select("doc_id", F.col("wide").alias("sketch"))).mapInArrow(_rest_tests(percent, nearest), "x long, bits long, a long, b long")
+        rest = rest.groupBy("x").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b") if nearest else rest.select("a", "b")
+        tests = written(rest.distinct().join(done, ["a", "b"], "left_anti"), f"{work}/tests-{k}")
+        done = done.unionByName(tests)
+        more = verify(docs, tests, width, percent)
+        known = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = written(components(known.unionByName(more), f"{work}/parts-{k}"), f"{work}/found-{k}")
 
     out = sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
-    return out.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
