@@ -15,7 +15,8 @@ from functools import cache
 
 import numpy as np
 
-#: Parts that a cache takes before it starts afresh (about 40 MB), and the longest kept.
+#: Parts that a worker's caches take together before they start afresh (with
+#: what is kept for one more round about 100 MB), and the longest part kept.
 PARTS, LONGEST = 250_000, 48
 #: White space as str.isspace has it: at least what the library's \s has.
 _BLANKS = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
@@ -31,23 +32,23 @@ _LINES = re.compile(r"(.*\S)\n(\S.*)", re.S)
 #: How byte-level vocabularies write each byte: printable Latin-1 as itself, the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MARK = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
-_MARKS = {b: _MARK[b] for b in range(128) if _MARK[b] != chr(b)}
 
 
 class _Parts(dict):
     """Ids, as little-endian bytes, of a part that follows `before`. When full,
     it keeps its entries for one more round, so frequent parts stay."""
 
-    def __init__(self, of: Encoder, before: str):
+    def __init__(self, of: Encoder, before: str, most: int):
         super().__init__()
-        self.of, self.before, self.old = of, before, {}
+        self.of, self.before, self.most, self.old = of, before, most, {}
+        self.lead = "".join(_MARK[b] for b in before.encode())
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
             ids = self._ids(part)
         if len(part) <= LONGEST:
-            if len(self) >= PARTS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[part] = ids
@@ -55,9 +56,12 @@ class _Parts(dict):
 
     def _ids(self, part: str) -> bytes:
         of = self.of
-        if of.cut and part.isalpha() and max(part) < "\u0250" and (low := part.lower()).isalpha():
-            word = part if of.cut == "space" else low
-            return of.encode_word(self.before + word)
+        if of.cut and part.isalpha():
+            if part.isascii():  # letters that stand for themselves
+                return of.encode_word(self.lead + (part if of.cut == "space" else part.lower()))
+            if max(part) < "\u0250" and (low := part.lower()).isalpha():
+                word = self.before + (part if of.cut == "space" else low)
+                return of.encode_word("".join(map(_MARK.__getitem__, word.encode())))
         if m := _TAIL.fullmatch(part):
             return self[m[1]] + of.bare[m[2]]
         if of.cut == "space" and "\n" in part and (m := _LINES.fullmatch(part)):
@@ -79,9 +83,10 @@ class Encoder:
             spec = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.cut = self._cut(spec)
-        self.bare, self.spaced = _Parts(self, ""), _Parts(self, " ")
+        rest = PARTS // 5 if self.cut == "space" else PARTS
+        self.bare, self.spaced = _Parts(self, "", rest), _Parts(self, " ", PARTS - PARTS // 5)
 
     @staticmethod
     def _cut(spec: dict) -> str:
@@ -93,10 +98,9 @@ class Encoder:
             return "blank"
         return ""
 
-    def encode_word(self, word: str) -> bytes:
-        """Ids of a pre-token, by the library's model alone."""
-        marks = word.translate(_MARKS) if word.isascii() else "".join(map(_MARK.__getitem__, word.encode()))
-        return array(self.code, [t.id for t in self.model.tokenize(marks)]).tobytes()
+    def encode_word(self, marks: str) -> bytes:
+        """Ids of a pre-token, as the vocabulary writes it, by the model alone."""
+        return array(self.code, [t.id for t in self.tokenize(marks)]).tobytes()
 
     def encode_plain(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
