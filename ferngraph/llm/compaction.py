@@ -4,7 +4,8 @@ A store is a folder of immutable runs (parquet files) and of numbered manifests.
 Arrivals are appended as small runs. Runs smaller than the target are put into
 tiers by size, each tier's sizes `fanout` times those of the one below; once a
 tier has `fanout` runs, its oldest are merged into one run of target-sized
-files. A version is committed by moving a finished manifest to its number, which
+files. Once no tier is full, runs of any size that lie in files far below the
+target are rewritten, each by itself. A version is committed by moving a finished manifest to its number, which
 fails if another writer took it; readers see one version or the next, never a
 mixture, and files that no version lists are never read. DataFrame functions
 only: a merge is a scan and a write, without a shuffle.
@@ -27,14 +28,20 @@ def tier(size: int, smallest: int, fanout: int) -> int:
     return max(0, math.floor(math.log(max(size, 1) / smallest, fanout) + 1e-9))
 
 
+def scattered(run: dict, target: int) -> bool:
+    """Whether the run lies in more than twice the files that its bytes fill."""
+    return len(run.get("files", ())) > 2 * max(1, math.ceil(run["bytes"] / target))
+
+
 def plan(runs: list[dict], target: int, smallest: int, fanout: int) -> list[list[str]]:
     """Groups of run ids to merge now: of each tier below the target, oldest
-    first, every `fanout` runs."""
+    first, every `fanout` runs; if no tier is full, every scattered run alone."""
     tiers: dict[int, list[str]] = {}
     for r in runs:
         if r["bytes"] < target:
             tiers.setdefault(tier(r["bytes"], smallest, fanout), []).append(r["id"])
-    return [ids[k : k + fanout] for _, ids in sorted(tiers.items()) for k in range(0, len(ids) - fanout + 1, fanout)]
+    full = [ids[k : k + fanout] for _, ids in sorted(tiers.items()) for k in range(0, len(ids) - fanout + 1, fanout)]
+    return full or [[r["id"]] for r in runs if scattered(r, target)]
 
 
 class CommitConflict(RuntimeError):
@@ -96,7 +103,7 @@ class ShardStore:
 
     def _run(self, folder: str, arrived: int) -> dict | None:
         files = [(s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
-        return {"id": folder, "arrived": arrived, "files": [f for f, _ in files], "bytes": sum(n for _, n in files)} if files else None
+        return {"id": folder, "arrived": arrived, "files": [f for f, _ in files], "sizes": [n for _, n in files], "bytes": sum(n for _, n in files)} if files else None
 
     # writing
 
@@ -117,12 +124,17 @@ class ShardStore:
 
     def _merge(self, runs: list[dict], schema: T.StructType) -> dict:
         folder = f"runs/{uuid.uuid4().hex}"
-        files = max(1, round(sum(r["bytes"] for r in runs) / self.target_bytes))
-        self._scan(runs, schema).coalesce(files).write.parquet(f"{self.root}/{folder}")
+        total, largest = sum(r["bytes"] for r in runs), max(max(r.get("sizes") or [r["bytes"]]) for r in runs)
+        # a partition takes files until the next would pass its most, so all but the last hold total / files at least
+        most = -(-total // max(1, round(total / self.target_bytes))) + largest
+        session = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+        for key, value in (("maxPartitionBytes", most), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+            session.conf.set(f"spark.sql.files.{key}", str(value))
+        session.read.schema(schema).parquet(*[f for r in runs for f in r["files"]]).write.parquet(f"{self.root}/{folder}")
         return self._run(folder, max(r["arrived"] for r in runs))
 
     def compact(self) -> dict:
-        """Merge until no tier is full; one committed version a round, whose
+        """Merge until no tier is full and no run is scattered; one committed version a round, whose
         superseded runs are deleted after the commit."""
         now = self.manifest()
         while groups := plan(now["runs"], self.target_bytes, self.smallest_bytes, self.fanout):

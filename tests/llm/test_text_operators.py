@@ -262,6 +262,23 @@ def test_store(spark):
     assert empty.read().count() == 0
 
 
+def test_store_far_above_the_target(spark):
+    df = docs(spark, [(k, " ".join(hashlib.sha256(f"{k} {j}".encode()).hexdigest() for j in range(20))) for k in range(1600)]).repartition(49)
+    target = 32 << 10
+    store = compaction.shard(df, workdir(spark, "store"), target_bytes=target, arrivals=16)
+    runs = store.manifest()["runs"]
+    assert sum(r["bytes"] for r in runs) > 3 * 16 * target  # every arrival is above the target
+    assert all(len(r["files"]) <= 2 * -(-r["bytes"] // target) for r in runs)
+    assert all(target / 2 <= r["bytes"] / len(r["files"]) <= 2 * target for r in runs)
+    assert store.read().drop("arrival").exceptAll(df).count() == 0 and store.read().count() == 1600
+
+
+def test_plan_rewrites_scattered_runs():
+    run = lambda k, size, n: {"id": f"r{k}", "bytes": size, "files": [f"f{j}" for j in range(n)]}
+    assert compaction.plan([run(0, 10_000, 200), run(1, 10_000, 10), run(2, 10, 1)], 1000, 10, 4) == [["r0"]]
+    assert compaction.plan([run(0, 10_000, 200), *(run(k, 10, 9) for k in range(1, 5))], 1000, 10, 4) == [["r1", "r2", "r3", "r4"]]
+
+
 def test_piece_sampling(spark):
     path = vocabulary("piece_bpe_32k.model")
     rows = [*ODD[:9], (20, "▁ marks ▁▁ and ﷐"), (21, "  two  spaces "), (22, "x" * 500)]
