@@ -22,8 +22,8 @@ from ferngraph.llm.vectors import best, in_blocks, matrix, usable
 
 #: Pivots, drawn from the vectors of the smallest hashes of vec_id; places kept of each permutation.
 PIVOTS, PLACES = 512, 128
-#: Share of the vectors that are reranked, and how many at least.
-SHARE, AT_LEAST = 0.1, 3000
+#: Share of the vectors of each block that are reranked, at every size; k at least.
+SHARE = 0.1
 
 
 def _permutations(pivots: np.ndarray, places: int):
@@ -51,15 +51,17 @@ def _search(n_pivots: int, places: int, share: float, k: int):
             by = np.argsort(perms.ravel(), kind="stable")
             vector, place = (by // places).astype(np.int32), (by % places).astype(np.int16)
             file = np.searchsorted(perms.ravel()[by], np.arange(n_pivots + 1))
-            keep = min(len(ids), math.ceil(share * len(ids)) + 1)
+            keep = max(k, math.ceil(share * len(ids)))
             for i, qid in enumerate(q_ids):
                 posts = [slice(file[p], file[p + 1]) for p in q_perms[i]]
                 vec = np.concatenate([vector[s] for s in posts])
                 own = np.repeat(np.arange(places, dtype=np.int16), [s.stop - s.start for s in posts])
                 saved = places - own - np.abs(own - np.concatenate([place[s] for s in posts]))
                 gain = np.bincount(vec, saved, len(ids)).astype(np.int64) * len(ids) - np.arange(len(ids))  # less footrule, then smaller id
-                near = np.argpartition(-gain, keep - 1)[:keep]
-                near = near[ids[near] != qid]
+                own_rows = slice(*np.searchsorted(ids, (qid, qid + 1)))
+                gain[own_rows] = -(1 << 62)
+                near = np.argpartition(-gain, min(keep, len(ids)) - 1)[:keep]
+                near = near[ids[near] != qid]  # its own rows, where others are fewer
                 score = (x[near] * q[i]).sum(1) / (norm[near] * np.sqrt((q[i] * q[i]).sum()))
                 top = np.lexsort((ids[near], -score))[:k]
                 out += zip([qid] * len(top), ids[near[top]].tolist(), score[top].tolist(), strict=True)
@@ -91,6 +93,5 @@ def nearest(table: DataFrame, is_query, k: int = 5, share: float = SHARE, id_col
     places = min(PLACES, len(pivots))
     index = written(rows.mapInArrow(_permutations(pivots, places), "vec_id long, places binary, v array<double>"), f"{work}/index")
     n, queries = index.count(), index.where(is_query)
-    share = max(share, min(1.0, AT_LEAST / n))
     found = in_blocks(index, queries, n, queries.count()).applyInArrow(_search(len(pivots), places, share, k), "query_id long, vec_id long, score double")
     return best(found, k)

@@ -57,3 +57,29 @@ def test_permutation_index(spark):
         assert all(abs(s[v] - c) < 1e-9 for _, v, c in got[q]) and [n for n, _, _ in sorted(got[q])] == [1, 2, 3, 4, 5]
     assert set(got) == set(range(0, 2000, 50)) and hits / (5 * len(got)) >= 0.9
     assert permutation_index.nearest(vectors(spark, ODD[:2]), F.lit(True)).count() == 0
+
+
+def test_permutation_index_reranks_its_share(spark):
+    n = 2000
+    rows = sample(n=n, seed=3)
+    x = np.array([e for _, e in rows], np.float32).astype(float)
+    norm = np.sqrt((x * x).sum(1))
+    table = vectors(spark, rows).repartition(3)
+
+    def recall(share):
+        got = permutation_index.nearest(table, F.col("vec_id") % 50 == 0, share=share).collect()
+        assert len(got) == 5 * n // 50
+        hits = 0
+        for q in range(0, n, 50):
+            s = np.delete(x @ x[q] / (norm * norm[q]), q)
+            hits += sum(r.score >= np.sort(s)[-5] - 1e-9 for r in got if r.query_id == q)
+        return hits / len(got)
+
+    assert recall(0.004) < recall(permutation_index.SHARE) and recall(permutation_index.SHARE) >= 0.9
+
+
+def test_permutation_index_of_few_vectors(spark):
+    rows = sample(n=100)[:20]
+    got = permutation_index.nearest(vectors(spark, rows), F.col("vec_id") == 19).collect()
+    assert len(got) == 5 and all(r.vec_id != 19 for r in got)
+    assert permutation_index.nearest(vectors(spark, rows[:3]), F.col("vec_id") == 0).count() == 2
