@@ -2,12 +2,12 @@
 
 Base entities (email, ip, card, phone) are found by pattern and check. They seed
 a search for identifiers that no pattern describes: every identifier-like token
-(one with several digits, or an @) is an instance, the words around it are its
+or run of number tokens (with several digits, or an @) is an instance, the words around it are its
 lexical patterns, and the corpus-wide table of (pattern, instance, count) is a
 bipartite graph. Spark scores it in rounds: a pattern is as reliable for a kind
 as the share of its instances believed to be of that kind, damped where few
 support it; an instance is as likely of a kind as its patterns together make it.
-Seeds stay certain. Tokens in the slots of patterns that end above the threshold
+Seeds stay certain. Instances in the slots of patterns that end above the threshold
 are added as spans of the pattern's kind.
 """
 
@@ -32,8 +32,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-#: Digits in a token that make it identifier-like.
+#: Digits in a token, or in a run of them, that make it identifier-like.
 DIGITS = 6
+_NUMBER = re.compile(r"[(+]*[0-9][0-9().-]*")
 _GAP = re.compile(r"\s")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&="
 SPAN = "struct<kind: int, start: int, end: int>"
@@ -74,8 +75,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
 
-def _tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens, without marks around them."""
+def _raw_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """White-space tokens with a digit or an @."""
     done, n = 0, len(text)
     for m in re.finditer(r"[0-9@]", text):
         if m.start() < done:
@@ -85,12 +86,42 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
             s -= 1
         gap = _GAP.search(text, m.end())
         e = done = gap.start() if gap else n
-        while s < e and text[s] in _EDGE:
-            s += 1
-        while e > s and text[e - 1] in _EDGE:
-            e -= 1
-        if s < e and (sum(c in "0123456789" for c in text[s:e]) >= DIGITS or "@" in text[s:e]):
-            yield s, e
+        yield s, e
+
+
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    """Without marks around, but with a bracket whose other half lies inside."""
+    first, last = s, e
+    while s < e and text[s] in _EDGE:
+        s += 1
+    while e > s and text[e - 1] in _EDGE:
+        e -= 1
+    if s > first and text[s - 1] == "(" and 0 <= text.find(")", s, e) < (text.find("(", s, e) + 1 or e + 1):
+        s -= 1
+    if e < last and text[e] == ")" and text.rfind("(", s, e) > text.rfind(")", s, e):
+        e += 1
+    return s, e
+
+
+def _instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Identifier-like slots outside the spans, without marks around them: tokens,
+    and longest runs of number tokens one space apart."""
+    by_start, k = sorted((s, e) for _, s, e in spans), 0
+    run: tuple[int, int, bool] | None = None  # start, end, whether of numbers
+    for first, last in [*_raw_tokens(text), (-1, -1)]:
+        s, e = _trimmed(text, first, last) if first >= 0 else (-1, -1)
+        while k < len(by_start) and by_start[k][1] <= s:
+            k += 1
+        free = s < e and (k == len(by_start) or by_start[k][0] >= e)
+        number = free and _NUMBER.fullmatch(text, s, e) is not None
+        if run and number and run[2] and first == run[1] + 1 and text[first - 1] == " " and text[first] in "(0123456789" and text[run[1] - 1] in ")0123456789":
+            run = (run[0], last, True)
+            continue
+        if run:
+            a, b = _trimmed(text, run[0], run[1])
+            if sum(c in "0123456789" for c in text[a:b]) >= DIGITS or "@" in text[a:b]:
+                yield a, b
+        run = (first, last, number) if free else None
 
 
 def _word_before(text: str, at: int) -> tuple[str, int]:
@@ -130,13 +161,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text) if text else []
             slots = [(k, s, e) for k, s, e in spans]
             if text:
-                k = 0
-                by_start = sorted((s, e) for _, s, e in spans)
-                for s, e in _tokens(text):
-                    while k < len(by_start) and by_start[k][1] <= s:
-                        k += 1
-                    if k == len(by_start) or by_start[k][0] >= e:
-                        slots.append((-1, s, e))
+                slots += [(-1, s, e) for s, e in _instances(text, spans)]
             all_spans.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
             all_slots.append([{"kind": k, "start": s, "end": e, "instance": hashlib.blake2b(text[s:e].lower().encode(), digest_size=12).hexdigest(), "patterns": contexts(text, s, e)} for k, s, e in slots])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_spans, spans_type), pa.array(all_slots, slots_type)], ["row", "spans", "slots"])

@@ -230,6 +230,25 @@ def test_pii_discovers_by_context(spark):
     assert got[3].base_sha256 == hashlib.sha256(got[3].spans.encode()).hexdigest() and got[3].n_phone == 1
 
 
+def test_pii_discovers_spaced_numbers(spark):
+    new = {50: "(017) 555-7713", 51: "030 123 456", 52: "4111 1111 1111 1112", 53: "030 (123) 45-67", 54: "017.555 7713"}
+    rows = [(k, f"some words first call me at +1 (017) 555-77{k:02d} if you can") for k in range(20)]
+    rows += [(k, f"please call me at {x} if it suits") for k, x in new.items()]
+    rows += [(60, "lot (017) 555-7713 of the sale"), (61, "please call me at 030 12 if it suits"), (62, "please call me at (030) 123 456. 7 of us")]
+    df = docs(spark, rows)
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(df)).collect()}
+    assert {k: got[k] for k in new} == {k: f"phone:18:{18 + len(x)}" for k, x in new.items()}
+    assert got[60] == got[61] == "" and got[62] == "phone:18:31"
+    masked = {r.doc_id: r.text for r in pii.mask_pii(df).collect()}
+    assert all(masked[k] == "please call me at [PHONE] if it suits" for k in new)
+
+
+def test_instances_of_pii():
+    found = lambda t: [t[s:e] for s, e in pii._instances(t, pii.base_spans(t))]
+    assert found("call 030 123 456 10.0.0.1 now") == ["030 123 456"] and found("id AB123456 7 or 12/34/5678, x@y") == ["AB123456", "12/34/5678", "x@y"]
+    assert found("see (555-266-1234) or 030  123 456, 12\n345 678") == ["555-266-1234", "123 456", "345 678"]
+
+
 def test_pii_odd_rows_and_masks(spark):
     rows = [*ODD, (30, "write to joe.doe@example.org, or 10.0.0.1"), (30, "write to joe.doe@example.org, or 10.0.0.1"), (None, "é a@b.cd")]
     df = docs(spark, rows, "row", "spans", "k", "t")
