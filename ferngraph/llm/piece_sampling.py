@@ -1,26 +1,26 @@
 """SentencePiece encoding by sampling, and decoding.
 
 The lattice of a text has an edge for every vocabulary piece that occurs in it;
-a character that no piece holds has its bytes. A segmentation's probability is
-proportional to the product of its pieces' weights, (1 + rank)^-alpha. Forward
-filtering sums the weights of all paths to each position; backward sampling
-draws the last piece, then the one before, each by its share of that sum, so
-segmentations are drawn exactly by their probability. Draws come from a hash of
-the row key, the place in the text and the step: the same row always gets the
-same ids, on any machine, in any order.
-
-No piece crosses from a letter to a following space mark, so the lattice falls
-apart at those places; equal parts share one filtered lattice, and the draws of
-all parts of a batch are made together.
+a character that is no piece of its own has one for its bytes. A segmentation's
+probability is proportional to the product of its pieces' weights,
+(1 + rank)^-alpha. Forward filtering sums the weights of all paths to each
+position; backward sampling draws the last piece, then the one before, each by
+its share of that sum, so segmentations are drawn exactly by their probability.
+Draws come from a hash of the row key, the place in the text and the step: the
+same row always gets the same ids, on any machine, in any order.
+
+Where no piece crosses from a letter to a following space mark, the lattice
+falls apart at those places, and equal parts share one filtered lattice. The
+lattices of all distinct parts of a block of texts are built together: a walk
+down the trie of pieces from every character at once, then a filter that goes
+from position to position over all parts at once.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,127 +33,224 @@ from ferngraph.llm.common import ship
 from ferngraph.llm.textblocks import U, mix
 
 MARK = "▁"
-#: Edges of filtered lattices that a worker keeps before it starts afresh (about 130 MB).
-EDGES = 2_500_000
-#: Characters drawn together.
+#: Stands for a MARK in the text; texts that are UTF-8 can't hold it.
+_OWN_MARK = "\ud800"
+#: Characters filtered and drawn together, long single texts aside.
 CHARS = 1 << 20
 _PART = re.compile("▁+[^▁]*")
-_STANDINS = [chr(c) for c in range(0xFDD0, 0xFDF0)]  # characters that mean nothing, for a MARK in the text
+_CHAR = 21  # bits of a code point
+
+
+class _Trie:
+    """Pieces as a trie: child of (node, character) by open addressing."""
+
+    def __init__(self, pieces: dict[str, int]):
+        child: dict[int, int] = {}
+        at: list[int] = [-1]
+        for text, i in pieces.items():
+            node = 0
+            for c in text:
+                key = node << _CHAR | ord(c)
+                node = child.setdefault(key, len(at))
+                if node == len(at):
+                    at.append(-1)
+            at[node] = i
+        self.piece = np.array(at, np.int32)
+        keys, values = np.array(list(child), np.int64), np.array(list(child.values()), np.int64)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slot = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several, the last stays
+            put = free[self.keys[slot[free]] == keys[free]]
+            self.values[slot[put]] = values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def children(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The child of each node by its character; -1 for none."""
+        keys = nodes << _CHAR | chars
+        slot = self._slot(keys)
+        seen = self.keys[slot]
+        out = np.where(seen == keys, self.values[slot], -1)
+        again = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(again):
+            slot[again] = (slot[again] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[slot[again]]
+            hit = seen == keys[again]
+            out[again[hit]] = self.values[slot[again[hit]]]
+            again = again[~hit & (seen >= 0)]
+        return out
 
 
 class Pieces:
-    """A vocabulary with weights, and the filtered lattices of parts."""
+    """A vocabulary with weights. A piece id of n or more stands for the bytes
+    of the character (id - n). A model without a piece for every byte is refused."""
 
     def __init__(self, path: str, alpha: float):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
+        n = self.n = sp.get_piece_size()
         self.ids: dict[str, int] = {}
-        self.byte = [-1] * 256
+        byte = [-1] * 256
         self.out: list[bytes] = [b""] * n
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
-                self.byte[int(piece[3:5], 16)] = i
+                byte[int(piece[3:5], 16)] = i
                 self.out[i] = bytes([int(piece[3:5], 16)])
             elif not sp.is_control(i) and not sp.is_unknown(i):
                 self.ids[piece] = i
                 self.out[i] = piece.replace(MARK, " ").encode()
+        if min(byte) < 0 or not self.ids:
+            raise ValueError(f"{path} lacks pieces for some bytes, so it can't encode every text")
+        self.byte = np.array(byte, np.int32)
         first = min(self.ids.values())
-        self.weight = {i: -alpha * math.log(1 + i - first) for i in self.ids.values()}
+        self.weight = {i: float(-alpha * np.log(1 + i - first)) for i in self.ids.values()}
+        self.log = np.zeros(n)
+        self.log[list(self.weight)] = list(self.weight.values())
+        self.rare = min(self.weight.values()) - 10 * alpha  # of each byte
         self.longest = max(map(len, self.ids))
-        self.rare = min(self.weight.values()) - 10 * alpha
-        self.clear()
-
-    def clear(self) -> None:
-        self.node: dict[str, int] = {}  # of a part: the node at its end
-        self.n_nodes = 1  # node 0 is every part's start
-        self.cdf = array("d")  # node + cumulated share of its edges
-        self.to = array("q")
-        self.piece = array("i")
-        self.arrays = None
-
-    def add(self, part: str, standin: str | None) -> int:
-        """Filter a part's lattice; its end node."""
-        n, ids, weight = len(part), self.ids, self.weight
-        nodes, log = [0] * (n + 1), [0.0] * (n + 1)
-        for e in range(1, n + 1):
-            edges = []
-            for s in range(max(0, e - self.longest), e):
-                i = ids.get(part[s:e])
-                if i is not None and log[s] is not None:
-                    edges.append((log[s] + weight[i], nodes[s], i))
-            c = part[e - 1]
-            if c not in ids:  # by its bytes, last first, through nodes of their own
-                raw = (MARK if c == standin else c).encode()
-                prev = nodes[e - 1]
-                for b in raw[:-1]:
-                    prev = self._add_node([(0.0, prev, self.byte[b])])
-                edges.append((log[e - 1] + self.rare * len(raw), prev, self.byte[raw[-1]]))
-            top = max(x[0] for x in edges)
-            log[e] = top + math.log(sum(math.exp(x[0] - top) for x in edges))
-            nodes[e] = self._add_node([(x[0] - log[e], x[1], x[2]) for x in edges])
-        return nodes[n]
-
-    def _add_node(self, edges: list[tuple[float, int, int]]) -> int:
-        k = self.n_nodes
-        self.n_nodes += 1
-        total = 0.0
-        for log, to, piece in edges:
-            total += math.exp(log)
-            self.cdf.append(k + min(total, 1.0))
-            self.to.append(to)
-            self.piece.append(piece)
-        self.cdf[-1] = k + 1.0
-        return k
-
-    def parts(self, text: str) -> list[int]:
-        """End nodes of a text's parts."""
-        standin = None
-        if MARK in text:
-            standin = next((c for c in _STANDINS if c not in text), None)
-            if standin is None:
-                raise ValueError("a text holds every stand-in for the space mark")
-            text = text.replace(MARK, standin)
-        node, out = self.node, []
-        for part in _PART.findall(MARK + text.replace(" ", MARK)):
-            k = node.get(part)
-            if k is None or standin is not None:
-                k = self.add(part, standin)
-                if standin is None and len(part) <= 64:
-                    node[part] = k
-                self.arrays = None
-            out.append(k)
-        return out
+        self.trie = _Trie(self.ids)
+        self.apart = not any(re.search(f"[^{MARK}]{MARK}", x) for x in self.ids)
+
+    def lattices(self, parts: list[str]) -> _Lattices:
+        return _Lattices(self, parts)
 
     def draw(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Sampled ids of each text; keys: a 64-bit seed for each."""
-        ends = [self.parts(t) if t else [] for t in texts]
-        if self.arrays is None:
-            self.arrays = np.array(self.cdf), np.array(self.to), np.array(self.piece)
-        cdf, to, piece = self.arrays
-        counts = np.array([len(e) for e in ends])
-        at = np.array([k for e in ends for k in e], np.int64)
+        known: dict[str, int] = {}
+        which: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            if text:
+                marked = MARK + text.replace(MARK, _OWN_MARK).replace(" ", MARK)
+                found = _PART.findall(marked) if self.apart else [marked]
+                counts[k] = len(found)
+                which += [known.setdefault(p, len(known)) for p in found]
+        if not which:
+            return [np.empty(0, np.int32) for _ in texts]
+        grid = self.lattices(list(known))
+        at = grid.end[np.array(which, np.int64)]
         place = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
         seed = mix(np.repeat(keys, counts) + place.astype(U) * U(0x9E3779B97F4A7C15))
         live, steps, length = np.arange(len(at)), [], np.zeros(len(at), np.int64)
         while len(live):
             u = (mix(seed[live] + U(len(steps) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> U(11)).astype(float) * 2.0**-53
-            edge = np.searchsorted(cdf, at[live] + u, "right")
-            steps.append((live, piece[edge]))
+            edge = grid.drawn(at[live], u)
+            steps.append((live, grid.piece[edge]))
             length[live] += 1
-            at[live] = to[edge]
+            at[live] = grid.source[edge]
             live = live[at[live] > 0]
         stop = np.cumsum(length)
-        ids = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
-        for k, (which, p) in enumerate(steps):
-            ids[stop[which] - 1 - k] = p
-        last = np.concatenate(([0], stop))[np.cumsum(counts)]
-        result = np.split(ids, last[:-1]) if len(last) else []
-        if len(self.to) > EDGES:
-            self.clear()
-        return result
+        ids = np.empty(int(stop[-1]), np.int32)
+        for k, (which_live, p) in enumerate(steps):
+            ids[stop[which_live] - 1 - k] = p
+        last = np.concatenate(([0], stop))[np.concatenate(([0], np.cumsum(counts)))]
+        if (ids >= self.n).any():
+            ids, last = self._with_bytes(ids, last)
+        return [ids[a:b] for a, b in zip(last[:-1].tolist(), last[1:].tolist(), strict=True)]
+
+    def _with_bytes(self, ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of n or more as the byte pieces of their characters."""
+        char = np.where(ids >= self.n, ids - self.n, 0)
+        char[char == ord(_OWN_MARK)] = ord(MARK)
+        size = 1 + (char >= 0x80).astype(np.int64) + (char >= 0x800) + (char >= 0x10000)
+        start = np.concatenate(([0], np.cumsum(size)))
+        out = np.repeat(ids, size)
+        for n, lead in enumerate((0, 0xC0, 0xE0, 0xF0), 1):
+            of = np.flatnonzero((ids >= self.n) & (size == n))
+            for j in range(n):
+                bits = char[of] >> 6 * (n - 1 - j)
+                out[start[of] + j] = self.byte[bits | lead if j == 0 else bits & 0x3F | 0x80]
+        return out, start[last]
+
+
+class _Lattices:
+    """Filtered lattices of distinct parts. Node 0 is every part's start; the
+    nodes after position 1, 2, ... of all parts follow, longest parts first.
+    end: each part's last node; source, piece, share: of the edges, by the node
+    they lead to; off: where each node's edges start."""
+
+    def __init__(self, of: Pieces, parts: list[str]):
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(-sizes, kind="stable")
+        code = np.frombuffer("".join([parts[k] for k in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = sizes[order]
+        most, total = int(sizes[0]), len(code)
+        part = np.repeat(np.arange(len(parts)), sizes)
+        stop = np.cumsum(sizes)[part]
+        step = np.arange(total) - (stop - sizes[part])
+        longer = len(parts) - np.searchsorted(sizes[::-1], np.arange(1, most + 1), "left")  # parts of so many characters at least
+        base = np.concatenate(([0], np.cumsum(longer))) + 1  # the first node after each number of characters, less one
+        node = base[step] + part  # after this character
+        self.end = np.empty(len(parts), np.int64)
+        self.end[order] = base[sizes - 1] + np.arange(len(parts))
+        source = np.where(step > 0, np.concatenate(([0], node[:-1])), 0)  # the node before this character
+
+        found = []
+        live, down = np.arange(total), np.zeros(total, np.int64)
+        for width in range(1, of.longest + 1):
+            if width > 1:
+                inside = live + width - 1 < stop[live]
+                live, down = live[inside], down[inside]
+            down = of.trie.children(down, code[live + width - 1])
+            keep = down >= 0
+            if width == 1:
+                alone = keep.copy()
+                alone[keep] = of.trie.piece[down[keep]] >= 0
+                odd = np.flatnonzero(~alone)
+                found.append((node[odd], source[odd], (of.n + code[odd]).astype(np.int32)))
+            live, down = live[keep], down[keep]
+            if not len(live):
+                break
+            piece = of.trie.piece[down]
+            whole = np.flatnonzero(piece >= 0)
+            found.append((node[live[whole] + width - 1], source[live[whole]], piece[whole]))
+
+        n_nodes = total + 1
+        count = np.zeros(n_nodes + 1, np.int64)
+        for to, _, _ in found:
+            count[to + 1] += 1  # a width leads to a node once at most
+        self.off = np.cumsum(count)
+        fill = self.off[:-1].copy()
+        n_edges = int(self.off[-1])
+        self.source, self.piece = np.empty(n_edges, np.int64), np.empty(n_edges, np.int32)
+        for to, at, piece in found:
+            self.source[fill[to]], self.piece[fill[to]] = at, piece
+            fill[to] += 1
+        char = self.piece - of.n
+        char[char == ord(_OWN_MARK)] = ord(MARK)
+        weight = np.where(char < 0, of.log[np.minimum(self.piece, of.n - 1)], of.rare * (1 + (char >= 0x80).astype(np.int64) + (char >= 0x800) + (char >= 0x10000)))
+
+        # forward: the log of the summed weights of all paths to a node
+        log = np.zeros(n_nodes)
+        cuts = self.off[np.append(base, n_nodes)].tolist()
+        for k in range(most):
+            a, b, lo, hi = cuts[k], cuts[k + 1], int(base[k]), int(base[k + 1])
+            weight[a:b] += log[self.source[a:b]]
+            log[lo:hi] = np.logaddexp.reduceat(weight[a:b], self.off[lo:hi] - a)
+        # of each node's edges, the cumulated shares of that sum
+        share = np.exp(weight - np.repeat(log[1:], count[2:]))
+        run = np.cumsum(share)
+        run -= np.repeat(np.concatenate(([0.0], run))[self.off[1:-1]], count[2:])
+        run[self.off[2:] - 1] = 1.0
+        self.share = run
+
+    def drawn(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge into each node that u, from 0 to below 1, falls on."""
+        edge = self.off[nodes]
+        past = np.flatnonzero(self.share[edge] <= u)
+        while len(past):
+            edge[past] += 1
+            past = past[self.share[edge[past]] <= u[past]]
+        return edge
 
 
 @cache
@@ -166,9 +263,14 @@ def row_keys(keys: list, seed: int) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{k}".encode(), digest_size=8).digest(), "little") for k in keys], U)
 
 
+def decoded(model: Pieces, ids: np.ndarray) -> bytes:
+    """UTF-8 of ids: bytes joined, marks as spaces, less the first space."""
+    return b"".join(map(model.out.__getitem__, ids.tolist()))[1:]
+
+
 def decode(model: Pieces, ids: np.ndarray) -> str:
-    """The text of ids: bytes joined, marks as spaces, less the first space."""
-    return b"".join(map(model.out.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+    """The text of ids; bytes that aren't UTF-8, from ids of no encoding, become U+FFFD."""
+    return decoded(model, ids).decode("utf-8", "replace")
 
 
 def _batched(texts: list[str]) -> Iterator[slice]:
@@ -194,7 +296,7 @@ def _encoded(path: str, alpha: float, seed: int, with_ids: bool):
                     wide = ids.astype("<u4").tobytes()
                     n.append(len(ids))
                     crc.append(zlib.crc32(wide))
-                    same.append(decode(model, ids) == text)
+                    same.append(decoded(model, ids) == text.encode())
                     raw.append(wide if with_ids else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(raw, pa.binary())], ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"])
 
@@ -207,8 +309,11 @@ def sample_pieces(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: in
     asked for), of every row.
 
     Null and empty texts have no piece. The row key is doc_id: rows of equal
-    doc_id and text get equal ids, a null doc_id is a key like any other. An
-    empty table gives an empty result. Other columns are not read.
+    doc_id and text get equal ids, a null doc_id is a key like any other. Space
+    marks of the text itself, and characters that the model lacks, become bytes.
+    Texts of any length are one lattice, or one for each of their parts. An
+    empty table gives an empty result. Other columns are not read. A model that
+    lacks byte pieces is refused.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -85,7 +85,7 @@ def test_bounds_of_sketches():
                 b = np.sort(np.concatenate((a[drop:], rng.integers(0, 1 << 63, drop // 2, dtype=np.uint64))))
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                    assert set(ngram_join.sketch_keys(a, percent).tolist()) & set(ngram_join.sketch_keys(b, percent).tolist())
+                    assert set(ngram_join.sketch_keys(a, percent)[1].tolist()) & set(ngram_join.sketch_keys(b, percent)[1].tolist())
 
 
 def test_word_hashing_by_blocks(monkeypatch):
@@ -298,6 +298,24 @@ def test_plan_rewrites_scattered_runs():
     assert compaction.plan([run(0, 10_000, 200), *(run(k, 10, 9) for k in range(1, 5))], 1000, 10, 4) == [["r1", "r2", "r3", "r4"]]
 
 
+def test_drawn_alone_or_in_company():
+    model = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0)
+    texts = ["", "one two one", "x" * 30_000, "日本 ▁ \ufdd0", "a b  c " * 3000, "one two one"]
+    keys = piece_sampling.row_keys([1, 2, 3, 4, 5, 2], 7)
+    together = model.draw(texts, keys)
+    for k, t in enumerate(texts):
+        assert np.array_equal(together[k], model.draw([t], keys[k : k + 1])[0]) and piece_sampling.decode(model, together[k]) == t
+    assert np.array_equal(together[1], together[5])
+
+
+def test_models_without_byte_pieces(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "is_byte", lambda self, i: i == 3)
+    with pytest.raises(ValueError, match="lacks pieces"):
+        piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0)
+
+
 def test_piece_sampling(spark):
     path = vocabulary("piece_bpe_32k.model")
     rows = [*ODD[:9], (20, "▁ marks ▁▁ and ﷐"), (21, "  two  spaces "), (22, "x" * 500)]
@@ -308,21 +326,25 @@ def test_piece_sampling(spark):
     assert piece_sampling.sample_pieces(docs(spark, []), path).count() == 0
 
 
-def test_sampling_follows_the_weights():
+@pytest.mark.parametrize("word", ["that", "日ab", "a▁to", "  in"])
+def test_sampling_follows_the_weights(word):
     model = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0)
-    draws = model.draw(["that"] * 20_000, piece_sampling.row_keys(list(range(20_000)), 0))
+    draws = model.draw([word] * 20_000, piece_sampling.row_keys(list(range(20_000)), 0))
     seen = {}
     for d in draws:
         seen[tuple(d.tolist())] = seen.get(tuple(d.tolist()), 0) + 1
-    part, weights = "▁that", {}
+    part, weights = "▁" + word.replace("▁", "#").replace(" ", "▁"), {}  # "#" for the word's own mark
 
     def walk(at, ids, log):
         if at == len(part):
             weights[ids] = np.exp(log)
             return
         for e in range(at + 1, len(part) + 1):
-            if (i := model.ids.get(part[at:e])) is not None:
+            if "#" not in part[at:e] and (i := model.ids.get(part[at:e])) is not None:
                 walk(e, (*ids, i), log + model.weight[i])
+        if part[at] == "#" or part[at] not in model.ids:
+            raw = part[at].replace("#", "▁").encode()
+            walk(at + 1, (*ids, *(int(model.byte[b]) for b in raw)), log + model.rare * len(raw))
 
     walk(0, (), 0.0)
     total = sum(weights.values())
