@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -56,6 +57,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove intermediate tables that no later step reads."""
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,3 +72,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: A side is broadcast only if it was counted and has at most so many rows of
 #: two or three longs (about 100 MB as a hashed relation).
 BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast, if its counted rows are few; else as it is."""
+    return F.broadcast(df) if rows <= most else df
