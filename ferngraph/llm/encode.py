@@ -3,7 +3,9 @@
 A text is cut only where the tokenizer's own pre-tokenizer always starts a new
 piece, whatever stands around, so the ids of the whole text are those of its
 parts in order. The library encodes each distinct part once per worker; a
-bounded cache answers for repeated parts.
+bounded cache answers for repeated parts. The strings of added tokens, such as
+an end mark, are their tokens wherever the library takes them for that, so a
+text that may hold one goes to the library whole.
 """
 
 from __future__ import annotations
@@ -78,13 +80,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.tokenize = self.tokenizer.model.tokenize
-        self.cut = self._cut(spec)
+        added = spec.get("added_tokens") or []
+        # where the library looks for added tokens in normalized text, it gets whole texts
+        self.cut = "" if any(t["normalized"] for t in added) else self._cut(spec)
+        self.added = [t["content"] for t in added]
         rest = PARTS // 5 if self.cut == "space" else PARTS
         self.bare, self.spaced = _Parts(self, "", rest), _Parts(self, " ", PARTS - PARTS // 5)
 
@@ -109,6 +113,9 @@ class Encoder:
         """Ids of a text as bytes; none for null and empty texts."""
         if not text:
             return b""
+        for token in self.added:
+            if token in text:
+                return self.encode_plain(text)
         if self.cut == "space":
             regular = text[0] != " " and text[-1] != " " and "  " not in text
             if regular:
