@@ -5,9 +5,11 @@ Arrivals are appended as small runs. Runs smaller than the target are put into
 tiers by size, each tier's sizes `fanout` times those of the one below; once a
 tier has `fanout` runs, its oldest are merged into one run of target-sized
 files. Once no tier is full, runs of any size that lie in files far below the
-target are rewritten, each by itself. A version is committed by moving a finished manifest to its number, which
-fails if another writer took it; readers see one version or the next, never a
-mixture, and files that no version lists are never read. DataFrame functions
+target are rewritten, each by itself. A version is committed by moving a
+finished manifest to its number, which fails if another writer took it; readers
+see one version or the next, never a mixture, and files that no version lists
+are never read. Superseded runs stay, so every listed version can be read, until
+clean_up() drops old versions and then what only they had. DataFrame functions
 only: a merge is a scan and a write, without a shuffle.
 """
 
@@ -109,8 +111,12 @@ class ShardStore:
 
     def append(self, df: DataFrame, arrival: str | None = None) -> dict:
         """Commit df as new runs: one for each value of the column `arrival`
-        (null is a value too), or one. The column stays in the data."""
+        (null is a value too), or one. The column stays in the data. Rows of
+        other columns or types than the store's are refused."""
         base = self.manifest()
+        kinds = lambda fields: [(f.name, f.dataType) for f in fields]
+        if base["schema"] and kinds(self._schema(base)) != kinds(df.schema):
+            raise ValueError(f"the store holds {self._schema(base).simpleString()}, not {df.schema.simpleString()}")
         folder = f"runs/{uuid.uuid4().hex}"
         name = "run"
         while name in df.columns:
@@ -134,29 +140,44 @@ class ShardStore:
         return self._run(folder, max(r["arrived"] for r in runs))
 
     def compact(self) -> dict:
-        """Merge until no tier is full and no run is scattered; one committed version a round, whose
-        superseded runs are deleted after the commit."""
+        """Merge until no tier is full and no run is scattered; one committed
+        version a round. What it supersedes stays for readers of older versions."""
         now = self.manifest()
         while groups := plan(now["runs"], self.target_bytes, self.smallest_bytes, self.fanout):
-            by, schema = {r["id"]: r for r in now["runs"]}, T.StructType.fromJson(json.loads(now["schema"]))
+            by, schema = {r["id"]: r for r in now["runs"]}, self._schema(now)
             with ThreadPoolExecutor(4) as pool:
                 merged = list(pool.map(lambda g: self._merge([by[i] for i in g], schema), groups))
             gone = {i for g in groups for i in g}
             runs = sorted([r for r in now["runs"] if r["id"] not in gone] + merged, key=lambda r: r["arrived"])
             now = self._commit(now, runs, now["schema"])
-            for i in gone:
-                self._fs.delete(self._path(i), True)
         return now
 
+    def clean_up(self, keep: int = 1) -> list[int]:
+        """Drop all but the newest `keep` versions, first from the list, then
+        the runs that no version left names; the versions that went."""
+        known = self.versions()
+        gone, left = known[: max(0, len(known) - max(keep, 1))], known[-max(keep, 1) :]
+        old = {r["id"] for v in gone for r in self.manifest(v)["runs"]}
+        needed = {r["id"] for v in left for r in self.manifest(v)["runs"]}
+        for v in gone:
+            self._fs.delete(self._path(f"manifests/{v:08d}.json"), False)
+        for i in sorted(old - needed):
+            self._fs.delete(self._path(i), True)
+        return gone
+
     # reading
 
+    @staticmethod
+    def _schema(manifest: dict) -> T.StructType:
+        return T.StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else T.StructType([])
+
     def _scan(self, runs: list[dict], schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f for r in runs for f in r["files"]])
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a committed version."""
         m = self.manifest(version)
-        schema = T.StructType.fromJson(json.loads(m["schema"])) if m["schema"] else T.StructType([])
+        schema = self._schema(m)
         return self._scan(m["runs"], schema) if m["runs"] else self.spark.createDataFrame([], schema)
 
 
@@ -168,8 +189,11 @@ def shard(docs: DataFrame, root: str, target_bytes: int = 32 << 20, arrivals: in
     compact them. Nulls in any column, repeated rows and empty texts are stored
     as they are; rows without doc_id arrive together. An empty table gives a
     store without runs. A column of docs named arrival is kept under that name
-    with an underscore."""
-    rows = docs.withColumnRenamed("arrival", "arrival_").withColumn("arrival", F.pmod("doc_id", F.lit(arrivals)).cast("int"))
+    with as many underscores as make it new."""
+    other = "arrival_"
+    while other in docs.columns:
+        other += "_"
+    rows = docs.withColumnRenamed("arrival", other).withColumn("arrival", F.pmod("doc_id", F.lit(arrivals)).cast("int"))
     store = ShardStore(docs.sparkSession, root, target_bytes)
     store.append(rows, "arrival")
     store.compact()
