@@ -30,7 +30,7 @@ def cell_edges(sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np
     out = []
     for d in range(len(low)):
         inner = np.floor(np.quantile(sample[:, d], np.arange(1, CELLS) / CELLS))
-        out.append(np.unique(np.concatenate(([low[d]], inner[(inner > low[d]) & (inner <= high[d])], [high[d] + 1]))))
+        out.append(np.unique(np.concatenate(([low[d]], inner[(inner > low[d]) & (inner <= high[d])], [max(high[d] + 1, np.nextafter(high[d], np.inf))]))))
     return out
 
 
@@ -111,7 +111,8 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_col:
     """
     spark = table.sparkSession
     work = workdir(spark, "va-search")
-    ints = usable(table, id_col, vector_col).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    whole = lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)  # noqa: E731  larger doubles are whole; floor() would cut them to a long
+    ints = usable(table, id_col, vector_col).select("vec_id", F.transform("v", lambda x: whole(x * scale)).alias("v"))
     ints = written(ints, f"{work}/vectors")
     ends = ints.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("low"), F.max("x").alias("high")).orderBy("d").collect()
     if not ends:
