@@ -4,7 +4,8 @@ Every window of consecutive lines is hashed; of the windows that occur several
 times, over all documents, the first (by doc_id, then line) stays, and each
 later one covers its lines. A document's covered positions are merged, and the
 runs of lines between them are what is kept. DataFrame functions only; texts
-are moved once, and of windows only hashes and positions.
+are moved once at most, and of windows only hashes and positions. Passages
+within one or two lines, and texts of so few, are outside the method.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import workdir, written
+from ferngraph.llm.common import discard, small, workdir, written
 
 
 def _lines(text: Column) -> Column:
@@ -56,16 +57,20 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
     covered = later.groupBy("d", "k").agg(F.sort_array(F.collect_set("p")).alias("starts"))
-    # docs as one struct, so that no column name meets another; and in steps,
-    # since a lambda would take a new column `text` for the old one
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col(id_col).alias("d"), key.alias("k"), F.col(text_col).alias("t"))
-    rows = rows.join(covered, ["d", "k"], "left").withColumn("ls", _lines(F.col("t")))
+    covered = written(covered, f"{work}/covered")
+    discard(docs.sparkSession, f"{work}/windows")
+    positions = covered.agg(F.sum(F.size("starts"))).first()[0] or 0
+    # by numbers, so that no column name meets another; and in steps, since a
+    # lambda would take a new column of a name for the old one
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    doc, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = rows.withColumns({"d": F.col(doc), "k": F.xxhash64(text)}).join(small(covered, positions), ["d", "k"], "left").withColumn("ls", _lines(F.col(text)))
     rows = rows.withColumn("kept", F.when(F.col("starts").isNotNull(), _kept(F.col("ls"), F.col("starts"), window)))
-    n_lines = F.when(F.col("t").isNull(), 0).otherwise(F.size("ls")).cast("long")
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("ls")).cast("long")
     removed = F.when(F.col("kept").isNull(), 0).otherwise(F.size("ls") - F.size("kept")).cast("long")
-    rows = rows.select("r", n_lines.alias("n"), removed.alias("gone"), F.coalesce(F.array_join("kept", "\n"), "t").alias("cleaned"))
-    others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return rows.select(*[F.col("cleaned").alias(c) if c == text_col else F.col(f"r.`{c}`").alias(c) for c in others], F.col("n").alias("n_lines"), F.col("gone").alias("n_removed"))
+    others = [(k, c) for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
+    cleaned = F.coalesce(F.array_join("kept", "\n"), text)
+    return rows.select(*[(cleaned if c == text_col else F.col(f"c{k}")).alias(c) for k, c in others], n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 ORACLE = """

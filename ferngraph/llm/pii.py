@@ -1,14 +1,16 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
-Base entities (email, ip, card, phone) are found by pattern and check. They seed
-a search for identifiers that no pattern describes: every identifier-like token
-or run of number tokens (with several digits, or an @) is an instance, the words around it are its
-lexical patterns, and the corpus-wide table of (pattern, instance, count) is a
+Base entities (email, ip, card, phone) are found by pattern and check; values
+assigned to a name like token or password are seeds of a fifth kind, secret. All
+seed a search for identifiers that no pattern describes: every identifier-like token
+or run of number tokens (with several digits, or an @) is an instance, the words
+around it are its lexical patterns, and a number's own shape is the pattern to
+fall back on where words don't repeat. The corpus-wide table of (pattern, instance) is a
 bipartite graph. Spark scores it in rounds: a pattern is as reliable for a kind
 as the share of its instances believed to be of that kind, damped where few
 support it; an instance is as likely of a kind as its patterns together make it.
 Seeds stay certain. Instances in the slots of patterns that end above the threshold
-are added as spans of the pattern's kind.
+are added as spans of the pattern's kind; a shape has to be nearly certain.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import ship, workdir, written
+from ferngraph.llm.common import discard, ship, small, workdir, written
 
 #: In the order that breaks ties of position.
 KINDS = ("email", "ip", "card", "phone")
+#: A kind of the operator's own, which base spans and `spans` of the digest don't have.
+SECRET = len(KINDS)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -32,12 +36,24 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_DIGITS = re.compile(r"[0-9]+")
+_LETTER = re.compile(r"[^\W\d_]")
 #: Digits in a token, or in a run of them, that make it identifier-like.
 DIGITS = 6
+#: Reliability that a pattern needs at least if it is the shape of a number
+#: alone; belief from which an instance speaks for its other patterns.
+SHAPE_RELIABILITY, BELIEF = 0.9, 0.25
+#: Words before a slot that are looked at until one has a letter.
+MARKS = 4
+_ASSIGNED = re.compile(r"""[=:][ \t]*(["'])([^"'\s]{8,200})\1""")
+_NAMED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|(?:access|private|auth)[_-]?key|credentials?)["']?[ \t]*$""")
+_PLAIN_NUMBER = re.compile(r"[0-9+() .-]+")
 _NUMBER = re.compile(r"[(+]*[0-9][0-9().-]*")
 _GAP = re.compile(r"\s")
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&="
 SPAN = "struct<kind: int, start: int, end: int>"
+#: Texts without a match hold nothing that is looked for.
+MAY = r"""[0-9@]|[=:][ \t]*["']"""
 
 
 def luhn(digits: str) -> bool:
@@ -75,6 +91,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """Quoted values that are assigned to a name of a credential."""
+    return [(SECRET, m.start(2), m.end(2)) for m in _ASSIGNED.finditer(text) if _NAMED.search(text[max(0, m.start() - 24) : m.start()])]
+
+
 def _raw_tokens(text: str) -> Iterator[tuple[int, int]]:
     """White-space tokens with a digit or an @."""
     done, n = 0, len(text)
@@ -144,43 +165,62 @@ def _word_after(text: str, at: int) -> str:
     return text[s:e].lower()
 
 
+def _words_before(text: str, at: int, words: int) -> str | None:
+    """So many words before a place, and more until one has a letter, MARKS at most."""
+    out: list[str] = []
+    while len(out) < MARKS and (len(out) < words or not any(map(_LETTER.search, out))):
+        word, at = _word_before(text, at)
+        if not word:
+            break
+        out.insert(0, word)
+    return " ".join(out) if any(map(_LETTER.search, out)) else None
+
+
 def contexts(text: str, s: int, e: int) -> list[str]:
-    """Lexical patterns of a slot: two words before, one before and one after."""
-    a, at = _word_before(text, s)
-    b, _ = _word_before(text, at)
-    c = _word_after(text, e)
-    return [f"{b} {a} _", f"{a} _ {c}"]
+    """Lexical patterns of a slot: two words before, one before and one after,
+    with numbers alike; of a number also its shape."""
+    two, one, after = _words_before(text, s, 2), _words_before(text, s, 1), _word_after(text, e)
+    out = [_DIGITS.sub("9", x) for x in (two and f"{two} _", one and f"{one} _ {after}") if x]
+    return [*out, "#" + _DIGIT.sub("9", text[s:e])] if _PLAIN_NUMBER.fullmatch(text, s, e) else out
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     slots_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    listed = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
     for batch in batches:
-        all_spans, all_slots = [], []
+        rows: tuple[list, list, list] = ([], [], [])
         for text in batch.column(1).to_pylist():
-            spans = base_spans(text) if text else []
-            slots = [(k, s, e) for k, s, e in spans]
+            spans, secrets = (base_spans(text), secret_spans(text)) if text else ([], [])
+            slots = [*spans, *secrets]
             if text:
-                slots += [(-1, s, e) for s, e in _instances(text, spans)]
-            all_spans.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-            all_slots.append([{"kind": k, "start": s, "end": e, "instance": hashlib.blake2b(text[s:e].lower().encode(), digest_size=12).hexdigest(), "patterns": contexts(text, s, e)} for k, s, e in slots])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_spans, spans_type), pa.array(all_slots, slots_type)], ["row", "spans", "slots"])
+                slots += [(-1, s, e) for s, e in _instances(text, slots)]
+            rows[0].append(listed(spans))
+            rows[1].append(listed(secrets))
+            rows[2].append([{"kind": k, "start": s, "end": e, "instance": hashlib.blake2b(text[s:e].lower().encode(), digest_size=12).hexdigest(), "patterns": contexts(text, s, e)} for k, s, e in slots])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, (spans_type, spans_type, slots_type))], ["row", "spans", "secrets", "slots"])
 
 
 def score_graph(edges: DataFrame, work: str, rounds: int = 3, damping: float = 3.0) -> DataFrame:
-    """(pattern, kind, reliability) from edges (pattern, instance, seed, n):
-    seed is the instance's kind, -1 if unknown, n the number of places."""
+    """(pattern, kind, reliability) from edges (pattern, instance, seed):
+    seed is the instance's kind, -1 if unknown. An instance that is a seed
+    somewhere is one everywhere. Edges of common patterns and instances are
+    summed up before they are shuffled; the other side of a join is broadcast
+    if its counted rows are few, else Spark splits what is skewed."""
     seeds = edges.where("seed >= 0").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
-    links = edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    seeds = written(seeds, f"{work}/seeds")
+    links = edges.select("pattern", "instance").distinct()
+    links = written(links.join(small(seeds.select("instance").distinct().withColumn("sure", F.lit(True)), seeds.count()), "instance", "left"), f"{work}/links")
     degree = links.groupBy("pattern").agg(F.count("*").alias("degree"))
     belief = seeds
     for k in range(rounds):
-        support = links.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("support"))
+        support = links.join(small(belief, belief.count()), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("support"))
         patterns = support.join(degree, "pattern").select("pattern", "kind", (F.col("support") / (F.col("degree") + damping)).alias("reliability"))
         patterns = written(patterns, f"{work}/patterns-{k}")
         if k + 1 < rounds:
-            heard = links.where("seed < 0").join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("reliability", F.lit(0.999)))))).alias("belief"))
-            belief = written(heard.where("belief >= 0.25").unionByName(seeds), f"{work}/belief-{k}")
+            heard = links.where("sure is null").join(small(patterns, patterns.count()), "pattern")
+            heard = heard.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("reliability", F.lit(0.999)))))).alias("belief"))
+            belief = written(heard.where(F.col("belief") >= BELIEF).unionByName(seeds), f"{work}/belief-{k}")
     return patterns
 
 
@@ -188,27 +228,31 @@ def bootstrap(rows: DataFrame, reliability: float, rounds: int) -> DataFrame:
     """(row, base, spans) of rows (row, text); row is a key of any type."""
     work = workdir(rows.sparkSession, "pii")
     kind = rows.schema["row"].dataType.simpleString()
-    found = written(rows.mapInArrow(_found, f"row {kind}, spans array<{SPAN}>, slots array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>"), f"{work}/found")
+    schema = f"row {kind}, spans array<{SPAN}>, secrets array<{SPAN}>, slots array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>"
+    found = written(rows.mapInArrow(_found, schema), f"{work}/found")
     slots = found.where(F.size("slots") > 0).select("row", F.explode("slots").alias("s")).select("row", "s.*")
     places = slots.select("instance", "kind", F.explode("patterns").alias("pattern"))
-    edges = written(places.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.count("*").alias("n")), f"{work}/edges")
-    good = score_graph(edges, f"{work}/graph", rounds).where(F.col("reliability") >= reliability)
+    edges = written(places.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), f"{work}/edges")
+    least = F.when(F.col("pattern").startswith("#"), F.lit(max(reliability, SHAPE_RELIABILITY))).otherwise(F.lit(reliability))
+    good = score_graph(edges, f"{work}/graph", rounds).where(F.col("reliability") >= least)
     good = good.groupBy("pattern").agg(F.max(F.struct("reliability", -F.col("kind"))).alias("m")).select("pattern", (-F.col("m.col2")).alias("of"), F.col("m.reliability").alias("reliability"))
-    new = slots.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
+    good = written(good, f"{work}/good")
+    discard(rows.sparkSession, f"{work}/edges", f"{work}/graph")
+    new = slots.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(small(good, good.count()), "pattern")
     new = new.groupBy("row", "start", "end").agg(F.max(F.struct("reliability", -F.col("of"))).alias("m"))
     new = new.select("row", F.struct((-F.col("m.col2")).cast("int").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("s"))
     added = new.groupBy("row").agg(F.collect_list("s").alias("added"))
     every = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     every = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    out = found.select("row", F.col("spans").alias("base")).join(added.withColumnRenamed("row", "row2"), F.col("row").eqNullSafe(F.col("row2")), "left")
-    return out.select("row", "base", F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))).alias("spans")).select("row", "base", every.alias("spans"))
+    out = found.select("row", F.col("spans").alias("base"), "secrets").join(added.withColumnRenamed("row", "row2"), F.col("row").eqNullSafe(F.col("row2")), "left")
+    return out.select("row", "base", F.concat("base", "secrets", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))).alias("spans")).select("row", "base", every.alias("spans"))
 
 
 def find_pii(docs: DataFrame, reliability: float = 0.6, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, base and spans, arrays of (kind,
-    start, end) with kind a place in KINDS, positions in code points, end
-    exclusive, ordered by start, then kind. spans holds base and what the
-    patterns discover.
+    start, end) with kind a place in KINDS or SECRET, positions in code points,
+    end exclusive, ordered by start, then kind. spans holds base, the secrets and
+    what the patterns discover.
 
     Null and empty texts have no spans. Repeated rows are searched each; a null
     doc_id stays null; an empty table gives an empty result. Columns besides
@@ -220,43 +264,45 @@ def find_pii(docs: DataFrame, reliability: float = 0.6, rounds: int = 3, id_col:
 
 def span_text(spans):
     """kind:start:end, comma-joined."""
-    kinds = F.array(*map(F.lit, KINDS))
+    kinds = F.array(*map(F.lit, (*KINDS, "secret")))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of base spans), base_sha256,
-    spans as text, n_discovered."""
+    spans as text (of KINDS), n_discovered (those of them beside base), secrets
+    as text, n_private (spans and secrets)."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_discovered"))
+    listed, secrets = F.filter("spans", lambda s: s["kind"] < SECRET), F.filter("spans", lambda s: s["kind"] == SECRET)
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(listed).alias("spans"), (F.size(listed) - F.size("base")).cast("long").alias("n_discovered"), span_text(secrets).alias("secrets"), F.size("spans").cast("long").alias("n_private"))
 
 
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if text and spans:
-                parts, at = [], 0
-                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                    at = max(at, s["end"])
-                text = "".join(parts) + text[at:]
-            texts.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[batch.column(k) for k in range(2, batch.num_columns)]], ["text", *batch.schema.names[2:]])
+def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        if text and found:
+            parts, at = [], 0
+            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
+                if s["start"] >= at:
+                    parts += [text[at : s["start"]], f"[{(*KINDS, 'secret')[s['kind']].upper()}]"]
+                at = max(at, s["end"])
+            text = "".join(parts) + text[at:]
+        out.append(text)
+    return pa.array(out, pa.string())
 
 
 def mask_pii(docs: DataFrame, reliability: float = 0.6, rounds: int = 3) -> DataFrame:
     """The rows of docs with every span of `text` replaced by its kind in
-    brackets; overlapping spans give one replacement. Columns stay; a null text
-    stays null. Only texts with a digit or an @ are searched and moved."""
+    brackets; overlapping spans give one replacement. Columns stay; a null or
+    empty text stays as it is; repeated rows are masked each; an empty table
+    stays empty. Only texts that may hold something are searched and moved."""
     ship(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col("text").cast("string").alias("t"))
-    may = F.coalesce(F.regexp_like("t", F.lit("[0-9@]")), F.lit(False))
-    keyed = rows.where(may).withColumn("k", F.xxhash64("t")).withColumn("k2", F.xxhash64(F.lit(1), "t"))
-    distinct = keyed.select(F.struct("k", "k2").alias("row"), F.col("t").alias("text"))
-    spans = bootstrap(distinct, reliability, rounds).where(F.size("spans") > 0).select("row.k", "row.k2", "spans").dropDuplicates(["k", "k2"])
-    joined = keyed.join(spans, ["k", "k2"], "left").select("t", "spans", "r")
-    kind = joined.schema["r"].dataType.simpleString()
-    masked = joined.mapInArrow(_masked, f"text string, r {kind}").unionByName(rows.where(~may).select(F.col("t").alias("text"), "r"))
-    return masked.select(*[F.col("text") if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
+    may = F.coalesce(F.regexp_like(text, F.lit(MAY)), F.lit(False))
+    keyed = rows.where(may).withColumns({"k": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)})
+    searched = keyed.select(F.struct("k", "k2").alias("row"), F.col(text).alias("text"))
+    spans = bootstrap(searched, reliability, rounds).where(F.size("spans") > 0).select("row.k", "row.k2", "spans").dropDuplicates(["k", "k2"])
+    masked = keyed.join(spans, ["k", "k2"], "left").withColumn("masked", F.arrow_udf(_masked, "string")(F.col(text), F.col("spans")))
+    masked = masked.select(*[F.col("masked").alias(c) if c == text else F.col(c) for c in rows.columns])
+    return masked.unionByName(rows.where(~may)).toDF(*docs.columns)

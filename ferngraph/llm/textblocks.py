@@ -22,7 +22,7 @@ _P = 0x9E3779B97F4A7C2B
 _PINV = pow(_P, -1, 1 << 64)
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25], U)
 #: Bytes hashed at once; longer texts go in segments cut at white space.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -84,20 +84,20 @@ def _hash_block(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return Hasher(buf)(s, t), start
 
 
-def _hash_long(buf: np.ndarray) -> np.ndarray:
-    out, at = [], 0
+def segments(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's bytes in runs of about BLOCK, cut behind white space; a word
+    longer than that stays whole."""
+    at = 0
     while at < len(buf):
         end = min(at + BLOCK, len(buf))
-        if end < len(buf):
+        while end < len(buf):
             gaps = np.flatnonzero(_SPACE[buf[at:end]])
-            while not len(gaps) and end < len(buf):  # one word longer than a block
-                end = min(end + BLOCK, len(buf))
-                gaps = np.flatnonzero(_SPACE[buf[at:end]])
-            if len(gaps) and end < len(buf):
+            if len(gaps):
                 end = at + int(gaps[-1]) + 1
-        out.append(_hash_block(buf[at:end], np.array([0, end - at]))[0])
+                break
+            end = min(end + BLOCK, len(buf))
+        yield buf[at:end]
         at = end
-    return np.concatenate(out) if out else np.empty(0, U)
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def words(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     block, and at which word each text starts (one more entry than texts)."""
     for at, buf, bounds in blocks(col):
         if len(buf) > 2 * BLOCK:
-            h = _hash_long(buf)
+            h = np.concatenate([_hash_block(x, np.array([0, len(x)]))[0] for x in segments(buf)])
             yield at, h, np.array([0, len(h)])
         else:
             yield at, *_hash_block(buf, bounds)

@@ -4,7 +4,8 @@ A text's terms are its distinct words and, of longer words, their first 2, 3, 4
 and 6 bytes, hashed to 2^20 places. The model adds a weight for each term and
 the inner product of two factor vectors for each pair of terms, so that two
 terms can say together what neither says alone. It is fitted on a bounded sample
-of labelled rows; only terms that differ between the classes there get weights.
+of labelled rows; weights and factors go to the terms whose presence there
+depends on the label, alone or together with another term.
 """
 
 from __future__ import annotations
@@ -18,16 +19,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm.common import ship
-from ferngraph.llm.textblocks import U, Hasher, blocks, word_spans
+from ferngraph.llm.textblocks import BLOCK, U, Hasher, blocks, segments, word_spans
 
 BITS = 20
 PREFIXES = (2, 3, 4, 6)
 #: Labelled rows that a model is fitted on at most: those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 12_000
+#: A term needs so many sampled rows, and this log likelihood ratio (2 ln) of its
+#: presence and the label (1 degree of freedom: by chance once in 2,000 terms).
+LEAST_ROWS, ALONE = 3, 12.0
+#: Terms whose pairs are tested: those nearest to being in half of the sampled
+#: rows. A pair needs this ratio above what its two terms reach alone (by chance
+#: once in some 10 million pairs).
+PAIR_TERMS, TOGETHER = 2048, 36.0
 
 
 def _terms(buf: np.ndarray, bounds: np.ndarray, active: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(text, place) of the distinct terms of a block, by text and place."""
+    if len(buf) > 2 * BLOCK:  # one long text
+        parts = [_terms(x, np.array([0, len(x)]), active)[1] for x in segments(buf)]
+        place = np.unique(np.concatenate(parts))
+        return np.zeros(len(place), np.int64), place
     s, t, start = word_spans(buf, bounds) if len(buf) else (np.empty(0, np.int64),) * 2 + (np.zeros(len(bounds), np.int64),)
     if not len(s):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -61,9 +73,53 @@ class FactorizationMachine:
         return z
 
 
+def _ratio(toxic: np.ndarray, rows: np.ndarray, share: float) -> np.ndarray:
+    """2 ln of the likelihood of so many toxic rows of a cell by its own share
+    over that by the share of all rows."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.nan_to_num(toxic * np.log(toxic / (rows * share)))
+        return 2 * (own + np.nan_to_num((rows - toxic) * np.log((rows - toxic) / (rows * (1 - share)))))
+
+
+def _joint(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, terms: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Those of the terms that say with another of them what they don't say alone."""
+    n, share, m = len(y), y.mean(), len(terms)
+    rank = np.full(1 << BITS, -1)
+    rank[terms] = np.arange(m)
+    both, both_toxic = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+    col, row = rank[flat], doc
+    row, col = row[col >= 0], col[col >= 0]
+    for at in range(0, n, 2048):
+        x = np.zeros((min(2048, n - at), m), np.float32)
+        a, b = np.searchsorted(row, (at, at + 2048))
+        x[row[a:b] - at, col[a:b]] = 1
+        both += x.T @ x
+        x = x[y[at : at + 2048] > 0]
+        both_toxic += x.T @ x
+    alone = _ratio(toxic[terms], rows[terms], share) + _ratio(y.sum() - toxic[terms], n - rows[terms], share)
+    good = np.zeros(m, bool)
+    for k in range(m):
+        r, t = rows[terms], toxic[terms]
+        cells = ((both_toxic[k], both[k]), (t[k] - both_toxic[k], r[k] - both[k]), (t - both_toxic[k], r - both[k]), (y.sum() - t - t[k] + both_toxic[k], n - r - r[k] + both[k]))
+        gain = sum(_ratio(a.astype(float), b.astype(float), share) for a, b in cells) - alone[k] - alone
+        gain[k] = 0
+        good[k] = gain.max() > TOGETHER
+    return terms[good]
+
+
+def chosen_terms(flat: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The places that get weights and factors; doc is ascending."""
+    size, n, share = 1 << BITS, len(y), y.mean()
+    toxic, rows = np.bincount(flat, y[doc], size), np.bincount(flat, minlength=size)
+    alone = _ratio(toxic, rows, share) + _ratio(y.sum() - toxic, n - rows, share)
+    seen = np.flatnonzero(rows >= LEAST_ROWS)
+    even = seen[np.argsort(-np.minimum(rows[seen], n - rows[seen]), kind="stable")[:PAIR_TERMS]]
+    return np.union1d(seen[alone[seen] > ALONE], _joint(flat, doc, y, np.sort(even), toxic, rows))
+
+
 def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: int = 40, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
     """Fit by AdaGrad on the log loss. Of one class only, or of no rows, the
-    model is the share of label 1 alone."""
+    model is the share of label 1 alone; so it is where no term tells anything."""
     n, y = len(toxic), np.asarray(toxic, float)
     size = 1 << BITS
     none = FactorizationMachine(float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
@@ -71,14 +127,7 @@ def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: i
         return none
     flat, lengths = np.concatenate(places), np.array([len(p) for p in places])
     doc = np.repeat(np.arange(n), lengths)
-    pos, every = np.bincount(flat, y[doc], size), np.bincount(flat, minlength=size)
-    # places whose presence and the label depend on each other, by the log likelihood ratio
-    share, g2 = y.sum() / n, np.zeros(size)
-    for seen, total in ((pos, every), (y.sum() - pos, n - every)):
-        for part, p in ((seen, share), (total - seen, 1 - share)):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                g2 += 2 * np.nan_to_num(part * np.log(part / (total * p)))
-    chosen = np.flatnonzero((g2 > 12) & (every >= 3))
+    chosen = chosen_terms(flat, doc, y)
     if not len(chosen):
         return none
     rank = np.full(size, -1)
@@ -133,57 +182,60 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Fit on labelled documents that aren't held out, at most sample_rows of
     them. A doc_id labelled several times counts as toxic if one label says so;
-    null labels, and labels without a document, teach nothing."""
+    of several texts of a doc_id the first in order teaches; null labels, and
+    labels without a document, teach nothing."""
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
     got = rows.mapInArrow(_places, "toxic double, places binary").toArrow()
     order = sorted(zip(got["toxic"].to_pylist(), got["places"].to_pylist(), strict=True))
     return fit([np.frombuffer(p, np.int32) for _, p in order], np.array([t for t, _ in order]))
 
 
-def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, used, weight, factors = model.value
+def scorer(docs: DataFrame, model: FactorizationMachine):
+    """A Column function: the score, 0 to 1, of whole texts. Only texts go to
+    Python and only scores come back, whatever the rows hold besides; null and
+    empty texts get the score of no term."""
+    ship(docs.sparkSession)
+    used = np.flatnonzero((model.weight != 0) | model.factors.any(1))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, used, model.weight[used], model.factors[used]))
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bias, used, weight, factors = shared.value
         size = 1 << BITS
-        fm = FactorizationMachine(bias, np.zeros(size, np.float32), np.zeros((size, factors.shape[1]), np.float32))
-        fm.weight[used], fm.factors[used] = weight, factors
+        rank = np.zeros(size, np.int32)
+        rank[used] = np.arange(len(used))
         active = np.zeros(size, bool)
         active[used] = True
-        for batch in batches:
+        fm = FactorizationMachine(bias, weight, factors)
+        for batch in texts:
             scores = [np.empty(0)]
-            for _, buf, bounds in blocks(batch.column(batch.num_columns - 1)):
-                z = fm.logits(*_terms(buf, bounds, active), len(bounds) - 1)
+            for _, buf, bounds in blocks(batch):
+                doc, place = _terms(buf, bounds, active)
+                z = fm.logits(doc, rank[place], len(bounds) - 1)
                 scores.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            cols = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(scores))], [*batch.schema.names[:-1], "score"])
-
-    return run
-
+            yield pa.array(np.concatenate(scores))
 
-def score(docs: DataFrame, model: FactorizationMachine, keep: list[str]) -> DataFrame:
-    """The columns `keep` (of any names but text and score) and score, 0 to 1,
-    of every row's whole text; null and empty texts get the score of no term."""
-    spark = docs.sparkSession
-    ship(spark)
-    used = np.flatnonzero(model.weight)
-    shared = spark.sparkContext.broadcast((model.bias, used, model.weight[used], model.factors[used]))
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(shared), f"{schema}, score double")
+    return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted (1 where score >= threshold) of
     every row; repeated rows are scored each, a null doc_id is not held out,
     and an empty table gives an empty result."""
-    out = score(docs, train(docs, labels), ["doc_id"])
+    score = scorer(docs, train(docs, labels))
+    out = docs.select("doc_id", score(F.col("text").cast("string")).alias("score"))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is below the threshold, with their columns."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col("text"))
-    kept = score(rows, train(docs, labels), ["r"]).where(F.col("score") < threshold)
-    return kept.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows whose score is below the threshold, with their columns. Rows
+    of null and empty texts and repeated rows are judged each like any other;
+    an empty table stays empty."""
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # so that no name meets the score's
+    score = scorer(docs, train(docs, labels))
+    rows = rows.withColumn("score", score(F.col(f"c{docs.columns.index('text')}").cast("string")))
+    return rows.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)

@@ -104,14 +104,32 @@ def test_components(spark, tmp_path):
     assert got == {k: 0 for k in range(31)} | {100: 100, 101: 100}
 
 
+def library(name):
+    """The library's own encoding, by a tokenizer as loaded."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary(name))
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoding_equals_whole_texts(name):
-    e = encode.Encoder(vocabulary(name))
+    e, whole = encode.Encoder(vocabulary(name)), library(name)
     r = random.Random(5)
-    bits = ["the", " ", "  ", "\n", "\t", "thonre", "Ünder", "é", "́", "'s", "'ll", ".", ",", "12", "3.5", "\x1c", "\xa0", "　", "<|endoftext|>", "日本", "😀", "A", "İ", "ŉ", "-", "x\n", "\r\n"]
-    texts = ["", " ", *("".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(1500))]
+    bits = ["the", " ", "  ", "\n", "\t", "thonre", "Ünder", "é", "́", "'s", "'ll", ".", ",", "12", "3.5", "\x1c", "\xa0", "　", "<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "日本", "😀", "A", "İ", "ŉ", "-", "x\n", "\r\n"]
+    texts = ["", " ", "hello <|endoftext|> world", *("".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(2500))]
     for t in texts:
-        assert np.frombuffer(e.encode(t), e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(e.encode(t), e.dtype).tolist() == whole(t), repr(t)
+    assert name != "byte_bpe_50k.json" or whole(texts[2]) == [31373, 220, 50256, 995]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoding_of_given_documents(name):
+    import pyarrow.parquet as pq
+
+    e, whole = encode.Encoder(vocabulary(name)), library(name)
+    for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
+        assert np.frombuffer(e.encode(t), e.dtype).tolist() == whole(t)
 
 
 def test_token_files(spark):
@@ -119,9 +137,9 @@ def test_token_files(spark):
     files = token_files.write_token_files(docs(spark, rows, "shard", "base"), vocabulary("byte_bpe_50k.json"), 0)
     got = sorted(files.digest(spark).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [3, 3, 4, 5, 9]
-    e, at = encode.encoder(vocabulary("byte_bpe_50k.json")), 0
+    whole, at = library("byte_bpe_50k.json"), 0
     for r, t in zip(got, [None, "again", "zwei drei", "hello world", ""], strict=True):
-        ids = np.concatenate((np.frombuffer(e.encode(t), e.dtype), [0])).astype("<u4")
+        ids = np.array([*whole(t), 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_files.TokenFiles.open(files.folder).shards == files.shards
@@ -129,7 +147,7 @@ def test_token_files(spark):
 
 
 def test_packing(spark):
-    rows = [(i, t) for i, t in ODD if i != 9] + [(20, "a b c " * 50)]
+    rows = [(i, t) for i, t in ODD if i != 9] + [(20, "a b c " * 50), (21, "stop <|endoftext|> here")]
     got = packing.pack(docs(spark, rows, "part", "at", "ids"), vocabulary("word_bpe_49k.json"), 1, window=16, with_tokens=True).collect()
     for s in {r.sequence_id for r in got}:
         at = 0
@@ -137,7 +155,17 @@ def test_packing(spark):
             assert r.offset == at and zlib.crc32(r.tokens) == r.ids_crc32 and len(r.tokens) == 4 * r.length
             at += r.length
         assert at == 16 or s == max(r.sequence_id for r in got)
-    assert sum(r.length for r in got if r.doc_id == 20) == 151 and sum(r.length for r in got if r.doc_id == 1) == 1
+    whole, texts = library("word_bpe_49k.json"), {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        if r.start == 0:
+            texts.setdefault(r.doc_id, []).append([])
+        assert r.start == len(texts[r.doc_id][-1])
+        texts[r.doc_id][-1] += np.frombuffer(r.tokens, "<u4").tolist()
+        assert r.boundary == (r.length < r.doc_tokens)
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append([*whole(t), 1])
+    assert {k: sorted(v) for k, v in texts.items()} == {k: sorted(v) for k, v in want.items()}
     assert packing.pack(docs(spark, []), vocabulary("word_bpe_49k.json"), 1).count() == 0
 
 
@@ -164,6 +192,30 @@ def test_toxicity_learns_pairs(spark):
     assert right / len(held) > 0.93 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_toxicity_of_terms_that_say_nothing_alone():
+    """The label is the exclusive-or of two terms, each in half of the rows of either label."""
+    r = random.Random(8)
+    places, toxic = [], []
+    for _ in range(1200):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        places.append(np.unique([r.randrange(10, 400) for _ in range(30)] + [1] * a + [2] * b).astype(np.int32))
+        toxic.append(float(a != b))
+    fm = toxicity.fit(places[:800], np.array(toxic[:800]))
+    doc, place = np.repeat(np.arange(400), [len(p) for p in places[800:]]), np.concatenate(places[800:])
+    right = np.mean((fm.logits(doc, place, 400) > 0) == np.array(toxic[800:], bool))
+    linear = fm.bias + np.bincount(doc, fm.weight[place], 400)
+    assert right > 0.95 and abs(np.mean((linear > np.median(linear)) == np.array(toxic[800:], bool)) - 0.5) < 0.15
+
+
+def test_terms_of_long_texts(monkeypatch):
+    text = " ".join(f"word{k} x{k}" for k in range(300)).encode()
+    buf, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = toxicity._terms(buf, bounds, None)
+    for module in (textblocks, toxicity):
+        monkeypatch.setattr(module, "BLOCK", 64)
+    assert all(map(np.array_equal, whole, toxicity._terms(buf, bounds, None)))
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, None), (4, 1), (4, 0), (99, 1)], "doc_id long, toxic int")
     got = toxicity.classify(docs(spark, ODD), labels).collect()
@@ -243,6 +295,58 @@ def test_pii_discovers_spaced_numbers(spark):
     assert all(masked[k] == "please call me at [PHONE] if it suits" for k in new)
 
 
+def test_pii_discovers_by_shape(spark):
+    rows = [(k, f"w{k} +1 (377) 555-40{k:02d} v{k}") for k in range(60)] + [(100, "a +1 (826) 555-4081 10.0.0.1 b"), (101, "order 4111111111111112")]
+    got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs(spark, rows))).collect()}
+    assert got[100].spans == "phone:2:19,ip:20:28" and (got[100].n_phone, got[100].n_discovered) == (0, 1) and got[101].spans == ""
+
+
+def test_pii_finds_secrets(spark):
+    rows = [(k, f'w{k} token = "abcdef{k:02d}abcdef{k:02d}" v') for k in range(20)]
+    rows += [(50, 'api_key: "short"'), (51, 'the name is "abcdefgh1234567" here'), (52, 'x token = "abcdef123456 rest'), (53, None)]
+    df = docs(spark, rows)
+    got = {r.doc_id: r for r in pii.digest(pii.find_pii(df)).collect()}
+    assert got[3].secrets == "secret:12:28" and got[3].spans == "" and got[3].n_private == 1 and got[50].n_private == got[51].n_private == got[53].n_private == 0
+    assert got[52].secrets == "secret:11:23"  # by the words before it
+    masked = {r.doc_id: r.text for r in pii.mask_pii(df).collect()}
+    assert masked[3] == 'w3 token = "[SECRET]" v' and masked[52] == 'x token = "[SECRET] rest' and masked[51] == rows[21][1]
+
+
+def brute_scores(edges, rounds, damping):
+    """The graph's scores by the definition: edges (pattern, instance, seed)."""
+    sure = {}
+    for _, i, k in edges:
+        if k >= 0:
+            sure.setdefault(i, set()).add(k)
+    links = {(p, i) for p, i, _ in edges}
+    belief = {(i, k): 1.0 for i, ks in sure.items() for k in ks}
+    for r in range(rounds):
+        reliability = {}
+        for p in {p for p, _ in links}:
+            own = [i for q, i in links if q == p]
+            for k in range(5):
+                if support := [belief[i, k] for i in own if (i, k) in belief]:
+                    reliability[p, k] = sum(support) / (len(own) + damping)
+        if r + 1 < rounds:
+            belief = {(i, k): 1.0 for i, ks in sure.items() for k in ks}
+            for i in {i for _, i in links} - set(sure):
+                for k in range(5):
+                    doubt = [1 - min(reliability[p, k], 0.999) for p, j in links if j == i and (p, k) in reliability]
+                    if doubt and 1 - np.prod(doubt) >= pii.BELIEF:
+                        belief[i, k] = 1 - np.prod(doubt)
+    return reliability
+
+
+def test_scores_of_the_pii_graph(spark):
+    r = random.Random(12)
+    edges = [(f"p{r.randrange(12)}", f"i{k}", seed) for k in range(60) for seed in [r.choice([-1, -1, 0, 1, 3])] for _ in range(r.randint(1, 4))]
+    edges += [("p1", "i3", 2), ("p0", "i3", -1)]
+    got = pii.score_graph(spark.createDataFrame(edges, "pattern string, instance string, seed int"), workdir(spark, "graph"), 3, 3.0)
+    got = {(x.pattern, x.kind): x.reliability for x in got.collect()}
+    want = brute_scores(edges, 3, 3.0)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_instances_of_pii():
     found = lambda t: [t[s:e] for s, e in pii._instances(t, pii.base_spans(t))]
     assert found("call 030 123 456 10.0.0.1 now") == ["030 123 456"] and found("id AB123456 7 or 12/34/5678, x@y") == ["AB123456", "12/34/5678", "x@y"]
@@ -268,15 +372,23 @@ def test_plan_of_compaction():
 
 def test_store(spark):
     rows = [(k, f"text {k}") for k in range(300)] + [(None, None), (7, "text 7")]
-    df = docs(spark, rows, "run", "arrival")
+    df = docs(spark, rows, "run", "arrival", "arrival_")
     store = compaction.shard(df, workdir(spark, "store"), target_bytes=256 << 10, arrivals=16)
-    assert store.read().drop("arrival").exceptAll(df.withColumnRenamed("arrival", "arrival_")).count() == 0 and store.read().count() == len(rows)
-    assert len(store.manifest()["runs"]) < 17 and store.versions() == list(range(1, len(store.versions()) + 1))
+    assert store.read().drop("arrival").exceptAll(df.withColumnRenamed("arrival", "arrival__")).count() == 0 and store.read().count() == len(rows)
+    assert len(store.manifest()["runs"]) < 17 and store.versions() == list(range(1, len(store.versions()) + 1)) and len(store.versions()) > 1
     before = store.manifest()
+    with pytest.raises(ValueError, match="the store holds"):
+        store.append(df)
     store.append(store.read().limit(0))
     assert store.manifest()["runs"] == before["runs"]
     with pytest.raises(compaction.CommitConflict):
         store._commit(before, [], before["schema"])
+    assert all(store.read(v).count() == len(rows) for v in store.versions())  # superseded versions stay readable
+    newest = store.versions()[-1]
+    assert store.clean_up(keep=2) == list(range(1, newest - 1)) and store.versions() == [newest - 1, newest]
+    assert store.read().count() == store.read(newest - 1).count() == len(rows)
+    store.clean_up()
+    assert store.versions() == [newest] and store.read().count() == len(rows) and store.clean_up() == []
     empty = compaction.shard(docs(spark, []), workdir(spark, "store"))
     assert empty.read().count() == 0
 

@@ -40,6 +40,21 @@ def test_exact_beyond_doubles(spark):
     assert got == [(k, cut(exact[k])) for k in sorted(exact, key=lambda k: (-exact[k], k))]
 
 
+def test_exact_of_large_floats(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e17, 1.0]), (2, [1.5e17, 1.0]), (3, [1e30, 0.0])]
+    got = [(r.vec_id, r.score) for r in va_search.top_k(vectors(spark, rows), F.col("vec_id") == 0, scale=1.0).orderBy("rank").collect()]
+    exact = {k: int(float(np.float32(rows[k][1][0]))) for k in (1, 2, 3)}
+    assert got == [(3, (1 << 63) - 1), (2, exact[2]), (1, exact[1])]
+
+
+def test_searches_with_repeated_ids_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.5])]
+    got = va_search.top_k(vectors(spark, rows), F.col("vec_id") == 3, k=4, scale=2.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(0, 2), (0, -4), (1, -4), (1, -4)]
+    got = permutation_index.nearest(vectors(spark, rows), F.col("vec_id") == 2, k=4, share=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 9)) for r in got] == [(0, 1.0), (1, 1.0), (1, 1.0), (0, 0.0)]
+
+
 def test_permutation_index(spark):
     rows = sample(n=2000)
     table = vectors(spark, [*rows, *ODD, (2020, [0.0] * 16)])
