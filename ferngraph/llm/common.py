@@ -4,33 +4,48 @@ intermediate tables, and shipping this package to Python workers."""
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from ferngraph import shipping
+
+#: Bytes of an Arrow batch that goes to a Python worker, whatever the rows' lengths.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="ship-")
-    atexit.register(shutil.rmtree, folder, True)
-    archive = os.path.join(folder, f"{top.name}.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent).as_posix())
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+    """What a session needs before these operators run: the package in the
+    Python workers of every executor, and small batches for them."""
+    shipping.ship(spark)
+    spark.conf.set(*BATCH)
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: allocators keep
+    it otherwise, for a worker that may lie idle for the rest of a stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives memory back after each of them."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return wrapped
 
 
 def shared_root(spark: SparkSession) -> str:

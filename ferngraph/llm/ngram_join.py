@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import discard, small, workdir, written
+from ferngraph.llm.common import discard, lean, small, workdir, written
 from ferngraph.llm.components import components
 from ferngraph.llm.textblocks import U, mix, shingle_sets
 
@@ -304,7 +304,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     link. Reads the texts once, and moves only those of the pairs' ends."""
     ends = small(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id")), 2 * pairs.count())
     rows = docs.join(ends, "doc_id").select("a", "b", "doc_id", "text")
-    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_verified(width, percent), "a long, b long")
+    return rows.repartition("a", "b").sortWithinPartitions("a", "b", "doc_id").mapInArrow(lean(_verified(width, percent)), "a long, b long")
 
 
 def _neighbours(sets: DataFrame, percent: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _neighbours(sets: DataFrame, percent: int) -> DataFrame:
     hot = lead.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > HOT).select("key", F.ceil(F.col("rows") / HOT).alias("ways"))
     lead = lead.join(small(hot, hot.count()), "key", "left")
     lead = lead.select("key", F.coalesce(F.pmod(F.xxhash64("key", "doc_id"), "ways"), F.lit(0)).alias("salt"), "n", "doc_id")
-    met = lead.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "doc_id").mapInArrow(_met(percent), "a long, b long")
+    met = lead.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "doc_id").mapInArrow(lean(_met(percent)), "a long, b long")
     met = met.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))
     best = met.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("m")).select("a", (-F.col("m.col2")).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -355,7 +355,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     work = workdir(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sets = written(docs.mapInArrow(_sketches(width, percent), SETS), f"{work}/sets")
+    sets = written(docs.mapInArrow(lean(_sketches(width, percent)), SETS), f"{work}/sets")
 
     same = ["n", "h1", "h2"]
     classes = sets.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1")
@@ -389,7 +389,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
             least = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("ks"))
             none = F.lit((1 << 63) - 1)  # smaller than no key
             blocks = blocks.join(least.select("doc_id", *[F.coalesce(F.get("ks", F.lit(i)), none).alias(f"k{i}") for i in range(FIRSTS)]), "doc_id")
-        near = blocks.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(_near_pairs(percent, nearest), "x long, bits long, a long, b long")
+        near = blocks.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(lean(_near_pairs(percent, nearest)), "x long, bits long, a long, b long")
         near = near.groupBy("x").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b") if nearest else near.select("a", "b")
         tests = written(near.distinct().join(small(done, done.count()), ["a", "b"], "left_anti"), f"{work}/tests-{k}")
         done = done.unionByName(tests)

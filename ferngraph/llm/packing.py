@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import workdir, written
+from ferngraph.llm.common import lean, workdir, written
 from ferngraph.llm.encode import encoder
 
 ENCODED = "part long, doc_id long, at long, n_tokens long, ids binary"
@@ -86,8 +86,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048,
     spark = docs.sparkSession
     work = workdir(spark, "packing")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encoded = written(source.mapInArrow(_encoded(tokenizer_path, end_id), ENCODED), f"{work}/encoded")
+    encoded = written(source.mapInArrow(lean(_encoded(tokenizer_path, end_id)), ENCODED), f"{work}/encoded")
     base = prefix_sums(encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")), "part", "n")
     placed = encoded.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "n_tokens", "ids")
-    out = placed.mapInArrow(_cut(encoder(tokenizer_path).dtype.str, window, with_tokens), PIECES)
+    out = placed.mapInArrow(lean(_cut(encoder(tokenizer_path).dtype.str, window, with_tokens)), PIECES)
     return out if with_tokens else out.drop("tokens")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import ship
+from ferngraph.llm.common import lean, ship
 from ferngraph.llm.textblocks import U, mix
 
 MARK = "▁"
@@ -317,5 +317,5 @@ def sample_pieces(docs: DataFrame, model_path: str, alpha: float = 1.0, seed: in
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_encoded(model_path, alpha, seed, with_ids), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean, ids binary")
+    out = rows.mapInArrow(lean(_encoded(model_path, alpha, seed, with_ids)), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean, ids binary")
     return out if with_ids else out.drop("ids")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import discard, ship, small, workdir, written
+from ferngraph.llm.common import discard, lean, ship, small, workdir, written
 
 #: In the order that breaks ties of position.
 KINDS = ("email", "ip", "card", "phone")
@@ -229,7 +229,7 @@ def bootstrap(rows: DataFrame, reliability: float, rounds: int) -> DataFrame:
     work = workdir(rows.sparkSession, "pii")
     kind = rows.schema["row"].dataType.simpleString()
     schema = f"row {kind}, spans array<{SPAN}>, secrets array<{SPAN}>, slots array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>"
-    found = written(rows.mapInArrow(_found, schema), f"{work}/found")
+    found = written(rows.mapInArrow(lean(_found), schema), f"{work}/found")
     slots = found.where(F.size("slots") > 0).select("row", F.explode("slots").alias("s")).select("row", "s.*")
     places = slots.select("instance", "kind", F.explode("patterns").alias("pattern"))
     edges = written(places.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), f"{work}/edges")

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import ship, workdir
+from ferngraph.llm.common import lean, ship, workdir
 from ferngraph.llm.encode import encoder
 
 #: Tokens read and checksummed at once.
@@ -102,7 +102,7 @@ class TokenFiles:
         if not self.shards:
             return spark.createDataFrame([], schema)
         rows = spark.createDataFrame([(s["shard"], s["base"]) for s in self.shards], "shard long, base long")
-        return rows.repartition(len(self.shards)).mapInArrow(_read(self.folder, self.dtype), schema)
+        return rows.repartition(len(self.shards)).mapInArrow(lean(_read(self.folder, self.dtype)), schema)
 
     def tokens(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A shard's ids, offsets and doc_ids, memory-mapped."""
@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     fs.create_dir(path, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = sorted(ordered.mapInArrow(_write(folder, tokenizer_path, end_id), "shard long, n_docs long, n_tokens long").collect())
+    shards = sorted(ordered.mapInArrow(lean(_write(folder, tokenizer_path, end_id)), "shard long, n_docs long, n_tokens long").collect())
     base, listed = 0, []
     for s in shards:  # one row per shard
         listed.append({"shard": s.shard, "n_docs": s.n_docs, "n_tokens": s.n_tokens, "base": base})

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import ship
+from ferngraph.llm.common import give_back, lean, ship
 from ferngraph.llm.textblocks import BLOCK, U, Hasher, blocks, segments, word_spans
 
 BITS = 20
@@ -29,9 +29,9 @@ SAMPLE_ROWS = 12_000
 #: presence and the label (1 degree of freedom: by chance once in 2,000 terms).
 LEAST_ROWS, ALONE = 3, 12.0
 #: Terms whose pairs are tested: those nearest to being in half of the sampled
-#: rows. A pair needs this ratio above what its two terms reach alone (by chance
-#: once in some 10 million pairs).
-PAIR_TERMS, TOGETHER = 2048, 36.0
+#: rows. A pair's interaction has to be so many standard errors (by chance once
+#: in 500 million pairs).
+PAIR_TERMS, TOGETHER = 1024, 6.0
 
 
 def _terms(buf: np.ndarray, bounds: np.ndarray, active: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -81,43 +81,54 @@ def _ratio(toxic: np.ndarray, rows: np.ndarray, share: float) -> np.ndarray:
         return 2 * (own + np.nan_to_num((rows - toxic) * np.log((rows - toxic) / (rows * (1 - share)))))
 
 
-def _joint(flat: np.ndarray, doc: np.ndarray, y: np.ndarray, terms: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Those of the terms that say with another of them what they don't say alone."""
-    n, share, m = len(y), y.mean(), len(terms)
-    rank = np.full(1 << BITS, -1)
+def _chunks(places: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows in runs of 1,024: which, their places, and the row of each place within the run."""
+    for at in range(0, len(places), 1024):
+        own = places[at : at + 1024]
+        yield slice(at, at + len(own)), np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+
+
+def _joint(places: list[np.ndarray], y: np.ndarray, terms: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Those of the terms that say with another of them what they don't say
+    alone: the log odds of the label over the four cells of a pair don't add up."""
+    n, m = len(y), len(terms)
+    rank = np.full(1 << BITS, -1, np.int32)
     rank[terms] = np.arange(m)
     both, both_toxic = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
-    col, row = rank[flat], doc
-    row, col = row[col >= 0], col[col >= 0]
-    for at in range(0, n, 2048):
-        x = np.zeros((min(2048, n - at), m), np.float32)
-        a, b = np.searchsorted(row, (at, at + 2048))
-        x[row[a:b] - at, col[a:b]] = 1
+    for run, flat, row in _chunks(places):
+        col = rank[flat]
+        x = np.zeros((run.stop - run.start, m), np.float32)
+        x[row[col >= 0], col[col >= 0]] = 1
         both += x.T @ x
-        x = x[y[at : at + 2048] > 0]
+        x = x[y[run] > 0]
         both_toxic += x.T @ x
-    alone = _ratio(toxic[terms], rows[terms], share) + _ratio(y.sum() - toxic[terms], n - rows[terms], share)
-    good = np.zeros(m, bool)
+    good, r, t = np.zeros(m, bool), rows[terms], toxic[terms]
     for k in range(m):
-        r, t = rows[terms], toxic[terms]
-        cells = ((both_toxic[k], both[k]), (t[k] - both_toxic[k], r[k] - both[k]), (t - both_toxic[k], r - both[k]), (y.sum() - t - t[k] + both_toxic[k], n - r - r[k] + both[k]))
-        gain = sum(_ratio(a.astype(float), b.astype(float), share) for a, b in cells) - alone[k] - alone
-        gain[k] = 0
-        good[k] = gain.max() > TOGETHER
+        b, bt = both[k].astype(float), both_toxic[k].astype(float)
+        z, spread = np.zeros(m), np.zeros(m)
+        for sign, ct, cr in ((1, bt, b), (-1, t[k] - bt, r[k] - b), (-1, t - bt, r - b), (1, y.sum() - t - t[k] + bt, n - r - r[k] + b)):
+            z += sign * np.log((ct + 0.5) / (cr - ct + 0.5))
+            spread += 1 / (ct + 0.5) + 1 / (cr - ct + 0.5)
+        z /= np.sqrt(spread)
+        z[k] = 0
+        good[k] = np.abs(z).max() > TOGETHER
     return terms[good]
 
 
-def chosen_terms(flat: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The places that get weights and factors; doc is ascending."""
+def chosen_terms(places: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The places that get weights and factors."""
     size, n, share = 1 << BITS, len(y), y.mean()
-    toxic, rows = np.bincount(flat, y[doc], size), np.bincount(flat, minlength=size)
+    toxic, rows = np.zeros(size), np.zeros(size)
+    for run, flat, row in _chunks(places):
+        rows += np.bincount(flat, minlength=size)
+        toxic += np.bincount(flat, y[run][row], size)
     alone = _ratio(toxic, rows, share) + _ratio(y.sum() - toxic, n - rows, share)
     seen = np.flatnonzero(rows >= LEAST_ROWS)
     even = seen[np.argsort(-np.minimum(rows[seen], n - rows[seen]), kind="stable")[:PAIR_TERMS]]
-    return np.union1d(seen[alone[seen] > ALONE], _joint(flat, doc, y, np.sort(even), toxic, rows))
+    return np.union1d(seen[alone[seen] > ALONE], _joint(places, y, np.sort(even), toxic, rows))
 
 
-def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: int = 40, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
+def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: int = 20, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
     """Fit by AdaGrad on the log loss. Of one class only, or of no rows, the
     model is the share of label 1 alone; so it is where no term tells anything."""
     n, y = len(toxic), np.asarray(toxic, float)
@@ -125,41 +136,40 @@ def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: i
     none = FactorizationMachine(float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if y.sum() in (0, n):
         return none
-    flat, lengths = np.concatenate(places), np.array([len(p) for p in places])
-    doc = np.repeat(np.arange(n), lengths)
-    chosen = chosen_terms(flat, doc, y)
+    chosen = chosen_terms(places, y)
     if not len(chosen):
         return none
-    rank = np.full(size, -1)
+    rank = np.full(size, -1, np.int32)
     rank[chosen] = np.arange(len(chosen))
-    keep = rank[flat] >= 0
-    idx, doc = rank[flat[keep]], doc[keep]
-    start = np.searchsorted(doc, np.arange(n + 1))
+    own = [r[r >= 0] for r in (rank[p] for p in places)]
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)), none.bias
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
     for _ in range(rounds):
-        order = rng.permutation(n)
-        for batch in np.array_split(order, max(1, n // 128)):
-            cuts = [slice(start[d], start[d + 1]) for d in batch]
-            i = np.concatenate([idx[c] for c in cuts])
-            of = np.repeat(np.arange(len(batch)), [c.stop - c.start for c in cuts])
-            vi = v[i]
-            total = np.zeros((len(batch), factors))
-            square = np.zeros_like(total)
-            np.add.at(total, of, vi)
-            np.add.at(square, of, vi**2)
+        for batch in np.array_split(rng.permutation(n), max(1, n // 128)):
+            i = np.concatenate([own[d] for d in batch])
+            lengths = np.array([len(own[d]) for d in batch])
+            of, some = np.repeat(np.arange(len(batch)), lengths), lengths > 0
+            total, square = np.zeros((len(batch), factors)), np.zeros((len(batch), factors))
+            vi, starts = v[i], (np.cumsum(lengths) - lengths)[some]
+            if len(i):
+                total[some], square[some] = np.add.reduceat(vi, starts), np.add.reduceat(vi**2, starts)
             z = b + np.bincount(of, w[i], len(batch)) + 0.5 * (total**2 - square).sum(1)
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / len(batch)
-            dw = np.bincount(i, g[of], len(w)) + l2 * w / len(batch)
-            dv = np.zeros_like(v)
-            np.add.at(dv, i, g[of, None] * (total[of] - vi))
-            dv += l2 * v / len(batch)
             db = g.sum()
-            gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
-            w -= 0.2 * dw / np.sqrt(gw)
-            v -= 0.03 * dv / np.sqrt(gv)
+            gb += db**2
             b -= 0.2 * db / np.sqrt(gb)
+            if not len(i):
+                continue
+            order = np.argsort(i, kind="stable")
+            first = np.flatnonzero(np.diff(i[order], prepend=-1))
+            u = i[order][first]
+            dw = np.add.reduceat(g[of][order], first) + l2 * w[u] / len(batch)
+            dv = np.add.reduceat((g[of, None] * (total[of] - vi))[order], first) + l2 * v[u] / len(batch)
+            gw[u] += dw**2
+            gv[u] += dv**2
+            w[u] -= 0.2 * dw / np.sqrt(gw[u])
+            v[u] -= 0.03 * dv / np.sqrt(gv[u])
     out = FactorizationMachine(float(b), none.weight, none.factors)
     out.weight[chosen], out.factors[chosen] = w, v
     return out
@@ -189,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
-    got = rows.mapInArrow(_places, "toxic double, places binary").toArrow()
+    got = rows.mapInArrow(lean(_places), "toxic double, places binary").toArrow()
     order = sorted(zip(got["toxic"].to_pylist(), got["places"].to_pylist(), strict=True))
     return fit([np.frombuffer(p, np.int32) for _, p in order], np.array([t for t, _ in order]))
 
@@ -218,6 +228,7 @@ def scorer(docs: DataFrame, model: FactorizationMachine):
                 z = fm.logits(doc, rank[place], len(bounds) - 1)
                 scores.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
             yield pa.array(np.concatenate(scores))
+            give_back()
 
     return score
 
