@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ferngraph.functions import anchor, short_function_name
+from ferngraph.functions import anchor, is_stdlib, short_function_name
 from ferngraph.operators import calls, delivery, liveness, metrics, packages, resolve, state, surfaces, types
 from ferngraph.operators.delivery import Diagram, Options
 from ferngraph.sources import config
 from ferngraph.sources.catalog import FactCatalog
-from ferngraph.sources.gofacts import FactSet, go_facts
+from ferngraph.sources.gofacts import go_facts
+from ferngraph.sources.gotypes import FactSet
 
 
 def _plain(v):
@@ -57,8 +58,9 @@ class Engine:
         found = types.pick_interface(known, interface).collect()
         if not found:
             raise resolve.NotFound(f"interface not found: {interface}")
-        need = facts["iface_methods"].where((F.col("pkg_path") == found[0].pkg_path) & (F.col("iface") == found[0].iface))
-        rows = types.implementors(facts["types"], facts.method_sets(), need).join(facts["types"], ["pkg_path", "type_name"])
+        rows = types.implementors(facts["types"], facts.method_sets(), facts.needs(found[0].pkg_path, found[0].iface)).join(facts["types"], ["pkg_path", "type_name"])
+        if not include_stdlib:
+            rows = rows.join(facts["files"].select("pkg_path", "module_path").distinct(), "pkg_path").where(F.col("is_root") | (F.col("module_path") != "") | ~is_stdlib("pkg_path"))
         rows = rows.select(F.col("type_name").alias("struct"), F.col("pkg_path").alias("package"), "file", "line", anchor("file", "line", "type_name").alias("anchor"))
         out = self._page("topology", rows, ["package", "struct", "file", "line"], ["package", "struct"], root, o)
         return out | ({"summary": {"total_implementors": out["total"]}} if summary else {})
@@ -149,7 +151,7 @@ class Engine:
 
     def detect_import_cycles(self, root: str, patterns: list[str] | None = None) -> dict:
         facts = self._facts(root, patterns)
-        edges = facts["imports"].select(F.col("pkg_path").alias("src"), F.col("import_path").alias("dst"))
+        edges = facts["imports"].select(F.col("pkg_path").alias("src"), F.col("import_path").alias("dst")).distinct()
         rows = packages.import_cycles(edges, facts.packages().select(F.col("pkg_path").alias("id"))).orderBy("size", F.col("members")[0]).collect()
         return {"cycles": [{"members": list(r.members)} for r in rows], "total": len(rows)}
 
@@ -157,10 +159,12 @@ class Engine:
 
     def trace_struct_lifecycle(self, root: str, struct: str, patterns: list[str] | None = None, dedupe_mode: str = "", max_hops: int = 0, summary: bool = False, **o) -> dict:
         settings, facts = config.effective(root)["lifecycle"], self._facts(root, patterns)
-        rows = state.dedupe(state.hops(facts["instrs"], struct), dedupe_mode or settings["dedupe_mode"])
-        order = ["file", "line", "function", "kind"]
-        capped = rows.orderBy(*order).limit(state.max_hops(max_hops or settings["max_hops"])).withColumn("anchor", anchor("file", "line", short_function_name("function")))
+        rows = state.dedupe(state.hops(facts.instrs(), struct), dedupe_mode or settings["dedupe_mode"])
+        order, most = ["file", "line", "function", "kind", "field"], state.max_hops(max_hops or settings["max_hops"])
+        capped = rows.orderBy(*order).limit(most).withColumn("anchor", anchor("file", "line", short_function_name("function")))
         out = self._page("lifecycle", capped, order, order, root, o)
+        total = rows.count()
+        out |= {"total": total, "total_before_truncate": total, "truncated": out["truncated"] or total > most}
         if summary:
             out["summary"] = {}
             for r in state.hop_summary(rows).collect():
@@ -169,8 +173,8 @@ class Engine:
 
     def detect_concurrency_risks(self, root: str, patterns: list[str] | None = None) -> dict:
         facts = self._facts(root, patterns)
-        stores = facts["instrs"].where("op = 'Store' and field <> ''")
-        rows = state.risks(facts["go_sites"].where("target <> ''"), stores, state.protected(state.classify_calls(facts["calls"].select(F.col("caller").alias("fn_id"), "callee_str", "method_name"))))
+        stores = facts.instrs().where("op = 'Store' and field <> ''")
+        rows = state.risks(facts.go_sites().where("target <> ''"), stores, state.protected(state.classify_calls(facts.roots("calls").select(F.col("caller").alias("fn_id"), "callee_str", "method_name"))))
         rows = rows.withColumn("reasoning", F.lit("field is written in a goroutine without a visible lock or atomic operation")).withColumn("anchor", anchor("file", "line", short_function_name("function")))
         return {"risks": _plain(rows.orderBy("file", "line", "struct", "field").collect())}
 
@@ -178,42 +182,49 @@ class Engine:
 
     def list_entrypoints(self, root: str, patterns: list[str] | None = None, **o) -> dict:
         facts = self._facts(root, patterns)
-        rows = liveness.entrypoints(facts["functions"].where("is_root"), facts["go_sites"])
+        rows = liveness.entrypoints(facts.roots("functions"), facts.go_sites())
         return self._page("entrypoints", rows, ["kind", "package", "function"], ["kind", "package", "function"], root, o)
 
     def list_http_routes(self, root: str, patterns: list[str] | None = None, **o) -> dict:
-        rows = surfaces.routes(self._facts(root, patterns)["route_calls"])
+        rows = surfaces.routes(self._facts(root, patterns).route_calls())
         return self._page("routes", rows, ["path", "method", "file", "line"], ["method", "path", "file", "line"], root, o)
 
     def list_grpc_endpoints(self, root: str, patterns: list[str] | None = None, **o) -> dict:
         facts = self._facts(root, patterns)
-        regs = surfaces.registrations(facts["grpc_register_calls"], facts["grpc_register_funcs"], facts["grpc_services"])
-        ends = surfaces.endpoints(facts["grpc_services"], facts["grpc_methods"], surfaces.implementations(regs)).withColumn("entry", F.lit("endpoint"))
+        regs = surfaces.registrations(facts.roots("grpc_register_calls"), facts.roots("grpc_register_funcs"), facts.roots("grpc_services"))
+        services = facts.roots("grpc_services").select("pkg_path", "desc_name", "service", "file", "line")
+        ends = surfaces.endpoints(services, facts.roots("grpc_methods").drop("is_root"), surfaces.implementations(regs)).withColumn("entry", F.lit("endpoint"))
         regs = regs.where("service is not null").select("service", F.col("callee_name").alias("method"), "implementation", "file", "line", F.lit("registration").alias("entry"))
         every = ends.unionByName(regs, allowMissingColumns=True)
-        out = self._page("grpc", every, ["entry", "service", "method"], ["entry", "service", "method"], root, o)
+        key = ["entry", "service", "method", "rpc_type", "file", "line"]
+        every = every.withColumns({c: F.coalesce(F.col(c), F.lit("" if c != "line" else 0)) for c in ("rpc_type", "file", "line")})
+        out = self._page("grpc", every, key, key, root, o)
         out |= {"endpoints": [r for r in out["items"] if r["entry"] == "endpoint"], "registrations": [r for r in out.pop("items") if r["entry"] == "registration"]}
         return out
 
     def find_dead_code(self, root: str, patterns: list[str] | None = None, include_exported: bool = False, **o) -> dict:
         facts = self._facts(root, patterns)
-        nodes = liveness.candidates(facts["functions"].where("is_root"), include_exported).withColumnRenamed("fn_id", "id")
+        nodes = liveness.candidates(facts.roots("functions"), include_exported).withColumnRenamed("fn_id", "id")
         edges = facts.call_edges().select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
         # a closure runs where it stands: its function reaches it
-        inner = facts["calls"].select("caller").where(F.col("caller").contains("$")).distinct().select(F.expr("regexp_replace(caller, '[$][0-9]+$', '')").alias("src"), F.col("caller").alias("dst"))
-        rows = liveness.dead(nodes, edges.unionByName(inner), liveness.seeds(facts["functions"], facts["go_sites"]))
+        inner = facts.roots("functions").where("parent_fn <> ''").select(F.col("parent_fn").alias("src"), F.col("fn_id").alias("dst"))
+        # a method whose name is called on something unknown may be what is called, and values of package variables are made first of all
+        maybe = facts.open_methods().select(F.lit("?").alias("src"), F.col("fn_id").alias("dst"))
+        first = self.spark.createDataFrame([("?",)], "id string").unionByName(facts.roots("calls").select(F.concat("pkg_path", F.lit(".init")).alias("id")).distinct())
+        start = liveness.seeds(facts.roots("functions"), facts.go_sites()).unionByName(first)
+        rows = liveness.dead(nodes, edges.unionByName(inner).unionByName(maybe), start)
         rows = rows.select("kind", F.col("id").alias("function"), F.col("pkg_path").alias("package"), "exported", "file", "line", anchor("file", "line", "name").alias("anchor"))
         return self._page("dead", rows, ["kind", "package", "function"], ["kind", "function"], root, o)
 
     def find_duplicate_methods(self, root: str, patterns: list[str] | None = None, min_lines: int = 0, **o) -> dict:
-        prints = metrics.fingerprints(self._facts(root, patterns)["func_bodies"])
+        prints = metrics.fingerprints(self._facts(root, patterns).roots("func_bodies"))
         groups = metrics.duplicate_groups(prints, min_lines)
         return self._page("duplicates", groups, ["count", "body_lines", "body_hash", "signature"], ["signature", "body_hash"], root, o, ("count", "body_lines"))
 
     def compute_complexity_metrics(self, root: str, patterns: list[str] | None = None, sort_by: str = "", include_packages: bool = False, min_cyclomatic: int = 0, min_cognitive: int = 0, min_volume: float = 0, max_maintainability: float = 0, **o) -> dict:
         settings, facts = config.effective(root)["complexity"], self._facts(root, patterns)
-        scores = metrics.halstead(metrics.halstead_counts(facts["halstead_tokens"])).withColumnRenamed("fn_id", "function")
-        rows = facts["control_flow"].join(scores, "function", "left").fillna(0, ["volume", "difficulty", "effort"])
+        scores = metrics.halstead(metrics.halstead_counts(facts.roots("halstead_tokens"))).withColumnRenamed("fn_id", "function")
+        rows = facts.roots("control_flow").join(scores, "function", "left").fillna(0, ["volume", "difficulty", "effort"])
         rows = rows.withColumn("maintainability", metrics.maintainability(F.col("volume"), F.col("cyclomatic"), F.col("body_lines"))).withColumn("anchor", anchor("file", "line", short_function_name("function")))
         kept = metrics.complexity_filter(rows, min_cyclomatic or settings["min_cyclomatic"], min_cognitive or settings["min_cognitive"], min_volume, max_maintainability)
         mode = sort_by or settings["sort_by"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferngraph.functions import anchor
-from ferngraph.plans.graphs import reach
+from ferngraph.plans.graphs import checkpointed, reach
 
 HIERARCHY_DEPTH, CALLERS_DEPTH, PATH_DEPTH, PATHS = 3, (3, 8), (8, 12), (20, 100)
 
@@ -29,14 +29,18 @@ def path_limits(depth: int, paths: int) -> tuple[int, int]:
 
 def _walk(edges: DataFrame, roots: DataFrame, depth: int, at: str, to: str) -> DataFrame:
     """Edges met within depth steps from the roots, each (caller, callee) once:
-    at its fewest steps, then at its first site. Levels are unrolled joins; a
-    frontier holds each node once."""
-    frontier, levels = roots.select(F.col("id").alias(at)).distinct(), []
+    at its fewest steps, then at its first site. A level is one join with a
+    frontier of nodes that are new; frontiers are checkpointed, so no level
+    computes the ones before again."""
+    frontier, seen, levels = roots.select(F.col("id").alias(at)).distinct(), None, []
     for k in range(1, depth + 1):
         hop = edges.join(frontier, at).withColumn("depth", F.lit(k))
         levels.append(hop)
         if k < depth:
-            frontier = hop.select(F.col(to).alias(at)).distinct()
+            seen = frontier if seen is None else checkpointed(seen.unionByName(frontier))
+            frontier = checkpointed(hop.select(F.col(to).alias(at)).distinct().join(seen, at, "left_anti"))
+            if frontier.isEmpty():
+                break
     every = reduce(DataFrame.unionByName, levels)
     if "site_ord" not in every.columns:
         return every.groupBy(*edges.columns).agg(F.min("depth").alias("depth"))
@@ -78,19 +82,25 @@ def full_summary(edges: DataFrame) -> DataFrame:
 def paths(edges: DataFrame, start: DataFrame, target: DataFrame, max_depth: int = 8, max_paths: int = 20) -> DataFrame:
     """(length, path): simple paths from start to target (tables of one id),
     shortest first, then by the path, at most max_paths. Nodes that can't reach
-    the target in the steps left are dropped at every level. A path from a node
-    to itself is never found."""
+    the target in the steps left are dropped at every level, and no level is
+    tried once shorter paths fill the quota. A path from a node to itself is
+    never found."""
     depth, most = path_limits(max_depth, max_paths)
     pairs = edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    left = reach(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), target).where(F.col("depth") < depth).select(F.col("id").alias("dst"), F.col("depth").alias("left"))
+    pairs = checkpointed(pairs.distinct())
+    left = checkpointed(reach(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), target).where(F.col("depth") < depth).select(F.col("id").alias("dst"), F.col("depth").alias("left")))
     goal = target.select(F.col("id").alias("goal"))
     open_paths = start.select(F.col("id").alias("src"), F.array("id").alias("path")).crossJoin(F.broadcast(goal.limit(1))).where("src <> goal")
-    found = []
+    found, n = [], 0
     for k in range(1, depth + 1):
         step = open_paths.join(pairs, "src").where(~F.array_contains("path", F.col("dst")))
         step = step.join(left.where(F.col("left") <= depth - k), "dst").select(F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"), "goal")
+        step = checkpointed(step)
         found.append(step.where("src = goal").select(F.lit(k).alias("length"), "path"))
+        n += found[-1].count()
         open_paths = step.where("src <> goal")
+        if n >= most or open_paths.isEmpty():
+            break
     return reduce(DataFrame.unionByName, found).orderBy("length", "path").limit(most)
 
 
@@ -108,9 +118,9 @@ def call_type(is_go: Column, is_interface: Column) -> Column:
 
 def class_hierarchy_edges(static: DataFrame, interface_calls: DataFrame, implementors: DataFrame) -> DataFrame:
     """Static edges and, for each call of an interface's method, an edge to that
-    method of every implementor: (caller, callee, ...) from interface_calls
+    method of every implementor: (caller, call_type, ...) from interface_calls
     (caller, iface, method, ...) and implementors (iface, method, callee)."""
-    dynamic = interface_calls.join(implementors, ["iface", "method"]).withColumn("call_type", F.lit("Interface"))
+    dynamic = interface_calls.join(implementors, ["iface", "method"]).withColumn("call_type", call_type(F.col("call_type") == "Goroutine", F.lit(True)))
     return static.unionByName(dynamic.select(*static.columns))
 
 

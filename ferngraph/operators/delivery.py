@@ -97,6 +97,16 @@ def window(df: DataFrame, order: list[Column], o: Options) -> DataFrame:
     return df.limit(most) if most else df
 
 
+def _direction(name: str, down: bool, df: DataFrame) -> Column:
+    """A column that ascends as the rows are ordered; descending ones are numbers."""
+    if not down:
+        return F.col(name)
+    kind = df.schema[name].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        raise TypeError(f"{name} can't be ordered downwards: it is {kind}")
+    return (-F.col(name)).alias(name)
+
+
 def deliver(df: DataFrame, order: list[str], identifier: str, key: Column, o: Options, descending: tuple[str, ...] = ()) -> Page:
     """Chunk or window of a result. In chunks, max_items caps the whole result."""
     by = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order]
@@ -108,12 +118,11 @@ def deliver(df: DataFrame, order: list[str], identifier: str, key: Column, o: Op
         return Page(rows, total, start > 0 or end < total)
     if o.max_items > 0:
         df = df.orderBy(*by).limit(o.max_items)
-    keyed = df.withColumn("_key", key)
-    # the first and last key, and the count, in one job over a bounded state
-    head, tail = keyed.orderBy(*by).limit(1), keyed.orderBy(*[F.col(c).asc() if c in descending else F.col(c).desc() for c in order]).limit(1)
-    total = df.count()
-    first, last = ([r["_key"] for r in x.select("_key").collect()] for x in (head, tail))
-    mark = fingerprint(identifier, total, (first or [""])[0], (last or [""])[0])
+    # the count, and the keys of the first and the last row, by one aggregate
+    at = F.struct(*[_direction(c, c in descending, df) for c in order])
+    ends = df.select(key.alias("_key"), at.alias("_at")).agg(F.count("*").alias("n"), F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last")).first()
+    total = ends["n"]
+    mark = fingerprint(identifier, total, ends["first"] or "", ends["last"] or "")
     offset = 0
     if o.cursor:
         c = decode_cursor(o.cursor)

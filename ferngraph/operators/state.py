@@ -18,13 +18,13 @@ def hops(instrs: DataFrame, struct: str) -> DataFrame:
     return rows.select("kind", "struct", F.coalesce("field", F.lit("")).alias("field"), F.col("fn_id").alias("function"), "file", "line")
 
 
-#: What makes two hops the same, by mode; any other mode means the last.
-DEDUPE = {"none": None, "function_field": ("function", "field"), "function_kind_field": ("function", "kind", "field")}
+#: What makes two hops the same, by mode; no mode means none, any other the last.
+DEDUPE = {"": None, "none": None, "function_field": ("function", "field"), "function_kind_field": ("function", "kind", "field")}
 
 
 def dedupe(rows: DataFrame, mode: str, order: tuple[str, ...] = ("file", "line", "function", "kind")) -> DataFrame:
     """The first hop, in this order, of each that the mode holds to be one."""
-    keys = DEDUPE.get(mode, DEDUPE["function_kind_field"])
+    keys = DEDUPE.get(mode.strip(), DEDUPE["function_kind_field"])
     if keys is None:
         return rows
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -12,8 +12,8 @@ from ferngraph.functions import anchor
 # Router method names and the HTTP methods they register.
 ROUTER_METHODS = {
     "HandleFunc": "ANY", "Handle": "ANY",
-    "GET": "GET", "POST": "POST", "PUT": "PUT", "DELETE": "DELETE", "PATCH": "PATCH", "HEAD": "HEAD", "OPTIONS": "OPTIONS", "CONNECT": "CONNECT", "TRACE": "TRACE",
-    "Get": "GET", "Post": "POST", "Put": "PUT", "Delete": "DELETE", "Patch": "PATCH", "Head": "HEAD", "Options": "OPTIONS", "Connect": "CONNECT",
+    "GET": "GET", "POST": "POST", "PUT": "PUT", "PATCH": "PATCH", "DELETE": "DELETE", "HEAD": "HEAD", "OPTIONS": "OPTIONS", "CONNECT": "CONNECT", "TRACE": "TRACE",
+    "Get": "GET", "Post": "POST", "Put": "PUT", "Patch": "PATCH", "Delete": "DELETE", "Head": "HEAD", "Options": "OPTIONS", "Connect": "CONNECT",
     "ANY": "ANY", "Any": "ANY", "All": "ANY",
 }
 
@@ -101,7 +101,8 @@ def implementations(regs: DataFrame) -> DataFrame:
 
 
 def endpoints(services: DataFrame, methods: DataFrame, impl: DataFrame) -> DataFrame:
-    """(service, method, rpc_type, full_method, registered, implementations):
+    """(service, method, rpc_type, full_method, registered, implementations, and
+    file and line of services that have them):
     implementations by the service's full name, else by a short name that only
     one service has."""
     short = impl.withColumn("short", last_segment(F.col("service"))).groupBy("short").agg(F.count("*").alias("n"), F.max("implementations").alias("i2")).where("n = 1").drop("n")
@@ -109,4 +110,5 @@ def endpoints(services: DataFrame, methods: DataFrame, impl: DataFrame) -> DataF
     rows = services.join(methods, ["pkg_path", "desc_name"]).withColumn("short", last_segment(F.col("service")))
     rows = rows.join(impl.withColumnRenamed("implementations", "i1"), "service", "left").join(short.join(names, "short", "left_semi"), "short", "left")
     found = F.coalesce("i1", "i2", F.array().cast("array<string>"))
-    return rows.select("service", "method", rpc_type(F.col("server_streams"), F.col("client_streams")).alias("rpc_type"), F.concat(F.lit("/"), "service", F.lit("/"), "method").alias("full_method"), (F.size(found) > 0).alias("registered"), found.alias("implementations"))
+    place = [c for c in ("file", "line") if c in services.columns]
+    return rows.select("service", "method", *place, rpc_type(F.col("server_streams"), F.col("client_streams")).alias("rpc_type"), F.concat(F.lit("/"), "service", F.lit("/"), "method").alias("full_method"), (F.size(found) > 0).alias("registered"), found.alias("implementations"))

@@ -12,9 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def graph(spark: SparkSession, sf_dir: str, min_quantity: float = 0) -> DataFrame:
-    """(src, dst): parts on consecutive returned lines of one order."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+def graph(spark: SparkSession, sf_dir: str, min_quantity: float = 0, returned: bool = True) -> DataFrame:
+    """(src, dst): parts on consecutive lines of one order, returned ones unless all are asked for."""
+    lines = table(spark, sf_dir, "lineitem")
+    if returned:
+        lines = lines.where(F.col("l_returnflag") == "R")
     if min_quantity:
         lines = lines.where(F.col("l_quantity") >= min_quantity)
     a = lines.select("l_orderkey", F.col("l_partkey").alias("src"), (F.col("l_linenumber") + 1).alias("n"))
@@ -38,6 +40,14 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(size, "dst").select(F.col("src").alias("caller"), F.col("dst").alias("callee"), kind.alias("call_type"))
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(caller, callee, site_ord): the same graph with every place of an edge."""
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    a = lines.select("l_orderkey", F.col("l_partkey").alias("caller"), (F.col("l_linenumber") + 1).alias("n"))
+    b = lines.select("l_orderkey", F.col("l_partkey").alias("callee"), F.col("l_linenumber").alias("n"))
+    return a.join(b, ["l_orderkey", "n"]).where("caller <> callee").select("caller", "callee", (F.col("l_orderkey") * 10 + F.col("n")).alias("site_ord"))
+
+
 def package(brand: str = "p_brand", kind: str = "p_type") -> Column:
     return F.concat(F.col(brand), F.lit("/"), F.col(kind))
 

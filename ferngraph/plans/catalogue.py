@@ -20,6 +20,9 @@ GRAPH = """g AS (
   SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
     ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_partkey <> b.l_partkey)"""
+DENSE = """g AS (
+  SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 ROOT = "r AS (SELECT src AS id FROM g GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 SINK = "s AS (SELECT dst AS id FROM g GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
 CALLS = """c AS (
@@ -100,6 +103,18 @@ for _name, _asked, _used in (("callers_d3", 3, 3), ("callers_d8", 8, 8), ("calle
     query(_callers_sql(_used), _name)(lambda s, d, n=_asked: _callers(s, d, n))
 
 
+SITES = """c AS (
+  SELECT a.l_partkey AS caller, b.l_partkey AS callee, min(a.l_orderkey * 10 + b.l_linenumber) AS site_ord FROM lineitem a JOIN lineitem b
+    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+  WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
+
+
+@query(_with(GRAPH, ROOT, _levels(3), SITES, "SELECT caller, callee, site_ord, CAST(min(depth) AS INTEGER) AS depth FROM w JOIN c ON c.caller = w.src AND c.callee = w.dst GROUP BY 1, 2, 3", recursive=True))
+def call_hierarchy_sites(spark, sf_dir):
+    c = b.sites(spark, sf_dir)
+    return calls.hierarchy(c, b.root(c.select(F.col("caller").alias("src"), "callee").distinct()), 3)
+
+
 @query(_with(GRAPH, ROOT, _levels(3), CALLS, "SELECT call_type AS key, count(DISTINCT (caller, callee)) AS n FROM w JOIN c ON c.caller = w.src AND c.callee = w.dst GROUP BY 1", recursive=True))
 def hierarchy_summary_by_type(spark, sf_dir):
     return calls.summary(_hierarchy(spark, sf_dir, 3), "call_type")
@@ -118,14 +133,14 @@ def hierarchy_window(spark, sf_dir):
 
 
 def _paths_sql(depth: int, most: int) -> str:
-    return _with(GRAPH, ROOT, "z AS (SELECT max(dst) AS id FROM g JOIN r ON r.id <> dst WHERE dst IN (SELECT b.dst FROM g a JOIN g b ON b.src = a.dst JOIN r ON a.src = r.id))", f"""w AS (
+    return _with(DENSE, ROOT, "z AS (SELECT max(dst) AS id FROM g JOIN r ON r.id <> dst WHERE dst IN (SELECT b.dst FROM g a JOIN g b ON b.src = a.dst JOIN r ON a.src = r.id))", f"""w AS (
   SELECT g.src, g.dst AS at, [g.src, g.dst] AS path, 1 AS length FROM g JOIN r ON g.src = r.id
   UNION ALL SELECT w.src, g.dst, list_append(path, g.dst), length + 1 FROM w JOIN g ON g.src = w.at, z
   WHERE length < {depth} AND w.at <> z.id AND NOT list_contains(path, g.dst))""", f"SELECT CAST(length AS INTEGER) AS length, array_to_string(path, '>') AS path FROM (SELECT * FROM w, z WHERE w.at = z.id ORDER BY length, w.path LIMIT {most})", recursive=True)
 
 
 def _paths(spark, sf_dir, depth, most):
-    c = b.calls(spark, sf_dir)
+    c = b.graph(spark, sf_dir, returned=False).withColumnsRenamed({"src": "caller", "dst": "callee"})
     start = b.root(c.select(F.col("caller").alias("src")))
     one = c.join(start.select(F.col("id").alias("caller")), "caller").select(F.col("callee").alias("caller"))
     two = one.join(c, "caller").select(F.col("callee").alias("id")).join(start, "id", "left_anti")
@@ -134,7 +149,7 @@ def _paths(spark, sf_dir, depth, most):
     return found.select("length", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-for _name, _depth, _most in (("call_paths_d5", 5, 100), ("call_paths_shortest", 4, 1)):
+for _name, _depth, _most in (("call_paths_d4", 4, 100), ("call_paths_d3", 3, 20), ("call_paths_shortest", 3, 1)):
     query(_paths_sql(_depth, _most), _name)(lambda s, d, n=_depth, m=_most: _paths(s, d, n, m))
 
 REACH = "q AS (SELECT id FROM r UNION SELECT g.dst FROM q JOIN g ON g.src = q.id)"
@@ -179,20 +194,19 @@ def dead_include_exported(spark, sf_dir):
     return _dead(spark, sf_dir)
 
 
-@query("""SELECT 'init' AS kind, p_brand AS package, CAST(min(p_partkey) AS VARCHAR) AS "function" FROM part WHERE p_size = 2 GROUP BY 2
-UNION ALL SELECT 'main', p_brand, CAST(p_partkey AS VARCHAR) FROM part WHERE p_size = 1
-UNION ALL SELECT DISTINCT 'goroutine_start', p_brand, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '<dynamic in ' || p_partkey || '>' END FROM part WHERE p_size BETWEEN 3 AND 6""")
+@query("""WITH p AS (SELECT p_brand, p_type, p_size, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS k, p_partkey FROM part)
+SELECT 'init' AS kind, p_brand AS package, min(k) AS "function", CAST(min(p_partkey) AS INTEGER) AS line FROM p WHERE p_size = 2 GROUP BY 2
+UNION ALL SELECT 'main', p_brand, k, CAST(p_partkey AS INTEGER) FROM p WHERE p_size = 1
+UNION ALL SELECT 'goroutine_start', p_brand, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '<dynamic in ' || k || '>' END, CAST(min(p_partkey) AS INTEGER) FROM p WHERE p_size BETWEEN 3 AND 6 GROUP BY 2, 3""")
 def entrypoints(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    fn = F.col("p_partkey").cast("string")
+    fn = F.lpad(F.col("p_partkey").cast("string"), 9, "0")
+    line = F.col("p_partkey").cast("int").alias("line")
     name = F.when(F.col("p_size") == 1, "main").when(F.col("p_size") == 2, "init").otherwise("f")
-    functions = part.select(fn.alias("fn_id"), name.alias("name"), F.col("p_brand").alias("pkg_path"), F.lit("main").alias("pkg_name"), F.lit("").alias("recv_type"), F.lit("").alias("file"), F.lit(0).alias("line"))
-    # one init a package is its smallest key: ids compare as text, so the smallest number is picked here
-    first = part.where("p_size = 2").groupBy("p_brand").agg(F.min("p_partkey").cast("string").alias("fn_id")).select("fn_id")
-    functions = functions.where("name <> 'init'").unionByName(functions.join(first, "fn_id", "left_semi").select(*functions.columns))
+    functions = part.select(fn.alias("fn_id"), name.alias("name"), F.col("p_brand").alias("pkg_path"), F.lit("main").alias("pkg_name"), F.lit("").alias("recv_type"), F.lit("").alias("file"), line)
     static = F.col("p_size") % 2 == 0
-    sites = part.where("p_size between 3 and 6").select(fn.alias("fn_id"), F.col("p_brand").alias("pkg_path"), F.when(static, F.col("p_type")).alias("target"), F.when(static, "static").otherwise("dynamic").alias("target_kind"), F.lit("").alias("file"), F.lit(0).alias("line"), F.col("p_partkey").alias("ord"))
-    return liveness.entrypoints(functions, sites).select("kind", "package", "function")
+    sites = part.where("p_size between 3 and 6").select(fn.alias("fn_id"), F.col("p_brand").alias("pkg_path"), F.when(static, F.col("p_type")).alias("target"), F.when(static, "static").otherwise("dynamic").alias("target_kind"), F.lit("").alias("file"), line, F.col("p_partkey").alias("ord"))
+    return liveness.entrypoints(functions, sites).select("kind", "package", "function", "line")
 
 
 # packages
@@ -245,9 +259,9 @@ def import_cycles(spark, sf_dir):
     return _cycles(b.graph(spark, sf_dir))
 
 
-@query(_with(GRAPH.replace("a.l_partkey <> b.l_partkey", "a.l_partkey <> b.l_partkey AND a.l_quantity >= 20 AND b.l_quantity >= 20"), CYCLES, CYCLES_LAST, recursive=True))
+@query(_with(GRAPH.replace("a.l_partkey <> b.l_partkey", "a.l_partkey <> b.l_partkey AND a.l_quantity >= 15 AND b.l_quantity >= 15"), CYCLES, CYCLES_LAST, recursive=True))
 def import_cycles_sparse(spark, sf_dir):
-    return _cycles(b.graph(spark, sf_dir, 20))
+    return _cycles(b.graph(spark, sf_dir, 15))
 
 
 RULES = {"forbid": ("Brand#1/", "Brand#2/"), "allow_only": ("Brand#3/", "Brand#4/"), "allow_prefix": ("Brand#5/", "Brand#1")}
@@ -319,9 +333,9 @@ for _name, _asked, _used in (("duplicates", 0, 3), ("duplicates_min_lines", 10,
     query(_duplicates_sql(_used), _name)(lambda s, d, n=_asked: _duplicates(s, d, n))
 
 
-@query(_with(GRAPH, METRICS, 'SELECT "function", package, cyclomatic, cognitive, volume, maintainability FROM m WHERE cyclomatic >= 3 AND cognitive >= 2 AND volume >= 1000 AND maintainability <= 60'))
+@query(_with(GRAPH, METRICS, 'SELECT "function", package, cyclomatic, cognitive, volume, maintainability FROM m WHERE cyclomatic >= 2 AND cognitive >= 1 AND volume >= 950 AND maintainability <= 75'))
 def complexity_filter(spark, sf_dir):
-    rows = metrics.complexity_filter(b.metrics(spark, sf_dir), 3, 2, 1000, 60)
+    rows = metrics.complexity_filter(b.metrics(spark, sf_dir), 2, 1, 950, 75)
     return rows.select("function", "package", "cyclomatic", "cognitive", "volume", "maintainability")
 
 
@@ -343,19 +357,23 @@ for _mode in metrics.SORTS:
     query(_sort_sql(_mode), f"complexity_top_{_mode}")(lambda s, d, m=_mode: _top(s, d, m))
 
 
-@query(_with(GRAPH, METRICS, """SELECT package, count(*) AS functions, CAST(sum(cyclomatic) AS BIGINT) AS total_cyclomatic, CAST(sum(cognitive) AS BIGINT) AS total_cognitive, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive,
+@query(_with(GRAPH, METRICS, """SELECT package, count(*) AS functions, CAST(sum(cyclomatic) AS BIGINT) AS total_cyclomatic, CAST(sum(cognitive) AS BIGINT) AS total_cognitive, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive, avg(cyclomatic) AS average_cyclomatic, avg(cognitive) AS average_cognitive,
+  round(sum(volume), 1) AS total_volume, round(avg(volume), 1) AS average_volume, round(avg(maintainability), 1) AS average_maintainability,
   arg_max("function", (cognitive, cyclomatic, -"function")) AS max_function, max(volume) AS max_volume, arg_max("function", (volume, -"function")) AS max_halstead_function,
   min(maintainability) AS min_maintainability, arg_min("function", (maintainability, "function")) AS min_maintainability_function FROM m GROUP BY 1"""))
 def complexity_rollup(spark, sf_dir):
     rows = b.metrics(spark, sf_dir)
     out = metrics.rollup(rows).withColumn("max_halstead_function", F.col("max_halstead_function").cast("long"))
-    return out.select("package", "functions", "total_cyclomatic", "total_cognitive", "max_cyclomatic", "max_cognitive", "max_function", "max_volume", "max_halstead_function", "min_maintainability", "min_maintainability_function")
+    out = out.withColumns({c: F.round(c, 1) for c in ("total_volume", "average_volume", "average_maintainability")})  # sums of doubles differ in the last places
+    return out.select("package", "functions", "total_cyclomatic", "total_cognitive", "max_cyclomatic", "max_cognitive", "average_cyclomatic", "average_cognitive", "total_volume", "average_volume", "average_maintainability", "max_function", "max_volume", "max_halstead_function", "min_maintainability", "min_maintainability_function")
 
 
 @query(_with(TOKENS, HALSTEAD, """SELECT fn_id, n1, n2, t1, t2, round(coalesce(CASE WHEN n1 + n2 > 0 THEN (t1 + t2) * log2(n1 + n2) END, 0) * 100) / 100 AS volume,
-  round(CASE WHEN n2 > 0 THEN (n1 / 2.0) * (CAST(t2 AS DOUBLE) / n2) ELSE 0 END * 100) / 100 AS difficulty FROM h"""))
+  round(CASE WHEN n2 > 0 THEN (n1 / 2.0) * (CAST(t2 AS DOUBLE) / n2) ELSE 0 END * 100) / 100 AS difficulty,
+  round(round(coalesce(CASE WHEN n1 + n2 > 0 THEN (t1 + t2) * log2(n1 + n2) END, 0) * CASE WHEN n2 > 0 THEN (n1 / 2.0) * (CAST(t2 AS DOUBLE) / n2) ELSE 0 END * 100) / 100, 1) AS effort FROM h"""))
 def halstead(spark, sf_dir):
-    return metrics.halstead(metrics.halstead_counts(b.tokens(spark, sf_dir))).drop("effort")
+    rows = metrics.halstead(metrics.halstead_counts(b.tokens(spark, sf_dir)))
+    return rows.withColumn("effort", F.round("effort", 1))
 
 
 @query(_with(GRAPH, METRICS, 'SELECT "function", maintainability FROM m'))
@@ -399,7 +417,7 @@ def route_frameworks(spark, sf_dir):
 
 def _grpc(spark, sf_dir):
     """Services are suppliers, named nation.supplier; methods the part types
-    they supply; registrations order lines of one ship day."""
+    they supply; registrations all order lines."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     name = F.concat(F.lit("v"), F.col("s_suppkey").cast("string"), F.lit("."), F.col("n_name"))
     services = s.select(F.col("s_suppkey").cast("string").alias("pkg_path"), F.lit("D").alias("desc_name"), name.alias("service"))
@@ -409,14 +427,14 @@ def _grpc(spark, sf_dir):
     methods = methods.withColumn("desc_name", F.lit("D"))
     funcs = services.select("pkg_path", F.concat(F.lit("Register"), "pkg_path", F.lit("Server")).alias("func_name"), "desc_name")
     by = F.col("l_suppkey").cast("string")
-    calls_ = lines.where("l_shipdate < timestamp_ntz'1995-03-01' and l_suppkey % 3 <> 0").select(
+    calls_ = lines.select(
         F.when(F.col("l_quantity") > 25, by).otherwise("").alias("callee_pkg"), F.concat(F.lit("Register"), by, F.lit("Server")).alias("callee_name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("&srv"), (F.col("l_partkey") % 4).cast("string")).alias("implementation"),
     )
     return services, methods, surfaces.registrations(calls_, funcs, services)
 
 
 GRPC = """sv AS (SELECT s_suppkey, 'v' || s_suppkey || '.' || n_name AS service, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-rg AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ord, '&srv' || (l_partkey % 4) AS impl FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01' AND l_suppkey % 3 <> 0),
+rg AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS ord, '&srv' || (l_partkey % 4) AS impl FROM lineitem),
 im AS (SELECT service, n_name, string_agg(impl, ',' ORDER BY o, impl) AS impls FROM (SELECT service, n_name, impl, min(ord) AS o FROM sv JOIN rg ON l_suppkey = s_suppkey GROUP BY 1, 2, 3) GROUP BY 1, 2),
 mt AS (SELECT l_suppkey, p_type AS method, max(p_size) % 2 = 0 AS ss, min(p_size) % 2 = 0 AS cs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 un AS (SELECT n_name, max(impls) AS impls FROM im WHERE n_name IN (SELECT n_name FROM sv GROUP BY 1 HAVING count(*) = 1) GROUP BY 1 HAVING count(*) = 1),
@@ -505,6 +523,14 @@ def json_graph_nodes(spark, sf_dir):
     return delivery.graph_nodes(edges, ["from", "to"]).withColumn("label", F.col("label").cast("string"))
 
 
+@query(_with(GRAPH, ROOT, _levels(2), CALLS,
+    "x AS (SELECT caller, callee, call_type, row_number() OVER (ORDER BY min(depth), caller, callee) AS e FROM w JOIN c ON c.caller = w.src AND c.callee = w.dst GROUP BY 1, 2, 3 QUALIFY e <= 50)",
+    "y AS (SELECT caller AS label, e, 0 AS p FROM x UNION ALL SELECT callee, e, 1 FROM x)",
+    "f AS (SELECT label, row_number() OVER (ORDER BY min((e, p))) - 1 AS k FROM y GROUP BY 1)",
+    "l AS (SELECT 'n' || a.k AS s, 'n' || z.k AS t, call_type FROM x JOIN f a ON a.label = caller JOIN f z ON z.label = callee)",
+    """m AS (SELECT 0 AS part, 0 AS pos, '%% calls' AS line UNION ALL SELECT 1, 0, 'graph TD' UNION ALL SELECT 2, k, '  n' || k || '["' || label || '"]' FROM f
+    UNION ALL SELECT 3, row_number() OVER (ORDER BY s, t, call_type), '  ' || s || ' -->|' || call_type || '| ' || t FROM l)""",
+    "SELECT CAST(row_number() OVER (ORDER BY part, pos) - 1 AS INTEGER) AS n, line FROM m", recursive=True))
 def mermaid_lines(spark, sf_dir):
     rows = _hierarchy(spark, sf_dir, 2).orderBy(*calls.EDGE_ORDER).limit(50).collect()
     d = delivery.Diagram("calls", "TD")
@@ -512,5 +538,3 @@ def mermaid_lines(spark, sf_dir):
         d.edge(str(r.caller), str(r.callee), r.call_type)
     return spark.createDataFrame(list(enumerate(d.render("mermaid").splitlines())), "n int, line string")
 
-
-QUERIES["mermaid_lines"] = mermaid_lines

@@ -1,7 +1,7 @@
 """Graph loops that run either in one task or over the cluster.
 
-A graph whose edges were counted and are at most LOCAL_EDGES fits one task many
-times over, and a loop of jobs would cost more than its work. Beyond that count
+A graph whose edges and seeds were counted and are at most LOCAL_EDGES fits one
+task many times over, and a loop of jobs would cost more than its work. Beyond that count
 the loops run level by level over the cluster, with each level checkpointed.
 """
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferngraph.shipping import ship
+
 LOCAL_EDGES = 2_000_000
 
 
@@ -21,6 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        # a folder of this machine only where the setting is missing, as in tests
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
@@ -68,11 +71,11 @@ def reach(edges: DataFrame, seeds: DataFrame, bound: int | None = None) -> DataF
     """(id, depth): every node reachable from the seeds (column id) over edges
     (src, dst), the seeds included at depth 0."""
     kind = seeds.schema["id"].dataType.simpleString()
-    pairs, seeds = edges.select("src", "dst").distinct(), seeds.select("id").distinct()
-    if is_small(pairs, bound):
+    ship(edges.sparkSession)
+    pairs, seeds = checkpointed(edges.select("src", "dst").distinct()), checkpointed(seeds.select("id").distinct())
+    if is_small(pairs.unionByName(seeds.select(F.col("id").alias("src"), F.col("id").alias("dst"))), bound):
         both = pairs.unionByName(seeds.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst")))
         return both.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(reach_locally, f"id {kind}, depth int")
-    pairs = checkpointed(pairs)
     seen = frontier = checkpointed(seeds.withColumn("depth", F.lit(0)))
     k = 0
     while not frontier.isEmpty():
@@ -138,7 +141,8 @@ def strong_components(edges: DataFrame, bound: int | None = None) -> DataFrame:
     """(id, component): the smallest id of each node's strongly connected
     component, over edges (src, dst)."""
     kind = edges.schema["src"].dataType.simpleString()
-    pairs = edges.select("src", "dst").distinct()
+    ship(edges.sparkSession)
+    pairs = checkpointed(edges.select("src", "dst").distinct())
     if is_small(pairs, bound):
         return pairs.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(components_locally, f"id {kind}, component {kind}")
     nodes = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()

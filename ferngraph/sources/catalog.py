@@ -9,7 +9,7 @@ import threading
 from collections import OrderedDict
 from collections.abc import Callable
 
-from ferngraph.sources.gofacts import FactSet
+from ferngraph.sources.gotypes import FactSet
 
 CAPACITY = 2
 

@@ -1,61 +1,98 @@
 """Fact tables of a Go code base, by Spark: files are read in parallel, each is
 parsed on its own, and every fact table is a projection of the parsed rows.
 
-Without a type checker, calls and stores are resolved by names: functions and
-types of the package, imported packages, and local variables whose type a
-declaration, a literal or a parameter states. What can't be resolved so has an
-empty target. Facts made elsewhere can be given instead (FactSet).
+Without a type checker, a file's facts name types by symbols: a type, the result
+of a function, a package's variable, followed by the fields and methods taken
+from it. Joins with the tables of fields, results and embedded types tell what a
+symbol is (sources/gotypes.py). What stays open, such as values from
+packages that aren't read, has an empty target. Facts made elsewhere can be
+given instead (FactSet).
 """
 
 from __future__ import annotations
 
+import ast
 import json
 import os
 import posixpath
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferngraph.functions import collapse_spaces
+from ferngraph.operators.packages import all_packages
+from ferngraph.plans.graphs import checkpointed
+from ferngraph.shipping import ship
 from ferngraph.sources.gometrics import Complexity, halstead_tokens
 from ferngraph.sources.gosyntax import GoSyntaxError, Node, parse
+from ferngraph.sources.gotypes import FactSet
 
+#: Every table but the last also has pkg_path and is_root: the package a fact is from, and whether it was asked for.
 SCHEMAS = {
-    "files": "pkg_path string, pkg_name string, module_path string, is_root boolean, file string",
-    "imports": "pkg_path string, import_path string, import_module string, file string, line int, ord int",
-    "functions": "fn_id string, name string, pkg_path string, pkg_name string, recv_type string, synthetic string, parent_fn string, origin_fn string, file string, line int, is_root boolean",
-    "calls": "caller string, callee string, call_type string, callee_str string, method_name string, file string, line int, site_ord int",
-    "go_sites": "fn_id string, pkg_path string, target string, target_kind string, file string, line int, ord int",
+    "files": "pkg_name string, module_path string, file string",
+    "imports": "import_path string, import_module string, file string, line int, ord int",
+    "functions": "fn_id string, name string, pkg_name string, recv_type string, synthetic string, parent_fn string, origin_fn string, params array<string>, result string, sig string, file string, line int",
+    "calls": "caller string, callee string, recv string, call_type string, callee_str string, method_name string, file string, line int, site_ord int",
+    "go_sites": "fn_id string, target string, recv string, method_name string, target_kind string, file string, line int, ord int",
     "instrs": "fn_id string, ord int, op string, struct string, field string, iface_param boolean, file string, line int",
-    "types": "pkg_path string, type_name string, kind string, file string, line int, is_root boolean, ord int",
-    "methods": "pkg_path string, type_name string, recv_kind string, method string, sig string",
-    "embeds": "pkg_path string, type_name string, embedded string, pointer boolean",
-    "iface_methods": "pkg_path string, iface string, method string, sig string",
+    "handoffs": "fn_id string, ord int, struct string, callee string, recv string, method_name string, arg int, target string, file string, line int",
+    "types": "type_name string, kind string, file string, line int, ord int",
+    "methods": "type_name string, recv_kind string, method string, sig string, result string, fn_id string",
+    "fields": "type_name string, field string, type string",
+    "variables": "name string, type string",
+    "embeds": "type_name string, embedded string, pointer boolean, in_interface boolean",
+    "iface_methods": "iface string, method string, sig string, result string",
     "func_bodies": "function string, package string, receiver string, name string, signature string, body_text string, body_lines int, file string, line int, ord int",
     "control_flow": "function string, package string, cyclomatic long, cognitive long, max_nesting long, body_lines long, file string, line int, ord int",
     "halstead_tokens": "fn_id string, kind string, token string, cnt int",
-    "route_calls": "sel_name string, recv_ident string, recv_pkg string, n_args int, arg0_is_string boolean, arg0 string, arg1_kind string, arg1_name string, file string, line int",
-    "grpc_services": "pkg_path string, desc_name string, service string, handler_type string, proto_file string, file string, line int",
-    "grpc_methods": "pkg_path string, desc_name string, method string, handler string, is_stream boolean, server_streams boolean, client_streams boolean",
-    "grpc_register_funcs": "pkg_path string, func_name string, desc_name string",
-    "grpc_register_calls": "pkg_path string, callee_pkg string, callee_name string, callee_expr string, registrar string, implementation string, file string, line int, ord int",
+    "route_calls": "sel_name string, recv_ident string, recv string, recv_pkg string, n_args int, arg0_is_string boolean, arg0 string, arg1_kind string, arg1_name string, file string, line int",
+    "grpc_services": "desc_name string, service string, handler_type string, proto_file string, file string, line int",
+    "grpc_methods": "desc_name string, method string, handler string, is_stream boolean, server_streams boolean, client_streams boolean",
+    "grpc_register_funcs": "func_name string, desc_name string",
+    "grpc_register_calls": "callee_pkg string, callee_name string, callee_expr string, registrar string, implementation string, file string, line int, ord int",
     "errors": "file string, message string",
 }
+for _name in SCHEMAS:
+    if _name != "errors":
+        SCHEMAS[_name] = "pkg_path string, is_root boolean, " + SCHEMAS[_name]
+
+# The predeclared types of the language.
+PREDECLARED = frozenset("bool byte complex64 complex128 error float32 float64 int int8 int16 int32 int64 rune string uint uint8 uint16 uint32 uint64 uintptr comparable".split())
+_VERSION = re.compile(r"v[0-9]+")
+
+
+def import_name(path: str) -> str:
+    """The name an import has by its path: the last segment that is no major
+    version, without the version of a gopkg.in path."""
+    parts = path.split("/")
+    last = parts[-2] if len(parts) > 1 and _VERSION.fullmatch(parts[-1]) else parts[-1]
+    return re.sub(r"\.v[0-9]+$", "", last)
+
+
+def unquoted(literal: str) -> str:
+    """What a string literal means."""
+    if literal[:1] == "`":
+        return literal[1:-1].replace("\r", "")
+    try:
+        return ast.literal_eval(literal)
+    except (SyntaxError, ValueError):
+        return literal.strip('"')
 
 
 class _File:
     """Facts of one parsed file."""
 
-    def __init__(self, src: str, path: str, pkg_path: str, module: str, is_root: bool):
-        self.src, self.path, self.pkg, self.module, self.root = src, path, pkg_path, module, is_root
+    def __init__(self, src: str, path: str, pkg_path: str, module: str, is_root: bool, named: dict[str, str]):
+        self.src, self.path, self.pkg, self.module, self.root, self.named = src, path, pkg_path, module, is_root, named
         self.out: list[tuple[str, dict]] = []
         self.ord = 0
+        self.closures: dict[str, int] = {}
+        self.sites: dict[str, int] = {}
 
     def add(self, table: str, /, **row) -> None:
-        self.out.append((table, row))
+        self.out.append((table, {"pkg_path": self.pkg, "is_root": self.root} | row))
 
     def text(self, n: Node | None) -> str:
         return self.src[n.at : n.stop] if n is not None else ""
@@ -63,16 +100,14 @@ class _File:
     def run(self) -> list[tuple[str, dict]]:
         tree = parse(self.src)
         self.name = tree.text
-        self.add("files", pkg_path=self.pkg, pkg_name=self.name, module_path=self.module, is_root=self.root, file=self.path)
+        self.add("files", pkg_name=self.name, module_path=self.module, file=self.path)
         self.aliases: dict[str, str] = {}
         for d in tree.kids:
             if d.kind == "decl" and d.text == "import":
                 for k, s in enumerate(d.kids):
-                    alias = s.names[0] or s.text.rsplit("/", 1)[-1]
-                    self.aliases[alias] = s.text
+                    self.aliases[s.names[0] or self.named.get(s.text) or import_name(s.text)] = s.text
                     own = self.module if self.module and (s.text == self.module or s.text.startswith(self.module + "/")) else ""
-                    self.add("imports", pkg_path=self.pkg, import_path=s.text, import_module=own, file=self.path, line=s.line, ord=k)
-        self.declared = {d.text for d in tree.kids if d.kind == "func" and d.kids[0] is None}
+                    self.add("imports", import_path=s.text, import_module=own, file=self.path, line=s.line, ord=k)
         for d in tree.kids:
             if d.kind == "func":
                 self.function(d)
@@ -82,58 +117,118 @@ class _File:
             elif d.kind == "decl" and d.text == "var":
                 for s in d.kids:
                     self.descriptor(s)
+                    self.variable(s)
         return self.out
 
     # types
 
-    def qualified(self, n: Node | None) -> tuple[str, bool]:
-        """(package.Type, by pointer) of a type expression, or ""."""
-        pointer = False
-        while n is not None and n.kind in ("star", "paren", "index"):
-            pointer |= n.kind == "star"
-            n = n.kids[0]
+    def spelled(self, n: Node | None) -> str:
+        """A type expression with full package paths, without names and spaces."""
         if n is None:
-            return "", pointer
-        if n.kind == "ident":
-            return f"{self.pkg}.{n.text}", pointer
-        if n.kind == "sel" and n.kids[0].kind == "ident" and n.kids[0].text in self.aliases:
-            return f"{self.aliases[n.kids[0].text]}.{n.text}", pointer
-        return "", pointer
-
-    def signature(self, sig: Node) -> str:
-        """Parameter and result types, without names and spaces."""
-
-        def side(fields: Node | None) -> str:
-            kinds = []
-            for f in fields.kids if fields else []:
-                kinds += ["".join(self.text(f.kids[0]).split())] * max(1, len(f.names))
-            return ",".join(kinds)
-
-        return f"({side(sig.kids[0])})({side(sig.kids[1])})"
+            return ""
+        kids = n.kids
+        match n.kind:
+            case "ident":
+                return n.text if n.text in PREDECLARED else "interface{}" if n.text == "any" else f"{self.pkg}.{n.text}"
+            case "sel" if kids[0].kind == "ident":
+                return f"{self.aliases.get(kids[0].text, kids[0].text)}.{n.text}"
+            case "star":
+                return "*" + self.spelled(kids[0])
+            case "paren" | "index":
+                return self.spelled(kids[0])
+            case "array":
+                return f"[{self.text(kids[0])}]{self.spelled(kids[1])}"
+            case "ellipsis":
+                return "..." + self.spelled(kids[0])
+            case "map":
+                return f"map[{self.spelled(kids[0])}]{self.spelled(kids[1])}"
+            case "chan":
+                return f"chan {self.spelled(kids[0])}"
+            case "functype":
+                return "func" + self.signature(n, self.spelled)
+            case "interface":
+                return "interface{" + ";".join(sorted(f.names[0] + self.signature(f.kids[0], self.spelled) if f.names else self.spelled(f.kids[0]) for f in kids[0].kids)) + "}"
+        return "".join(self.text(n).split())
+
+    def signature(self, sig: Node, one=None) -> str:
+        """Parameter and result types, each by `one`; as written, if it isn't given."""
+        one = one or (lambda n: "".join(self.text(n).split()))
+        return "".join(f"({','.join(one(k) for k in self.listed(side))})" for side in sig.kids)
+
+    @staticmethod
+    def listed(fields: Node | None) -> list[Node]:
+        """A type expression for each parameter or result."""
+        return [f.kids[0] for f in (fields.kids if fields else []) for _ in range(max(1, len(f.names)))]
+
+    def result(self, sig: Node) -> str:
+        first = self.listed(sig.kids[1])[:1]
+        return self.spelled(first[0]) if first else ""
 
     def type(self, s: Node) -> None:
         kind = s.kids[0]
         what = {"struct": "struct", "interface": "interface"}.get(kind.kind, "other")
         self.ord += 1
-        self.add("types", pkg_path=self.pkg, type_name=s.text, kind=what, file=self.path, line=s.line, is_root=self.root, ord=self.ord)
+        self.add("types", type_name=s.text, kind=what, file=self.path, line=s.line, ord=self.ord)
         for f in kind.kids[0].kids if what != "other" else []:
             if what == "interface" and f.names:
-                self.add("iface_methods", pkg_path=self.pkg, iface=s.text, method=f.names[0], sig=self.signature(f.kids[0]))
-            elif what == "struct" and not f.names:
-                name, pointer = self.qualified(f.kids[0])
-                self.add("embeds", pkg_path=self.pkg, type_name=s.text, embedded=name, pointer=pointer)
+                self.add("iface_methods", iface=s.text, method=f.names[0], sig=self.signature(f.kids[0], self.spelled), result=self.result(f.kids[0]))
+            elif not f.names and f.kids[0].kind != "union":
+                name = self.spelled(f.kids[0])
+                self.add("embeds", type_name=s.text, embedded=name.lstrip("*"), pointer=name.startswith("*"), in_interface=what == "interface")
+                if what == "struct":
+                    self.add("fields", type_name=s.text, field=name.rpartition(".")[2].lstrip("*"), type=name)
+            else:
+                for x in f.names:
+                    self.add("fields", type_name=s.text, field=x, type=self.spelled(f.kids[0]))
+
+    # what an expression is, as a symbol: a type, "ret:" a function or "var:" a
+    # variable, then steps "|.field" and "|.method()"; empty if it isn't known
+
+    def symbol(self, n: Node | None, names: dict[str, str]) -> str:
+        if n is None:
+            return ""
+        kids = n.kids
+        match n.kind:
+            case "ident":
+                return names[n.text] if n.text in names else f"var:{self.pkg}.{n.text}"
+            case "paren":
+                return self.symbol(kids[0], names)
+            case "star":
+                inner = self.symbol(kids[0], names)
+                return inner[1:] if inner.startswith("*") else ""
+            case "unary" if n.text == "&":
+                inner = self.symbol(kids[0], names)
+                return "*" + inner if inner and "|" not in inner and ":" not in inner else ""
+            case "composite" if kids[0] is not None:
+                return self.spelled(kids[0])
+            case "assert" if kids[1] is not None:
+                return self.spelled(kids[1])
+            case "sel":
+                if kids[0].kind == "ident" and kids[0].text in self.aliases and kids[0].text not in names:
+                    return f"var:{self.aliases[kids[0].text]}.{n.text}"
+                inner = self.symbol(kids[0], names)
+                return f"{inner}|.{n.text}" if inner else ""
+            case "call":
+                fun = kids[0].kids[0] if kids[0].kind == "index" else kids[0]
+                if fun.kind == "ident" and fun.text in ("new", "make") and len(kids) > 1:
+                    return "*" * (fun.text == "new") + self.spelled(kids[1])
+                if fun.kind == "ident" and fun.text not in names:
+                    return f"ret:{self.pkg}.{fun.text}"
+                inner = self.symbol(fun, names)
+                return f"ret:{inner[4:]}" if inner.startswith("var:") and "|" not in inner else f"{inner}()" if "|" in inner else ""
+        return ""
 
     # functions
 
     def function(self, d: Node) -> None:
         recv, sig, body = d.kids
-        kind, pointer = self.qualified(recv.kids[0].kids[0]) if recv and recv.kids else ("", False)
-        short = kind.rsplit(".", 1)[-1] if kind else ""
-        fn = f"({'*' * pointer}{kind}).{d.text}" if kind else f"{self.pkg}.{d.text}"
+        kind = self.spelled(recv.kids[0].kids[0]) if recv and recv.kids else ""
+        short = kind.rsplit(".", 1)[-1].lstrip("*") if kind else ""
+        fn = f"({kind}).{d.text}" if kind else f"{self.pkg}.{d.text}"
         self.ord += 1
-        self.add("functions", fn_id=fn, name=d.text, pkg_path=self.pkg, pkg_name=self.name, recv_type=("*" * pointer + kind) if kind else "", synthetic="", parent_fn="", origin_fn="", file=self.path, line=d.line, is_root=self.root)
+        self.add("functions", fn_id=fn, name=d.text, pkg_name=self.name, recv_type=kind, synthetic="", parent_fn="", origin_fn="", params=[self.spelled(k) for k in self.listed(sig.kids[0])], result=self.result(sig), sig="" if kind else self.spelled(sig), file=self.path, line=d.line)
         if kind:
-            self.add("methods", pkg_path=self.pkg, type_name=short, recv_kind="ptr" if pointer else "value", method=d.text, sig=self.signature(sig))
+            self.add("methods", type_name=short, recv_kind="ptr" if kind.startswith("*") else "value", method=d.text, sig=self.signature(sig, self.spelled), result=self.result(sig), fn_id=fn)
         if body is None:
             return
         lines = body.end - body.line + 1
@@ -143,113 +238,155 @@ class _File:
         self.add("control_flow", function=fn, cyclomatic=c.cyclomatic, cognitive=c.cognitive, max_nesting=c.deepest, body_lines=lines, **where)
         for k, token, n in halstead_tokens(body):
             self.add("halstead_tokens", fn_id=fn, kind=k, token=token, cnt=n)
-        names: dict[str, str] = {}
-        for fields in (recv, sig.kids[0]):
-            for f in fields.kids if fields else []:
-                for n in f.names:
-                    names[n] = self.qualified(f.kids[0])[0]
-        self.closures = 0
         if d.text.startswith("Register") and d.text.endswith("Server") and len(d.text) > 14 and not kind:
             self.register_function(d.text, body)
-        self.body(body, fn, names)
-
-    def local(self, n: Node, names: dict[str, str]) -> None:
+        names: dict[str, str] = {}
+        self.parameters(recv, names)
+        self.body(body, fn, names, sig)
+
+    def parameters(self, fields: Node | None, names: dict[str, str]) -> None:
+        for f in fields.kids if fields else []:
+            names |= dict.fromkeys(f.names, self.spelled(f.kids[0]))
+
+    def variable(self, s: Node) -> None:
+        """A package's variables; what their values call runs in its init."""
+        known = self.spelled(s.kids[0]) if s.kids[0] is not None else ""
+        for k, name in enumerate(s.names):
+            value = s.kids[1 + k] if len(s.kids) > 1 + k else None
+            self.add("variables", name=f"{self.pkg}.{name}", type=known or self.symbol(value, {}))
+        for value in s.kids[1:]:
+            self.body(value, f"{self.pkg}.init", {}, None)
+
+    def local(self, n: Node, names: dict[str, str], fn: str) -> None:
         """Note types that a declaration or an assignment states."""
-        pairs: list[tuple[str, Node | None]] = []
+        if n.kind == "valuespec" and n.kids[0] is not None:
+            kind = self.spelled(n.kids[0])
+            names |= dict.fromkeys(n.names, kind)
+            if len(n.kids) == 1:
+                self.instruction(fn, "Alloc", kind, "", n)
+            for value in n.kids[1:]:
+                self.handoff(fn, value, names, n, target=kind)
+            return
         if n.kind == "valuespec":
-            if n.kids[0] is not None:
-                kind = self.qualified(n.kids[0])[0]
-                names.update(dict.fromkeys(n.names, kind))
-                return
             pairs = list(zip(n.names, n.kids[1:], strict=False))
-        elif n.kind == "assign" and n.text == ":=":
-            pairs = [(a.text, b) for a, b in zip(n.kids[0].kids, n.kids[1].kids, strict=False) if a.kind == "ident"]
+        else:
+            left, right = n.kids[0].kids, n.kids[1].kids
+            if n.text != ":=":
+                return
+            pairs = [(a.text, right[k] if k < len(right) else None) for k, a in enumerate(left) if a.kind == "ident"]
         for name, value in pairs:
-            if value is not None and value.kind == "unary" and value.text == "&":
-                value = value.kids[0]
-            names[name] = self.qualified(value.kids[0])[0] if value is not None and value.kind == "composite" and value.kids[0] is not None else ""
-
-    def body(self, body: Node, fn: str, names: dict[str, str]) -> None:
+            if name != "_":
+                names[name] = self.symbol(value, names)
+
+    def body(self, body: Node, fn: str, names: dict[str, str], sig: Node | None) -> None:
+        """Facts of statements in the order of the source. Names keep their last
+        stated type; a closure sees those around it."""
+        if sig is not None:
+            self.parameters(sig.kids[0], names)
+            self.parameters(sig.kids[1], names)
         todo: list[tuple[Node | None, str]] = [(body, "")]
-        site = 0
         while todo:
             n, role = todo.pop()
             if n is None:
                 continue
             if n.kind in ("valuespec", "assign"):
-                self.local(n, names)
-            if n.kind == "composite" and n.kids[0] is not None and n.kids[0].kind in ("ident", "sel"):
-                self.instruction(fn, "Alloc", self.qualified(n.kids[0])[0], "", n)
+                self.local(n, names, fn)
+            if n.kind == "composite" and n.kids[0] is not None and n.kids[0].kind in ("ident", "sel", "index"):
+                kind = self.spelled(n.kids[0])
+                self.instruction(fn, "Alloc", kind, "", n)
+                for e in n.kids[1:]:
+                    if e.kind == "kv" and e.kids[0].kind == "ident":  # a field of a literal is stored like any other
+                        self.instruction(fn, "Store", kind, e.kids[0].text, e)
             for target in n.kids[0].kids if n.kind == "assign" and n.text != ":=" else n.kids if n.kind == "incdec" else []:
-                if target.kind == "sel" and target.kids[0].kind == "ident" and names.get(target.kids[0].text):
-                    self.instruction(fn, "Store", names[target.kids[0].text], target.text, target)
+                if target.kind == "sel":
+                    self.instruction(fn, "Store", self.symbol(target.kids[0], names), target.text, target)
+            if n.kind == "return" and sig is not None:
+                for value, kind in zip(n.kids, self.listed(sig.kids[1]), strict=False):
+                    self.handoff(fn, value, names, n, target=self.spelled(kind))
+            if n.kind == "range" and n.text == ":=":
+                names |= {k.text: "" for k in n.kids[:2] if k is not None and k.kind == "ident"}
             if n.kind == "funclit":
-                self.closures += 1
-                self.body(n.kids[1], f"{fn}${self.closures}", dict(names))
+                self.closures[fn] = self.closures.get(fn, 0) + 1
+                inner = f"{fn}${self.closures[fn]}"
+                self.add("functions", fn_id=inner, name=inner.rsplit(".", 1)[-1], pkg_name=self.name, recv_type="", synthetic="", parent_fn=fn, origin_fn="", params=[], result="", sig=self.spelled(n.kids[0]), file=self.path, line=n.line)
+                self.body(n.kids[1], inner, dict(names), n.kids[0])
                 continue
             if n.kind == "call":
-                site += 1
-                self.call(n, fn, names, role, site)
+                self.call(n, fn, names, role)
             for kid in reversed(n.kids):
                 todo.append((kid, "go" if n.kind == "go" else ""))
 
     def instruction(self, fn: str, op: str, struct: str, name: str, n: Node) -> None:
         if struct:
             self.ord += 1
-            self.add("instrs", fn_id=fn, ord=self.ord, op=op, struct=struct, field=name, iface_param=False, file=self.path, line=n.line)
+            self.add("instrs", fn_id=fn, ord=self.ord, op=op, struct=struct.lstrip("*"), field=name, iface_param=False, file=self.path, line=n.line)
 
-    def target(self, fun: Node, names: dict[str, str]) -> tuple[str, str]:
-        """(fn_id if known, name as written)."""
-        if fun.kind == "index":
-            fun = fun.kids[0]
-        if fun.kind == "ident":
-            return (f"{self.pkg}.{fun.text}", fun.text)
-        if fun.kind == "sel":
-            x = fun.kids[0]
-            if x.kind == "ident" and x.text in self.aliases and x.text not in names:
-                return f"{self.aliases[x.text]}.{fun.text}", f"{self.aliases[x.text]}.{fun.text}"
-            if x.kind == "ident" and names.get(x.text):
-                return f"({names[x.text]}).{fun.text}", f"({names[x.text]}).{fun.text}"
-            return "", self.text(fun)
-        return "", self.text(fun)
+    def handoff(self, fn: str, value: Node, names: dict[str, str], n: Node, target: str = "", **to) -> None:
+        """A pointer to a named type that goes where an interface may be."""
+        kind = self.symbol(value, names)
+        if kind and not kind.startswith(("[", "map[", "chan ", "func")):
+            self.ord += 1
+            self.add("handoffs", fn_id=fn, ord=self.ord, struct=kind, target=target, file=self.path, line=n.line, **({"callee": "", "recv": "", "method_name": "", "arg": 0} | to))
 
-    def call(self, n: Node, fn: str, names: dict[str, str], role: str, site: int) -> None:
+    def call(self, n: Node, fn: str, names: dict[str, str], role: str) -> None:
         fun, args = n.kids[0], n.kids[1:]
-        target, written = self.target(fun, names)
-        method = fun.text if fun.kind == "sel" else ""
+        while fun.kind in ("index", "paren"):
+            fun = fun.kids[0]
+        site = self.sites[fn] = self.sites.get(fn, 0) + 1
+        target = recv = method = ""
+        if fun.kind == "ident" and fun.text not in names:
+            target = f"{self.pkg}.{fun.text}"
+        elif fun.kind == "ident":  # a function value
+            recv = names[fun.text]
+        elif fun.kind == "sel":
+            x, method = fun.kids[0], fun.text
+            if x.kind == "ident" and x.text in self.aliases and x.text not in names:
+                target = f"{self.aliases[x.text]}.{fun.text}"
+            else:
+                recv = self.symbol(x, names)
+        if fun.kind == "ident" and fun.text == "new" and args:
+            self.instruction(fn, "Alloc", self.spelled(args[0]), "", n)
+        written = target if fun.kind == "sel" and target else self.text(fun)
+        if "|" not in recv and ":" not in recv and not method and not recv.startswith("func("):
+            recv = ""
+        closure = fun.kind == "funclit"
+        goal = f"{fn}${self.closures.get(fn, 0) + 1}" if closure else target
+        where = {"file": self.path, "line": n.line}
         if role == "go":
-            kind = "closure" if fun.kind == "funclit" else "static" if target else "dynamic"
-            goal = f"{fn}${self.closures + 1}" if kind == "closure" else target
-            self.add("go_sites", fn_id=fn, pkg_path=self.pkg, target=goal, target_kind=kind, file=self.path, line=n.line, ord=site)
-            target = target or goal
-        self.add("calls", caller=fn, callee=target, call_type="Goroutine" if role == "go" else "Static", callee_str=written, method_name=method, file=self.path, line=n.line, site_ord=site)
+            self.add("go_sites", fn_id=fn, target=goal, recv=recv, method_name=method, target_kind="closure" if closure else "static" if target else "dynamic", ord=site, **where)
+        self.add("calls", caller=fn, callee=goal, recv=recv, call_type="Goroutine" if role == "go" else "Static", callee_str=written, method_name=method, site_ord=site, **where)
+        for k, a in enumerate(args):
+            self.handoff(fn, a, names, n, callee=target, recv=recv, method_name=method, arg=k)
         if fun.kind == "sel":
-            x = fun.kids[0]
-            recv = x.text if x.kind == "ident" else ""
-            pkg = self.aliases.get(recv, "") if recv not in names else names[recv].rpartition(".")[0]
+            ident = x.text if x.kind == "ident" else ""
             a1 = args[1] if len(args) > 1 else None
             kind = {"ident": "ident", "sel": "selector", "funclit": "func_lit"}.get(a1.kind, "other") if a1 is not None else ""
             literal = bool(args) and args[0].kind == "lit" and args[0].text[:1] in "\"`"
-            self.add("route_calls", sel_name=fun.text, recv_ident=recv, recv_pkg=pkg, n_args=len(args), arg0_is_string=literal, arg0=args[0].text if literal else "", arg1_kind=kind, arg1_name=self.text(a1) if kind in ("ident", "selector") else "", file=self.path, line=n.line)
+            name = (self.text(a1) if kind == "ident" or a1.kids[0].kind == "ident" else a1.text) if kind in ("ident", "selector") else ""
+            self.add("route_calls", sel_name=fun.text, recv_ident=ident, recv=recv, recv_pkg="", n_args=len(args), arg0_is_string=literal, arg0=args[0].text if literal else "", arg1_kind=kind, arg1_name=name, **where)
         name = written.rsplit(".", 1)[-1]
         if name.startswith("Register") and name.endswith("Server") and len(name) > 14 and len(args) >= 2:
-            pkg = target.rpartition(".")[0] if target else self.pkg
-            self.add("grpc_register_calls", pkg_path=self.pkg, callee_pkg=pkg, callee_name=name, callee_expr=self.text(fun), registrar=self.text(args[0]), implementation=self.text(args[1]), file=self.path, line=n.line, ord=n.at)
+            self.add("grpc_register_calls", callee_pkg=target.rpartition(".")[0] if target else self.pkg, callee_name=name, callee_expr=self.text(fun), registrar=self.text(args[0]), implementation=self.text(args[1]), ord=n.at, **where)
 
     # gRPC descriptors
 
     def descriptor(self, s: Node) -> None:
         for name, value in zip(s.names, s.kids[1:], strict=False):
-            if value.kind != "composite" or value.kids[0] is None or value.kids[0].text != "ServiceDesc":
+            if value.kind == "unary" and value.text == "&":
+                value = value.kids[0]
+            kind = value.kids[0] if value.kind == "composite" else None
+            while kind is not None and kind.kind in ("array", "star"):
+                kind = kind.kids[-1]
+            if kind is None or kind.text != "ServiceDesc":
                 continue
             fields = {e.kids[0].text: e.kids[1] for e in value.kids[1:] if e.kind == "kv"}
-            string = lambda n: n.text.strip('"`') if n is not None and n.kind == "lit" else ""
-            self.add("grpc_services", pkg_path=self.pkg, desc_name=name, service=string(fields.get("ServiceName")), handler_type=self.text(fields.get("HandlerType")), proto_file=string(fields.get("Metadata")), file=self.path, line=s.line)
+            string = lambda n: unquoted(n.text) if n is not None and n.kind == "lit" else ""
+            self.add("grpc_services", desc_name=name, service=string(fields.get("ServiceName")), handler_type=self.text(fields.get("HandlerType")), proto_file=string(fields.get("Metadata")), file=self.path, line=s.line)
             for key, label in (("Methods", "MethodName"), ("Streams", "StreamName")):
                 for e in fields[key].kids[1:] if key in fields else []:
                     own = {x.kids[0].text: x.kids[1] for x in e.kids[1:] if x.kind == "kv"}
                     flag = lambda k, own=own: k in own and own[k].text == "true"
-                    self.add("grpc_methods", pkg_path=self.pkg, desc_name=name, method=string(own.get(label)), handler=self.text(own.get("Handler")), is_stream=key == "Streams", server_streams=flag("ServerStreams"), client_streams=flag("ClientStreams"))
+                    self.add("grpc_methods", desc_name=name, method=string(own.get(label)), handler=self.text(own.get("Handler")), is_stream=key == "Streams", server_streams=flag("ServerStreams"), client_streams=flag("ClientStreams"))
 
     def register_function(self, name: str, body: Node) -> None:
         todo: list[Node | None] = [body]
@@ -258,23 +395,28 @@ class _File:
             if n is not None:
                 if n.kind == "call" and n.kids[0].kind == "sel" and n.kids[0].text == "RegisterService" and len(n.kids) > 1:
                     desc = n.kids[1].kids[0] if n.kids[1].kind == "unary" else n.kids[1]
-                    self.add("grpc_register_funcs", pkg_path=self.pkg, func_name=name, desc_name=desc.text)
+                    self.add("grpc_register_funcs", func_name=name, desc_name=desc.text)
                     return
                 todo += n.kids
 
 
-def _extract(root: str, modules: list[tuple[str, str]], patterns: list[str]):
+def place_of(path: str, root: str, modules: list[tuple[str, str]]) -> tuple[str, str, str, str]:
+    """(file below root, its folder, module path, package path)."""
+    local = posixpath.relpath(path.removeprefix("file:").replace("//", "/"), root)
+    folder = posixpath.dirname(local)
+    at, module = max(((d, m) for d, m in modules if not d or folder == d or folder.startswith(d + "/")), key=lambda x: len(x[0]), default=("", ""))
+    inner = folder[len(at) :].strip("/")
+    return local, folder, module, "/".join(x for x in (module, inner) if x) or "main"
+
+
+def _extract(root: str, modules: list[tuple[str, str]], patterns: list[str], named: dict[str, str] | None = None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                local = posixpath.relpath(path.removeprefix("file:").replace("//", "/"), root)
-                folder = posixpath.dirname(local)
-                at, module = max(((d, m) for d, m in modules if not d or folder == d or folder.startswith(d + "/")), key=lambda x: len(x[0]), default=("", ""))
-                inner = folder[len(at) :].strip("/")
-                pkg = "/".join(x for x in (module, inner) if x) or "main"
+                local, folder, module, pkg = place_of(path, root, modules)
                 try:
-                    facts = _File(content.decode("utf-8", "replace"), local, pkg, module, matches(folder, patterns)).run()
+                    facts = _File(content.decode("utf-8", "replace"), local, pkg, module, matches(folder, patterns), named or {}).run()
                 except (GoSyntaxError, RecursionError, IndexError) as e:
                     facts = [("errors", {"file": local, "message": str(e)})]
                 rows += [(k, json.dumps(r)) for k, r in facts]
@@ -283,70 +425,74 @@ def _extract(root: str, modules: list[tuple[str, str]], patterns: list[str]):
     return run
 
 
+def _package_names(root: str, modules: list[tuple[str, str]]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, head in zip(frame["path"], frame["content"], strict=True):
+                m = re.search(rb"^[ \t]*package[ \t]+(\w+)", head, re.M)
+                pkg = place_of(path, root, modules)[3]
+                if m and (name := m[1].decode()) not in ("main", import_name(pkg)):
+                    rows.append((pkg, name))
+            yield pd.DataFrame(rows, columns=["pkg", "name"])
+
+    return run
+
+
 def matches(folder: str, patterns: list[str]) -> bool:
-    """Whether a package folder is one of ./..., ./a/..., ./a."""
+    """Whether a package folder is one of ./..., ./a/..., ./a or . (the root alone)."""
     for p in patterns:
+        if p in (".", "./"):
+            if not folder:
+                return True
+            continue
         p = p.removeprefix("./").strip("/")
         if p in ("...", "") or folder == p or (p.endswith("/...") and (folder == p[:-4] or folder.startswith(p[:-3]))):
             return True
     return False
 
 
-@dataclass
-class FactSet:
-    """Fact tables by name, as read or as given."""
-
-    tables: dict[str, DataFrame]
-    patterns: list[str] = field(default_factory=list)
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return self.tables[name]
-
-    def packages(self) -> DataFrame:
-        f = self["files"]
-        return f.groupBy("pkg_path").agg(F.max("module_path").alias("module_path"), F.max("is_root").alias("is_root"), F.min("file").alias("first_file"))
-
-    def call_edges(self) -> DataFrame:
-        """Calls of known functions, with calls of interface methods led to all
-        methods of that name and the same number of interfaces that hold it."""
-        known = self["functions"].select(F.col("fn_id").alias("callee")).distinct()
-        calls = self["calls"].select("caller", "callee", "call_type", "file", "line", "site_ord", "method_name")
-        static = calls.join(known, "callee", "left_semi").select("caller", "callee", "call_type", "file", "line", "site_ord")
-        pointer = calls.where(F.col("callee").startswith("(")).withColumn("callee", F.concat(F.lit("(*"), F.expr("substring(callee, 2)")))
-        static = static.unionByName(pointer.join(known, "callee", "left_semi").select(*static.columns))
-        open_calls = calls.join(known, "callee", "left_anti").where("method_name <> ''")
-        shared = self["iface_methods"].select(F.col("method").alias("method_name")).distinct()
-        targets = self["functions"].where("recv_type <> ''").select(F.col("fn_id").alias("target"), F.col("name").alias("method_name"))
-        dynamic = open_calls.join(shared, "method_name", "left_semi").join(targets, "method_name")
-        dynamic = dynamic.select("caller", F.col("target").alias("callee"), F.when(F.col("call_type") == "Goroutine", "Goroutine").otherwise("Interface").alias("call_type"), "file", "line", "site_ord")
-        return static.unionByName(dynamic)
-
-    def method_sets(self) -> DataFrame:
-        """Declared methods, and those promoted from embedded types, one level
-        deep; a pointer's set holds the value's."""
-        own = self["methods"]
-        named = own.withColumn("embedded", F.concat_ws(".", "pkg_path", "type_name")).drop("pkg_path", "type_name")
-        up = self["embeds"].join(named, "embedded").select("pkg_path", "type_name", F.when(F.col("pointer"), "value").otherwise(F.col("recv_kind")).alias("recv_kind"), "method", "sig")
-        every = own.unionByName(up)
-        return every.unionByName(every.where("recv_kind = 'value'").withColumn("recv_kind", F.lit("ptr"))).distinct()
-
-
-def go_facts(spark: SparkSession, root: str, patterns: list[str] | None = None, modules: list[tuple[str, str]] | None = None) -> FactSet:
-    """Parse the Go files below root, tests left out. modules: (folder, module
-    path) pairs. Raises LookupError if no file matches the patterns."""
+def normal_patterns(root: str, patterns: list[str]) -> list[str]:
+    """Patterns of folders that exist, absolute or not, as paths below root;
+    others stay as they are; each once; all packages if there are none."""
+    out = []
+    for p in (x.strip().replace("\\", "/") for x in patterns):
+        deep = p.endswith("/...")
+        base = os.path.join(root, p.removesuffix("/...") if deep else p)
+        if p and os.path.exists(base):
+            rel = os.path.relpath(base, root).replace(os.sep, "/")
+            p = ("./..." if deep else ".") if rel == "." else f"./{rel}" + "/..." * deep
+        if p:
+            out.append(p)
+    return list(dict.fromkeys(out)) or ["./..."]
+
+
+def source_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the Go files below a folder, tests left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", "true").load(os.path.abspath(root))
+    return files.where(~F.col("path").endswith("_test.go")).select("path", "content")
+
+
+def go_facts(spark: SparkSession, root: str, patterns: list[str] | None = None, modules: list[tuple[str, str]] | None = None, files: DataFrame | None = None) -> FactSet:
+    """Parse the Go files below root, or the given ones (path, content), whose
+    paths start with root. modules: (folder, module path) pairs. Packages that
+    match the patterns are roots; facts of others are kept as far as roots
+    import them. Raises LookupError if nothing matches."""
+    ship(spark)
     root = os.path.abspath(root)
-    patterns = patterns or ["./..."]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", "true").load(root)
-    files = files.where(~F.col("path").endswith("_test.go")).select("path", "content")
-    parsed = files.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(_extract(root, modules or [("", "")], patterns), "kind string, row string").cache()
+    patterns, modules = normal_patterns(root, patterns or []), modules or [("", "")]
+    files = source_files(spark, root) if files is None else files.select("path", "content")
+    files = files.repartition(max(1, spark.sparkContext.defaultParallelism))
+    # packages that don't have their folder's name: few, at most one row a package
+    named = dict(map(tuple, files.mapInPandas(_package_names(root, modules), "pkg string, name string").distinct().collect()))
+    parsed = files.mapInPandas(_extract(root, modules, patterns, named), "kind string, row string").cache()
     tables = {k: parsed.where(F.col("kind") == k).select(F.from_json("row", s).alias("r")).select("r.*") for k, s in SCHEMAS.items()}
     if tables["files"].where("is_root").isEmpty():
         parsed.unpersist()
         raise LookupError(f"no Go packages match {', '.join(patterns)} in {root}")
     facts = FactSet(tables, patterns)
     facts.cached = parsed
+    if not tables["files"].where("not is_root").isEmpty():
+        loaded = checkpointed(all_packages(facts.packages(), tables["imports"]))
+        facts.tables = {k: t if k == "errors" else t.join(loaded, "pkg_path", "left_semi") for k, t in tables.items()}
     return facts
-
-
-def normalized_body(c: str = "body_text"):
-    return collapse_spaces(c)

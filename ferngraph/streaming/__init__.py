@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ferngraph.shipping import ship
 from ferngraph.sources.gofacts import SCHEMAS, _extract
 
 
@@ -15,6 +16,7 @@ def follow_facts(spark: SparkSession, root: str, target: str, checkpoint: str, m
     """Append the facts of every new Go file below root to Parquet folders, one
     per fact table, below target. Files are read once; the checkpoint makes a
     restarted query go on where it stopped."""
+    ship(spark)
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", "true").load(root)
     files = files.where(~F.col("path").endswith("_test.go")).select("path", "content")
