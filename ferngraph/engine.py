@@ -1,11 +1,14 @@
 """The query surface: 22 tools over the fact sets of Go code bases.
 
 Every tool takes the folder and patterns of a code base, returns a plain dict
-and raises on errors. Paged tools take the options of delivery.Options by name.
+and raises on errors; run() gives either as JSON. Paged tools take the options
+of delivery.Options by name.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,17 @@ class Engine:
         self.spark = spark
         self.catalog = FactCatalog(lambda root, patterns: go_facts(spark, root, patterns, config.module_pairs(config.suggest(root))))
 
+    def run(self, tool: str, **arguments) -> str:
+        """A tool's result as JSON: {"is_error": false, "result": ...}, or
+        {"is_error": true, "error": ...} for what it refuses."""
+        known = [k for k in dir(self) if not k.startswith("_") and k not in ("run", "spark", "catalog")]
+        try:
+            if tool not in known:
+                raise LookupError(f"unknown tool {tool}; there are {', '.join(known)}")
+            return json.dumps({"is_error": False, "result": getattr(self, tool)(**arguments)}, ensure_ascii=False, default=str)
+        except (LookupError, ValueError, TypeError, OSError) as e:
+            return json.dumps({"is_error": True, "error": str(e)}, ensure_ascii=False)
+
     # shared steps
 
     def _facts(self, root: str, patterns: list[str] | None, pattern: str = "") -> FactSet:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.functions import receiver_name, short_function_name
+from ferngraph.functions import receiver_name
 
 
 class NotFound(LookupError):
@@ -59,7 +59,3 @@ def resolve(functions: DataFrame, query: str) -> str:
     if len(found) > 1:
         raise Ambiguous(f"function name {query} is ambiguous: {', '.join(found[:20])}")
     return found[0]
-
-
-def short_names(functions: DataFrame) -> DataFrame:
-    return functions.select("fn_id", short_function_name("fn_id").alias("short"))

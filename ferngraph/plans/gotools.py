@@ -392,6 +392,14 @@ def go_string_literals(e, root):
     return [(x, unquoted(x)) for x in ('"a\\tb"', "`a\\tb`", '"\\u00e9"', '"plain"')]
 
 
+@states("tool string, is_error boolean, says string", [("detect_import_cycles", False, "1"), ("find_callers", True, "function not found: Nowhere"), ("nothing", True, "unknown tool nothing"), ("list_entrypoints", True, "no Go packages match ./none/...")])
+def go_results_as_json(e, root):
+    cycles = json.loads(e.run("detect_import_cycles", root=root))
+    callers, unknown = json.loads(e.run("find_callers", root=root, function="Nowhere")), json.loads(e.run("nothing", root=root))
+    none = json.loads(e.run("list_entrypoints", root=root, patterns=["./none/..."]))
+    return [("detect_import_cycles", cycles["is_error"], str(cycles["result"]["total"])), ("find_callers", callers["is_error"], callers["error"]), ("nothing", unknown["is_error"], unknown["error"].split(";")[0]), ("list_entrypoints", none["is_error"], none["error"].split(" in ")[0])]
+
+
 # cache and configuration
 
 @states("step string, entries long, cleared long", [("loaded", 1, 0), ("again", 1, 0), ("cleared", 0, 1), ("reloaded", 1, 0)])
@@ -460,8 +468,6 @@ def go_pattern_matches(e, root):
 
 # diagrams
 
-_ARROWS = "n0 n1|n0 n2|n0 n3|n0 n4|n1 n5|n6 n1|n6 n7|n6 n8|n7 n8|n2 n1|n9 n10|n10 n9"
-
 
 def _graph(form: str):
     return lambda e, root: [(k, x) for k, x in enumerate(e.find_reverse_dependencies(root, f"{SHOP}/core", export=form)["graph"].splitlines())]
