@@ -401,3 +401,18 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
     out = sets.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     return out.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+q AS (SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT y, root FROM q JOIN links ON x = id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CAST(min(root) AS BIGINT) AS component_id
+FROM w JOIN q ON q.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY 1, 2
+"""

@@ -303,6 +303,8 @@ def mask_pii(docs: DataFrame, reliability: float = 0.6, rounds: int = 3) -> Data
     keyed = rows.where(may).withColumns({"k": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)})
     searched = keyed.select(F.struct("k", "k2").alias("row"), F.col(text).alias("text"))
     spans = bootstrap(searched, reliability, rounds).where(F.size("spans") > 0).select("row.k", "row.k2", "spans").dropDuplicates(["k", "k2"])
-    masked = keyed.join(spans, ["k", "k2"], "left").withColumn("masked", F.arrow_udf(_masked, "string")(F.col(text), F.col("spans")))
+    spans = written(spans, f"{workdir(docs.sparkSession, 'pii')}/spans")
+    places = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
+    masked = keyed.join(small(spans, places), ["k", "k2"], "left").withColumn("masked", F.arrow_udf(_masked, "string")(F.col(text), F.col("spans")))
     masked = masked.select(*[F.col("masked").alias(c) if c == text else F.col(c) for c in rows.columns])
     return masked.unionByName(rows.where(~may)).toDF(*docs.columns)

@@ -67,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_va_top_k": va_search.ORACLE,
     "op9_sharding": compaction.ORACLE,

@@ -201,7 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
     got = rows.mapInArrow(lean(_places), "toxic double, places binary").toArrow()
     order = sorted(zip(got["toxic"].to_pylist(), got["places"].to_pylist(), strict=True))
-    return fit([np.frombuffer(p, np.int32) for _, p in order], np.array([t for t, _ in order]))
+    model = fit([np.frombuffer(p, np.int32) for _, p in order], np.array([t for t, _ in order]))
+    del got, order
+    give_back()
+    return model
 
 
 def scorer(docs: DataFrame, model: FactorizationMachine):

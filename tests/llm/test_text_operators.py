@@ -373,7 +373,7 @@ def test_plan_of_compaction():
 def test_store(spark):
     rows = [(k, f"text {k}") for k in range(300)] + [(None, None), (7, "text 7")]
     df = docs(spark, rows, "run", "arrival", "arrival_")
-    store = compaction.shard(df, workdir(spark, "store"), target_bytes=256 << 10, arrivals=16)
+    store = compaction.shard(df, workdir(spark, "store"), target_bytes=256 << 10, arrivals=16, keep=99)
     assert store.read().drop("arrival").exceptAll(df.withColumnRenamed("arrival", "arrival__")).count() == 0 and store.read().count() == len(rows)
     assert len(store.manifest()["runs"]) < 17 and store.versions() == list(range(1, len(store.versions()) + 1)) and len(store.versions()) > 1
     before = store.manifest()
