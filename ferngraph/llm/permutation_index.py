@@ -23,7 +23,7 @@ from ferngraph.llm.vectors import best, in_blocks, matrix, usable
 #: Pivots, drawn from the vectors of the smallest hashes of vec_id; places kept of each permutation.
 PIVOTS, PLACES = 512, 128
 #: Share of the vectors of each block that are reranked, at every size; k at least.
-SHARE = 0.15
+SHARE = 0.2
 
 
 def _permutations(pivots: np.ndarray, places: int):
