@@ -29,13 +29,15 @@ def _encoded(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            ids = [enc.encode(x) + end for x in batch.column(1).to_pylist()]
-            n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
-            start = at + np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64) if len(n) else n
-            at += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int64)), batch.column(0), pa.array(start), pa.array(n), pa.array(ids, pa.binary())], ["part", "doc_id", "at", "n_tokens", "ids"])
+            done = 0
+            for ids, off in enc.column(batch.column(1), end_id):
+                n = np.diff(off)
+                raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off * enc.dtype.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                cols = [pa.array(np.full(len(n), part, np.int64)), batch.column(0).slice(done, len(n)), pa.array(at + off[:-1]), pa.array(n), raw]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "at", "n_tokens", "ids"])
+                at += len(ids)
+                done += len(n)
 
     return run
 

@@ -64,13 +64,13 @@ def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Hasher:
-    """Hashes of any byte ranges of a block, A-Z lower-cased."""
+    """Hashes of any byte ranges of a block, A-Z lower-cased unless fold is off."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, fold: bool = True):
         n = len(buf)
         up, self.down = _pow(n)
         self.sums = np.zeros(n + 1, U)
-        np.cumsum((_LOWER[buf].astype(U) + U(1)) * up[:n], out=self.sums[1:])
+        np.cumsum(((_LOWER[buf] if fold else buf).astype(U) + U(1)) * up[:n], out=self.sums[1:])
 
     def __call__(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
         return mix((self.sums[t] - self.sums[s]) * self.down[s] + (t - s).astype(U) * U(0xC2B2AE3D27D4EB4F))

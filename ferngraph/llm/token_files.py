@@ -35,7 +35,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def _save(uri: str, name: str, parts: Iterator[bytes] | list[bytes]) -> None:
+def _save(uri: str, name: str, parts: Iterator[memoryview] | list[bytes]) -> None:
     fs, folder = filesystem(uri)
     own = f"{folder}/{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as f:
@@ -58,23 +58,22 @@ def _write(folder: str, path: str, end_id: int):
         from pyspark import TaskContext
 
         enc, part = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
-        sizes: list[int] = []
+        sizes: list[np.ndarray] = []
         docs: list[np.ndarray] = []
 
-        def ids() -> Iterator[bytes]:
+        def ids() -> Iterator[memoryview]:
             for batch in batches:
                 docs.append(batch.column(0).to_numpy())
-                for text in batch.column(1).to_pylist():
-                    x = enc.encode(text) + end
-                    sizes.append(len(x) // enc.dtype.itemsize)
-                    yield x
+                for x, off in enc.column(batch.column(1), end_id):
+                    sizes.append(np.diff(off))
+                    yield memoryview(x).cast("B")
 
         _save(folder, f"{part:06d}.ids", ids())
         if sizes:
-            _save(folder, f"{part:06d}.offsets", [np.concatenate(([0], np.cumsum(sizes))).astype("<i8").tobytes()])
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype("<i8")
+            _save(folder, f"{part:06d}.offsets", [offsets.tobytes()])
             _save(folder, f"{part:06d}.docs", [np.concatenate(docs).astype("<i8").tobytes()])
-            yield pa.RecordBatch.from_pydict({"shard": [part], "n_docs": [len(sizes)], "n_tokens": [int(sum(sizes))]})
+            yield pa.RecordBatch.from_pydict({"shard": [part], "n_docs": [len(offsets) - 1], "n_tokens": [int(offsets[-1])]})
 
     return run
 
