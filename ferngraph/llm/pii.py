@@ -31,7 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match never begins within a run of digits: what fails at its start fails there too.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -43,6 +44,8 @@ DIGITS = 6
 #: Reliability that a pattern needs at least if it is the shape of a number
 #: alone; belief from which an instance speaks for its other patterns.
 SHAPE_RELIABILITY, BELIEF = 0.9, 0.25
+#: A number of more characters has no shape.
+LONGEST = 40
 #: Words before a slot that are looked at until one has a letter.
 MARKS = 4
 _ASSIGNED = re.compile(r"""[=:][ \t]*(["'])([^"'\s]{8,200})\1""")
@@ -80,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = m.end()
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
-        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 d = _NOT_DIGIT.sub("", m[0])
@@ -181,7 +184,7 @@ def contexts(text: str, s: int, e: int) -> list[str]:
     with numbers alike; of a number also its shape."""
     two, one, after = _words_before(text, s, 2), _words_before(text, s, 1), _word_after(text, e)
     out = [_DIGITS.sub("9", x) for x in (two and f"{two} _", one and f"{one} _ {after}") if x]
-    return [*out, "#" + _DIGIT.sub("9", text[s:e])] if _PLAIN_NUMBER.fullmatch(text, s, e) else out
+    return [*out, "#" + _DIGIT.sub("9", text[s:e])] if e - s <= LONGEST and _PLAIN_NUMBER.fullmatch(text, s, e) else out
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -244,6 +245,13 @@ def test_line_dedup(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_of_long_texts(spark):
+    long = "\n".join(f"line {k}" for k in range(20_000))
+    rows = [(1, long), (2, f"first\n{long}\nlast"), (3, "x" * 2_000_000)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: (long, 20_000, 0), 2: ("first\nlast", 20_002, 20_000), 3: (rows[2][1], 1, 0)}
+
+
 def test_line_dedup_odd_rows(spark):
     df = docs(spark, [*ODD, (20, "x\ny\nz"), (21, "q\nx\ny\nz"), (None, "x\ny\nz")], "d", "k", "starts", "n_lines")
     got = line_dedup.dedup_lines(df)
@@ -275,6 +283,15 @@ def test_base_patterns():
         assert pii.base_spans(t) == brute_spans(t), repr(t)
 
 
+def test_base_patterns_of_long_texts():
+    began = time.process_time()
+    for t in ("0" * 300_000, "0" * 5000 + ".1.1.1", "1." * 100_000, "+1" * 100_000, "@" * 200_000, "a@" * 100_000, "+1" + "(" * 200_000, "4 " * 150_000, 'token = "' * 30_000):
+        spans = pii.base_spans(t)
+        slots = list(pii._instances(t, spans))
+        assert all(pii.contexts(t, s, e) is not None for s, e in slots[:50])
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)] and time.process_time() - began < 20
+
+
 def test_pii_discovers_by_context(spark):
     rows = [(k, f"some words first call me at +1 415 555 26{k:02d} if you can") for k in range(20)] + [(50, "please call me at 555-266-1234 if it suits"), (51, "lot 555-266-9999 of the sale")]
     got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs(spark, rows, "spans", "row", "kind"))).collect()}
