@@ -160,6 +160,13 @@ _EDGES = [
     (f"{SHOP}.main", f"{SHOP}.worker", "Goroutine", 27),
     (f"{SHOP}.main", f"{SHOP}.main$1", "Goroutine", 28),
     (f"{SHOP}.main$1", f"{SHOP}.helper", "Static", 28),
+    (f"{SHOP}.main", "net/http.HandleFunc", "Static", 29),
+    (f"{SHOP}.main", "github.com/go-chi/chi/v5.NewRouter", "Static", 30),
+    (f"{SHOP}.main", "fmt.Println", "Static", 37),
+    (f"{SHOP}.newWeb", "github.com/labstack/echo/v4.New", "Static", 40),
+    (ITEM, "fmt.Println", "Static", 16),
+    (f"{DISK}.counted", "sync/atomic.AddInt64", "Static", 48),
+    (f"{SHOP}/cmd/serve.main", "google.golang.org/grpc.NewServer", "Static", 15),
     (f"{SHOP}.main", f"{SHOP}.newWeb", "Static", 33),
     (f"{SHOP}.main", f"{SHOP}.keep", "Static", 35),
     (f"{SHOP}.main", f"{SHOP}.run", "Static", 36),
@@ -195,7 +202,7 @@ for _name, _depth, _rows in (("go_hierarchy_d1", 1, _ONE), ("go_hierarchy_d2", 2
     )
 
 
-@states("what string, key string, n long", [("by_call_type", "Goroutine", 2), ("by_call_type", "Static", 4), ("by_caller", f"{SHOP}.main", 6), *(("by_callee", x[2], 1) for x in _ONE), ("total", "", 6)])
+@states("what string, key string, n long", [("by_call_type", "Goroutine", 2), ("by_call_type", "Static", 7), ("by_caller", f"{SHOP}.main", 9), *(("by_callee", x[2], 1) for x in _ONE), ("total", "", 9)])
 def go_hierarchy_summary(e, root):
     s = e.analyze_call_hierarchy(root, f"{SHOP}.main", 1, summary=True)["summary"]
     return [(k, x, n) for k in ("by_call_type", "by_caller", "by_callee") for x, n in s[k].items()] + [("total", "", s["total_edges"])]
@@ -561,7 +568,7 @@ def go_made_imports(spark, sf_dir):
     return _made_facts(spark, sf_dir)["imports"].select("pkg_path", "import_path", "import_module", "line")
 
 
-@query("SELECT 'm/p' || (p_partkey + 1) || '.F' AS caller, 'm/p' || p_partkey || '.F' AS callee, 'Static' AS call_type, CAST(6 + p_size % 5 AS INTEGER) AS line FROM part WHERE p_partkey - 1 IN (SELECT p_partkey FROM part)")
+@query("SELECT 'm/p' || (p_partkey + 1) || '.F' AS caller, 'm/p' || p_partkey || '.F' AS callee, 'Static' AS call_type, CAST(6 + p_size % 5 AS INTEGER) AS line FROM part")
 def go_made_calls(spark, sf_dir):
     return _made_facts(spark, sf_dir).call_edges().select("caller", "callee", "call_type", "line")
 

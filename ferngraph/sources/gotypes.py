@@ -171,11 +171,15 @@ class FactSet:
         """(caller, callee, call_type, file, line, site_ord): calls of known
         functions and of methods of known types; a call of an interface's method
         leads to that method of every type that has its whole method set, a call
-        of a function value to every function and closure of its signature."""
+        of a function value to every function and closure of its signature.
+        Functions of packages that aren't read are known by their import alone,
+        so a conversion to one of their types counts as a call of it."""
         columns = ["caller", "callee", "call_type", "file", "line", "site_ord"]
-        functions = self.roots("functions").select(F.col("fn_id").alias("callee")).distinct()
+        functions = self["functions"].select(F.col("fn_id").alias("callee")).distinct()
         calls = self._calls
         direct = calls.join(functions, "callee", "left_semi").select(columns)
+        imported = calls.where("callee <> '' and recv = '' and method_name <> ''").withColumn("pkg", F.regexp_extract("callee", r"^(.*)\.[^.]*$", 1))
+        outside = imported.join(self["files"].select(F.col("pkg_path").alias("pkg")).distinct(), "pkg", "left_anti").select(columns)
         methods = self.members.where("method and fn_id <> ''").select("owner", F.col("name").alias("method_name"), F.col("fn_id").alias("target"))
         typed = calls.join(methods, ["owner", "method_name"]).withColumn("callee", F.col("target")).select(columns)
         open_calls = calls.where("method_name <> ''").withColumnsRenamed({"owner": "iface", "method_name": "method"})
@@ -186,7 +190,8 @@ class FactSet:
         values = calls.where("method_name = '' and kind like 'func(%'").withColumn("sig", F.col("kind")).unionByName(calls.join(held, ["owner", "method_name"]))
         valued = values.join(by_sig, "sig").withColumn("callee", F.col("target")).select(columns)
         static = direct.unionByName(typed).unionByName(valued)
-        return call_graph.class_hierarchy_edges(static, through, self._implementors(needs)).join(functions, "callee", "left_semi").select(columns).distinct()
+        inside = call_graph.class_hierarchy_edges(static, through, self._implementors(needs)).join(functions, "callee", "left_semi").select(columns)
+        return inside.unionByName(outside).distinct()
 
     @staticmethod
     def _anonymous(calls: DataFrame) -> DataFrame:

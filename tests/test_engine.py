@@ -117,8 +117,8 @@ def test_packages_and_types(shop):
 def test_calls(shop):
     e, root = shop
     got = e.analyze_call_hierarchy(root, "main", 1, summary=True)
-    assert {r["callee"] for r in got["items"]} == {"(*ex.com/shop/core.Store).Save", "ex.com/shop.worker", "ex.com/shop.run", "ex.com/shop.main$1"}
-    assert got["summary"]["by_call_type"] == {"Goroutine": 2, "Static": 2}
+    assert {r["callee"] for r in got["items"]} == {"(*ex.com/shop/core.Store).Save", "ex.com/shop.worker", "ex.com/shop.run", "ex.com/shop.main$1", "net/http.HandleFunc"}
+    assert got["summary"]["by_call_type"] == {"Goroutine": 2, "Static": 3}
     assert {r["caller"] for r in e.find_callers(root, "Store.Save")["items"]} == {"ex.com/shop.main", "ex.com/shop/api.Use"}
     assert e.find_call_path(root, "main", "run")["paths"] == [{"steps": ["ex.com/shop.main", "ex.com/shop.run"]}]
     assert e.find_call_path(root, "run", "main")["cutoff_reason"] == "no path found within depth limit"
