@@ -31,8 +31,9 @@ def tier(size: int, smallest: int, fanout: int) -> int:
 
 
 def scattered(run: dict, target: int) -> bool:
-    """Whether the run lies in more than twice the files that its bytes fill."""
-    return len(run.get("files", ())) > 2 * max(1, math.ceil(run["bytes"] / target))
+    """Whether the run lies in more than twice the files that its bytes fill,
+    and wasn't found to lie in no fewer when it was rewritten."""
+    return not run.get("settled") and len(run.get("files", ())) > 2 * max(1, math.ceil(run["bytes"] / target))
 
 
 def plan(runs: list[dict], target: int, smallest: int, fanout: int) -> list[list[str]]:
@@ -109,10 +110,12 @@ class ShardStore:
 
     # writing
 
-    def append(self, df: DataFrame, arrival: str | None = None) -> dict:
+    def append(self, df: DataFrame, arrival: str | None = None, ways: int = 1) -> dict:
         """Commit df as new runs: one for each value of the column `arrival`
-        (null is a value too), or one. The column stays in the data. Rows of
-        other columns or types than the store's are refused."""
+        (null is a value too; about `ways` of them), or one. The column stays in
+        the data. Rows of other columns or types than the store's are refused.
+        Small input partitions are written together, so that a run's files don't
+        become tiny."""
         base = self.manifest()
         kinds = lambda fields: [(f.name, f.dataType) for f in fields]
         if base["schema"] and kinds(self._schema(base)) != kinds(df.schema):
@@ -122,6 +125,10 @@ class ShardStore:
         while name in df.columns:
             name += "_"
         key = F.coalesce(F.col(arrival).cast("string"), F.lit("none")) if arrival else F.lit("all")
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        tasks = max(1, math.ceil(4 * size / (ways * self.smallest_bytes)))
+        if tasks < 1 << 20:  # else the size isn't known
+            df = df.coalesce(tasks)
         df.withColumn(name, key).write.partitionBy(name).parquet(f"{self.root}/{folder}")
         parts = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory())
         number = max([r["arrived"] for r in base["runs"]], default=0)
@@ -136,12 +143,18 @@ class ShardStore:
         session = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
         for key, value in (("maxPartitionBytes", most), ("openCostInBytes", 0), ("minPartitionNum", 1)):
             session.conf.set(f"spark.sql.files.{key}", str(value))
-        session.read.schema(schema).parquet(*[f for r in runs for f in r["files"]]).write.parquet(f"{self.root}/{folder}")
-        return self._run(folder, max(r["arrived"] for r in runs))
+        rows = session.read.schema(schema).parquet(*[f for r in runs for f in r["files"]])
+        rows = rows.coalesce(max(1, round(total / self.target_bytes)))  # where the settings don't hold, too
+        rows.write.parquet(f"{self.root}/{folder}")
+        new = self._run(folder, max(r["arrived"] for r in runs))
+        if len(runs) == 1 and len(new["files"]) >= len(runs[0]["files"]):
+            new["settled"] = True
+        return new
 
-    def compact(self) -> dict:
+    def compact(self, keep: int | None = None) -> dict:
         """Merge until no tier is full and no run is scattered; one committed
-        version a round. What it supersedes stays for readers of older versions."""
+        version a round. What it supersedes stays for readers of older versions,
+        or of the newest `keep`, if that is given."""
         now = self.manifest()
         while groups := plan(now["runs"], self.target_bytes, self.smallest_bytes, self.fanout):
             by, schema = {r["id"]: r for r in now["runs"]}, self._schema(now)
@@ -150,6 +163,8 @@ class ShardStore:
             gone = {i for g in groups for i in g}
             runs = sorted([r for r in now["runs"] if r["id"] not in gone] + merged, key=lambda r: r["arrived"])
             now = self._commit(now, runs, now["schema"])
+            if keep:
+                self.clean_up(keep)
         return now
 
     def clean_up(self, keep: int = 1) -> list[int]:
@@ -184,9 +199,10 @@ class ShardStore:
 ARRIVALS = 64
 
 
-def shard(docs: DataFrame, root: str, target_bytes: int = 32 << 20, arrivals: int = ARRIVALS) -> ShardStore:
+def shard(docs: DataFrame, root: str, target_bytes: int = 32 << 20, arrivals: int = ARRIVALS, keep: int = 1) -> ShardStore:
     """Append docs as `arrivals` small runs, by doc_id modulo that number, and
-    compact them. Nulls in any column, repeated rows and empty texts are stored
+    compact them; the newest `keep` versions stay, so that a table needs twice
+    its room at most. Nulls in any column, repeated rows and empty texts are stored
     as they are; rows without doc_id arrive together. An empty table gives a
     store without runs. A column of docs named arrival is kept under that name
     with as many underscores as make it new."""
@@ -195,8 +211,8 @@ def shard(docs: DataFrame, root: str, target_bytes: int = 32 << 20, arrivals: in
         other += "_"
     rows = docs.withColumnRenamed("arrival", other).withColumn("arrival", F.pmod("doc_id", F.lit(arrivals)).cast("int"))
     store = ShardStore(docs.sparkSession, root, target_bytes)
-    store.append(rows, "arrival")
-    store.compact()
+    store.append(rows, "arrival", arrivals)
+    store.compact(keep)
     return store
 
 

@@ -421,9 +421,25 @@ def test_store_far_above_the_target(spark):
     assert store.read().drop("arrival").exceptAll(df).count() == 0 and store.read().count() == 1600
 
 
+def test_store_with_small_partitions(spark, monkeypatch):
+    """Where the session's read settings can't be raised, merging ends all the same."""
+    held = type(spark.conf)
+    put = held.set
+    monkeypatch.setattr(held, "set", lambda self, key, value: None if key.startswith("spark.sql.files.") else put(self, key, value))
+    put(spark.conf, "spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        df = docs(spark, [(k, hashlib.sha256(str(k).encode()).hexdigest() * 20) for k in range(900)]).repartition(20)
+        store = compaction.shard(df, workdir(spark, "store"), target_bytes=64 << 10, arrivals=8)
+        runs = store.manifest()["runs"]
+        assert store.read().count() == 900 and all(len(r["files"]) <= 2 * -(-r["bytes"] // (64 << 10)) for r in runs)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_plan_rewrites_scattered_runs():
     run = lambda k, size, n: {"id": f"r{k}", "bytes": size, "files": [f"f{j}" for j in range(n)]}
     assert compaction.plan([run(0, 10_000, 200), run(1, 10_000, 10), run(2, 10, 1)], 1000, 10, 4) == [["r0"]]
+    assert compaction.plan([run(0, 10_000, 200) | {"settled": True}], 1000, 10, 4) == []
     assert compaction.plan([run(0, 10_000, 200), *(run(k, 10, 9) for k in range(1, 5))], 1000, 10, 4) == [["r1", "r2", "r3", "r4"]]
 
 
