@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ferngraph import shipping
 
 #: Bytes of an Arrow batch that goes to a Python worker, whatever the rows' lengths.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def ship(spark: SparkSession) -> None:

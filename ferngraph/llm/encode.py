@@ -22,8 +22,8 @@ import pyarrow as pa
 from ferngraph.llm.textblocks import U, Hasher, blocks
 
 #: Parts, and ids of parts, that a worker's table holds before it starts afresh
-#: (about 60 MB).
-PARTS, POOL = 1_000_000, 8_000_000
+#: (about 35 MB).
+PARTS, POOL = 500_000, 4_000_000
 #: A part that ends in letters and simple marks: the marks are a piece of their own.
 _TAIL = re.compile(r"(.*[A-Za-z])([.,:;!?]+)", re.S)
 _LINES = re.compile(r"(.*\S)\n(\S.*)", re.S)
@@ -43,13 +43,24 @@ class _Table:
     """Ids of parts by hash: open addressing, over a pool of ids. Entry 0 is none."""
 
     def __init__(self, dtype: np.dtype):
-        self.dtype, self.bits = dtype, (2 * PARTS).bit_length()
+        self.dtype = dtype
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.entry = np.zeros(1 << self.bits, U), np.zeros(1 << self.bits, np.int32)
+        self._slots((2 * PARTS).bit_length())
         self.pool, self.used = np.empty(1 << 16, self.dtype), 0
-        self.start, self.size, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
+        self.start, self.size, self.count = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 1
+
+    def _slots(self, bits: int) -> None:
+        self.bits, self.keys, self.entry = bits, np.zeros(1 << bits, U), np.zeros(1 << bits, np.int32)
+
+    def _put(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        left, slot = np.arange(len(hashes)), (hashes >> U(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = left[self.entry[slot[left]] == 0]
+            self.entry[slot[free]], self.keys[slot[free]] = entries[free], hashes[free]  # of several, the last stays
+            left = left[self.entry[slot[left]] != entries[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash, 0 where there is none."""
@@ -74,13 +85,12 @@ class _Table:
         own = slice(self.count, n)
         self.size[own] = sizes
         self.start[own] = self.used + np.cumsum(self.size[own]) - self.size[own]
-        left, slot = np.arange(len(hashes)), (hashes >> U(64 - self.bits)).astype(np.int64)
-        while len(left):
-            free = left[self.entry[slot[left]] == 0]
-            self.entry[slot[free]] = self.count + free  # of several, the last stays
-            self.keys[slot[free]] = hashes[free]
-            left = left[self.entry[slot[left]] != self.count + left]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        if 2 * n > 1 << self.bits:  # one very long text
+            held = np.flatnonzero(self.entry)
+            old = self.keys[held], self.entry[held]
+            self._slots((2 * n).bit_length())
+            self._put(*old)
+        self._put(hashes, np.arange(self.count, n, dtype=np.int32))
         self.count, self.used = n, end
 
     @property

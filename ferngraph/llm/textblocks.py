@@ -22,7 +22,7 @@ _P = 0x9E3779B97F4A7C2B
 _PINV = pow(_P, -1, 1 << 64)
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25], U)
 #: Bytes hashed at once; longer texts go in segments cut at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 

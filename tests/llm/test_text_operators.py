@@ -124,6 +124,15 @@ def test_encoding_equals_whole_texts(name):
     assert name != "byte_bpe_50k.json" or whole(texts[2]) == [31373, 220, 50256, 995]
 
 
+def test_encoding_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(encode, "PARTS", 8)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e, whole = encode.Encoder(vocabulary(name)), library(name)
+        for n in (3, 300, 20, 5000, 7):  # the table grows within a text and starts afresh after it
+            text = " ".join(f"word{k} {k}." for k in range(n))
+            assert np.frombuffer(e.encode(text), e.dtype).tolist() == whole(text)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoding_of_given_documents(name):
     import pyarrow.parquet as pq
