@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferngraph.llm import compaction, line_dedup, ngram_join, packing, permutation_index, piece_sampling, pii, token_files, toxicity, va_search
+from ferngraph.llm import compaction, hard_negatives, line_dedup, ngram_join, packing, permutation_index, piece_sampling, pii, simhash, token_files, toxicity, va_search, vector_codes
 from ferngraph.llm.common import table, workdir
 
 
@@ -61,9 +61,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_token_files, op3_toxicity, op4_line_dedup, op5_piece_sampling, op6_va_top_k, op7_permutation_index, op8_pii, op9_sharding, op10_packing)
+    for f in (op1_ngram_jaccard_join, op2_token_files, op3_toxicity, op4_line_dedup, op5_piece_sampling, op6_va_top_k, op7_permutation_index, op8_pii, op9_sharding, op10_packing, op11_vector_codes, op12_hard_negatives, op13_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_va_top_k": va_search.ORACLE,
     "op9_sharding": compaction.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 ROWS, QUERIES = 8192, 4096
 
 
-def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): rows with an id and a vector of finite components, of the
-    most usual length (the smaller, if two are as usual)."""
+def usable(table: DataFrame, id_col: str, vector_col: str, *also: str) -> DataFrame:
+    """(vec_id, v) and columns that go along: rows with an id and a vector of
+    finite components, of the most usual length (the smaller, if two are as usual)."""
     v = F.col(vector_col).cast("array<double>")
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *also).where("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     usual = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     return rows.where(F.size("v") == (usual[0]["dim"] if usual else 0))
