@@ -7,7 +7,7 @@ if: init cond body else; for: init cond post body; range: key value x body;
 switch: init tag clauses; typeswitch: init assign clauses; select: clauses;
 case and comm: list (empty for default), then statements; block: statements;
 assign: left list, right list; decl: specs; valuespec: names, type, values;
-typespec: type; label: statement; send: channel, value; incdec, return, go,
+typespec: type, with its type parameters as names, like func; label: statement; send: channel, value; incdec, return, go,
 defer: expressions; call: fun, args; index: x, indices; slice: x low high max;
 assert: x type; composite: type, elements; kv: key, value; funclit: type, body;
 array: len, elt; map: key, value; chan: elt; struct and interface: fields;
@@ -183,32 +183,37 @@ class Parser:
 
     def _type_spec(self) -> Node:
         start = self.t
-        name = self.take(kind="name").text
+        name, params = self.take(kind="name").text, []
         if self.at("[") and self.peek().kind == "name" and self.peek(2).text not in ("]",):
-            self._type_params()
+            params = self._type_params()
         self.skip("=")
         n = self.node("typespec", name, [self.type()], start)
+        n.names = params
         n.end = self.toks[self.k - 1].line
         return n
 
-    def _type_params(self) -> None:
-        self.take("[")
-        depth = 1
+    def _type_params(self) -> list[str]:
+        """Names of the type parameters; their constraints are passed over."""
+        last, depth, names = self.take("[").text, 1, []
         while depth:
             t = self.take()
-            depth += (t.text == "[") - (t.text == "]")
+            if depth == 1 and t.kind == "name" and last in ("[", ","):
+                names.append(t.text)
+            depth += (t.text in ("[", "(", "{")) - (t.text in ("]", ")", "}"))
+            last = t.text
             if t.kind == "end":
                 raise GoSyntaxError("type parameters don't end")
+        return names
 
     def function(self) -> Node:
         start = self.take("func")
         recv = self.params() if self.at("(") else None
         name = self.take(kind="name").text
-        if self.at("["):
-            self._type_params()
+        params = self._type_params() if self.at("[") else []
         sig = self.signature()
         body = self.block() if self.at("{") else None
         n = self.node("func", name, [recv, sig, body], start)
+        n.names = params
         return n
 
     # types
