@@ -9,8 +9,11 @@ fall back on where words don't repeat. The corpus-wide table of (pattern, instan
 bipartite graph. Spark scores it in rounds: a pattern is as reliable for a kind
 as the share of its instances believed to be of that kind, damped where few
 support it; an instance is as likely of a kind as its patterns together make it.
-Seeds stay certain. Instances in the slots of patterns that end above the threshold
-are added as spans of the pattern's kind; a shape has to be nearly certain.
+Nothing confirms itself: what an instance tells a pattern leaves out what that
+pattern told the instance, and the other way round. Seeds stay certain. Instances
+in the slots of patterns that end above the threshold are added as spans of the
+pattern's kind; a shape has to be nearly certain, and never brings back a number
+that fails its kind's own check.
 """
 
 from __future__ import annotations
@@ -44,19 +47,22 @@ DIGITS = 6
 #: Reliability that a pattern needs at least if it is the shape of a number
 #: alone; belief from which an instance speaks for its other patterns.
 SHAPE_RELIABILITY, BELIEF = 0.9, 0.25
-#: A number of more characters has no shape.
+#: Longer words and shapes stand in patterns by their digests.
 LONGEST = 40
-#: Words before a slot that are looked at until one has a letter.
+#: A pattern's window before a slot: so many words are looked at until one has a letter.
 MARKS = 4
-_ASSIGNED = re.compile(r"""[=:][ \t]*(["'])([^"'\s]{8,200})\1""")
-_NAMED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|(?:access|private|auth)[_-]?key|credentials?)["']?[ \t]*$""")
+#: Values of a credential's name: quoted, or a word with letters and digits.
+_ASSIGNED = re.compile(r"""[=:][ \t]*(?:(["'])([^"'\s]{8,})\1|([A-Za-z0-9_./+~-]{8,}={0,2})(?![^\s"'`,;)\]}>]))""")
+_NAMED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|(?:access|private|auth)[_-]?key|credentials?)$""")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _PLAIN_NUMBER = re.compile(r"[0-9+() .-]+")
 _NUMBER = re.compile(r"[(+]*[0-9][0-9().-]*")
 _GAP = re.compile(r"\s")
+_NO_DIGITS = str.maketrans("0123456789", "ghijklmnop")  # so that patterns, which take numbers as alike, keep digests apart
 _EDGE = "\"'`.,;:!?()[]{}<>|*#$%&="
 SPAN = "struct<kind: int, start: int, end: int>"
 #: Texts without a match hold nothing that is looked for.
-MAY = r"""[0-9@]|[=:][ \t]*["']"""
+MAY = r"""[0-9@]|[=:][ \t]*["']"""  # a value without quotes has a digit
 
 
 def luhn(digits: str) -> bool:
@@ -94,9 +100,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[0], x[2]))
 
 
+def _name_before(text: str, at: int) -> str:
+    """The name in front of a sign of assignment, without quotes and blanks."""
+    e = at
+    while e > 0 and text[e - 1] in " \t":
+        e -= 1
+    if e > 0 and text[e - 1] in "\"'":
+        e -= 1
+    s = e
+    while s > 0 and text[s - 1] in _NAME:
+        s -= 1
+    return text[s:e]
+
+
 def secret_spans(text: str) -> list[tuple[int, int, int]]:
-    """Quoted values that are assigned to a name of a credential."""
-    return [(SECRET, m.start(2), m.end(2)) for m in _ASSIGNED.finditer(text) if _NAMED.search(text[max(0, m.start() - 24) : m.start()])]
+    """Values that are assigned to a name of a credential: in quotes, or a word
+    of letters and digits."""
+    out = []
+    for m in _ASSIGNED.finditer(text):
+        k = 2 if m[2] is not None else 3
+        if (k == 2 or (_DIGIT.search(m[3]) and _LETTER.search(m[3]))) and _NAMED.search(_name_before(text, m.start())):
+            out.append((SECRET, m.start(k), m.end(k)))
+    return out
+
+
+def failed_kind(text: str) -> int:
+    """The kind whose pattern a slot is, but whose check it fails; -1 if none."""
+    digits = _NOT_DIGIT.sub("", text)
+    if _CARD.fullmatch(text) and len(digits) >= 12 and not (len(digits) <= 19 and luhn(digits)):
+        return 2
+    if _PHONE.fullmatch(text) and not 9 <= len(digits) <= 15:
+        return 3
+    if _IP.fullmatch(text) and not any(k == 1 for k, _, _ in base_spans(text)):
+        return 1
+    return -1
 
 
 def _raw_tokens(text: str) -> Iterator[tuple[int, int]]:
@@ -153,19 +190,22 @@ def _word_before(text: str, at: int) -> tuple[str, int]:
     while e > 0 and text[e - 1].isspace():
         e -= 1
     s = e
-    while s > 0 and not text[s - 1].isspace() and e - s < 40:
+    while s > 0 and not text[s - 1].isspace():
         s -= 1
-    return text[s:e].lower(), s
+    return _short(text[s:e].lower()), s
+
+
+def _short(word: str) -> str:
+    """A word, or a digest with a letter in front that stands for a long one."""
+    return word if len(word) <= LONGEST else "w" + hashlib.blake2b(_DIGITS.sub("9", word).encode(), digest_size=12).hexdigest().translate(_NO_DIGITS)
 
 
 def _word_after(text: str, at: int) -> str:
     s, n = at, len(text)
     while s < n and text[s].isspace():
         s += 1
-    e = s
-    while e < n and not text[e].isspace() and e - s < 40:
-        e += 1
-    return text[s:e].lower()
+    e = gap.start() if (gap := _GAP.search(text, s)) else n
+    return _short(text[s:e].lower())
 
 
 def _words_before(text: str, at: int, words: int) -> str | None:
@@ -184,12 +224,12 @@ def contexts(text: str, s: int, e: int) -> list[str]:
     with numbers alike; of a number also its shape."""
     two, one, after = _words_before(text, s, 2), _words_before(text, s, 1), _word_after(text, e)
     out = [_DIGITS.sub("9", x) for x in (two and f"{two} _", one and f"{one} _ {after}") if x]
-    return [*out, "#" + _DIGIT.sub("9", text[s:e])] if e - s <= LONGEST and _PLAIN_NUMBER.fullmatch(text, s, e) else out
+    return [*out, "#" + _short(_DIGIT.sub("9", text[s:e]))] if _PLAIN_NUMBER.fullmatch(text, s, e) else out
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    slots_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    slots_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("failed", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))
     listed = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
     for batch in batches:
         rows: tuple[list, list, list] = ([], [], [])
@@ -200,38 +240,53 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 slots += [(-1, s, e) for s, e in _instances(text, slots)]
             rows[0].append(listed(spans))
             rows[1].append(listed(secrets))
-            rows[2].append([{"kind": k, "start": s, "end": e, "instance": hashlib.blake2b(text[s:e].lower().encode(), digest_size=12).hexdigest(), "patterns": contexts(text, s, e)} for k, s, e in slots])
+            rows[2].append([{"kind": k, "start": s, "end": e, "failed": failed_kind(text[s:e]) if k < 0 else -1, "instance": hashlib.blake2b(text[s:e].lower().encode(), digest_size=12).hexdigest(), "patterns": contexts(text, s, e)} for k, s, e in slots])
         yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, (spans_type, spans_type, slots_type))], ["row", "spans", "secrets", "slots"])
 
 
 def score_graph(edges: DataFrame, work: str, rounds: int = 3, damping: float = 3.0) -> DataFrame:
     """(pattern, kind, reliability) from edges (pattern, instance, seed):
     seed is the instance's kind, -1 if unknown. An instance that is a seed
-    somewhere is one everywhere. Edges of common patterns and instances are
-    summed up before they are shuffled; the other side of a join is broadcast
-    if its counted rows are few, else Spark splits what is skewed."""
-    seeds = edges.where("seed >= 0").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
+    somewhere is one everywhere.
+
+    A pattern tells an instance its support without what the instance gave, over
+    its other instances; an instance gives a pattern the belief that its other
+    patterns make, 1 - prod(1 - told), if that reaches BELIEF. Edges of common
+    patterns and instances are summed up before they are shuffled; the other
+    side of a join is broadcast if its counted rows are few, else Spark splits
+    what is skewed."""
+    seeds = edges.where("seed >= 0").select("instance", F.col("seed").alias("kind")).distinct()
     seeds = written(seeds, f"{work}/seeds")
+    n_seeds = seeds.count()
     links = edges.select("pattern", "instance").distinct()
-    links = written(links.join(small(seeds.select("instance").distinct().withColumn("sure", F.lit(True)), seeds.count()), "instance", "left"), f"{work}/links")
+    links = written(links.join(small(seeds.select("instance").distinct().withColumn("sure", F.lit(True)), n_seeds), "instance", "left"), f"{work}/links")
     degree = links.groupBy("pattern").agg(F.count("*").alias("degree"))
-    belief = seeds
+    first = written(links.where("sure").join(small(seeds, n_seeds), "instance").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("support")), f"{work}/first")
+    open_ = links.where("sure is null").select("pattern", "instance")
+    gave, patterns = None, None
     for k in range(rounds):
-        support = links.join(small(belief, belief.count()), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("support"))
-        patterns = support.join(degree, "pattern").select("pattern", "kind", (F.col("support") / (F.col("degree") + damping)).alias("reliability"))
-        patterns = written(patterns, f"{work}/patterns-{k}")
-        if k + 1 < rounds:
-            heard = links.where("sure is null").join(small(patterns, patterns.count()), "pattern")
-            heard = heard.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("reliability", F.lit(0.999)))))).alias("belief"))
-            belief = written(heard.where(F.col("belief") >= BELIEF).unionByName(seeds), f"{work}/belief-{k}")
-    return patterns
+        support = first if gave is None else first.unionByName(gave.groupBy("pattern", "kind").agg(F.sum("gave").alias("support"))).groupBy("pattern", "kind").agg(F.sum("support").alias("support"))
+        patterns = written(support.join(degree, "pattern"), f"{work}/patterns-{k}")
+        if k + 1 == rounds:
+            break
+        told = open_.join(small(patterns, patterns.count()), "pattern")
+        if gave is not None:
+            told = told.join(gave, ["pattern", "instance", "kind"], "left")
+        own = F.coalesce("gave", F.lit(0.0)) if gave is not None else F.lit(0.0)
+        says = F.log1p(-F.least((F.col("support") - own) / (F.col("degree") - 1 + damping), F.lit(0.999)))
+        told = written(told.select("pattern", "instance", "kind", says.alias("says")).where("says < -1e-12"), f"{work}/told-{k}")
+        whole = told.groupBy("instance", "kind").agg(F.sum("says").alias("all"), F.count("*").alias("n")).where(F.col("n") > 1)
+        whole = written(whole.drop("n"), f"{work}/whole-{k}")
+        gave = told.join(small(whole, whole.count()), ["instance", "kind"]).select("pattern", "instance", "kind", (1 - F.exp(F.col("all") - F.col("says"))).alias("gave"))
+        gave = written(gave.where(F.col("gave") >= BELIEF), f"{work}/gave-{k}")
+    return patterns.select("pattern", "kind", (F.col("support") / (F.col("degree") + damping)).alias("reliability"))
 
 
 def bootstrap(rows: DataFrame, reliability: float, rounds: int) -> DataFrame:
     """(row, base, spans) of rows (row, text); row is a key of any type."""
     work = workdir(rows.sparkSession, "pii")
     kind = rows.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, spans array<{SPAN}>, secrets array<{SPAN}>, slots array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>"
+    schema = f"row {kind}, spans array<{SPAN}>, secrets array<{SPAN}>, slots array<struct<kind: int, start: int, end: int, failed: int, instance: string, patterns: array<string>>>"
     found = written(rows.mapInArrow(lean(_found), schema), f"{work}/found")
     slots = found.where(F.size("slots") > 0).select("row", F.explode("slots").alias("s")).select("row", "s.*")
     places = slots.select("instance", "kind", F.explode("patterns").alias("pattern"))
@@ -241,7 +296,8 @@ def bootstrap(rows: DataFrame, reliability: float, rounds: int) -> DataFrame:
     good = good.groupBy("pattern").agg(F.max(F.struct("reliability", -F.col("kind"))).alias("m")).select("pattern", (-F.col("m.col2")).alias("of"), F.col("m.reliability").alias("reliability"))
     good = written(good, f"{work}/good")
     discard(rows.sparkSession, f"{work}/edges", f"{work}/graph")
-    new = slots.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(small(good, good.count()), "pattern")
+    new = slots.where("kind < 0").select("row", "start", "end", "failed", F.explode("patterns").alias("pattern")).join(small(good, good.count()), "pattern")
+    new = new.where(~(F.col("pattern").startswith("#") & (F.col("failed") == F.col("of"))))
     new = new.groupBy("row", "start", "end").agg(F.max(F.struct("reliability", -F.col("of"))).alias("m"))
     new = new.select("row", F.struct((-F.col("m.col2")).cast("int").alias("kind"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("s"))
     added = new.groupBy("row").agg(F.collect_list("s").alias("added"))

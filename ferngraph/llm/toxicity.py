@@ -18,20 +18,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm.common import give_back, lean, ship
-from ferngraph.llm.textblocks import BLOCK, U, Hasher, blocks, segments, word_spans
+from ferngraph.llm.common import discard, give_back, lean, ship, workdir, written
+from ferngraph.llm.textblocks import BLOCK, U, Hasher, blocks, mix, segments, word_spans
 
 BITS = 20
 PREFIXES = (2, 3, 4, 6)
-#: Labelled rows that a model is fitted on at most: those of the smallest hashes of doc_id.
-SAMPLE_ROWS = 12_000
+#: Labelled rows that a model is fitted on at most, those of the smallest hashes
+#: of doc_id, and how many terms they may have in all: 4 bytes each on the driver.
+SAMPLE_ROWS, SAMPLE_TERMS = 12_000, 32_000_000
 #: A term needs so many sampled rows, and this log likelihood ratio (2 ln) of its
 #: presence and the label (1 degree of freedom: by chance once in 2,000 terms).
 LEAST_ROWS, ALONE = 3, 12.0
-#: Terms whose pairs are tested: those nearest to being in half of the sampled
-#: rows. A pair's interaction has to be so many standard errors (by chance once
-#: in 500 million pairs).
-PAIR_TERMS, TOGETHER = 1024, 6.0
+#: Rows of one label that a pair needs at least, and its deviance (2 ln): of its rows' labels
+#: from the share that the two terms alone explain, taken SURE standard errors towards
+#: what is seen. By chance once in a thousand million pairs, if that share is known.
+PAIR_ROWS, TOGETHER, SURE = 8, 36.0, 3.0
+#: Terms whose pairs are counted at once.
+PAIR_BLOCK = 1024
 
 
 def _terms(buf: np.ndarray, bounds: np.ndarray, active: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -88,52 +91,140 @@ def _chunks(places: list[np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.nd
         yield slice(at, at + len(own)), np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
 
 
-def _joint(places: list[np.ndarray], y: np.ndarray, terms: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Those of the terms that say with another of them what they don't say
-    alone: the log odds of the label over the four cells of a pair don't add up."""
-    n, m = len(y), len(terms)
-    rank = np.full(1 << BITS, -1, np.int32)
-    rank[terms] = np.arange(m)
-    both, both_toxic = np.zeros((m, m), np.float32), np.zeros((m, m), np.float32)
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of truth values as bits of whole 64-bit words."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 64) * 64), bool)
+    padded[:, : rows.shape[1]] = rows
+    return np.packbits(padded, axis=1).view(U)
+
+
+class _Postings:
+    """Rows by term, toxic ones first: sets of rows as bits, pairs counted by
+    block of terms."""
+
+    def __init__(self, places: list[np.ndarray], y: np.ndarray, terms: np.ndarray):
+        self.terms, self.n_toxic, self.n = terms, int(y.sum()), len(y)
+        rank = np.full(1 << BITS, -1, np.int32)
+        rank[terms] = np.arange(len(terms))
+        number = np.empty(self.n, np.int32)
+        number[np.argsort(-y, kind="stable")] = np.arange(self.n)
+        own = [r[r >= 0] for r in (rank[p] for p in places)]
+        term, row = np.concatenate([*own, np.empty(0, np.int32)]), np.repeat(number, [len(x) for x in own])
+        order = np.lexsort((row, term))
+        self.row, self.start = row[order], np.searchsorted(term[order], np.arange(len(terms) + 1))
+
+    def rows(self, low: int, high: int) -> np.ndarray:
+        """Whether each of some terms is in each row."""
+        out = np.zeros((high - low, self.n), bool)
+        out[np.repeat(np.arange(high - low), np.diff(self.start[low : high + 1])), self.row[self.start[low] : self.start[high]]] = True
+        return out
+
+    def pairs(self, toxic: bool, enough) -> Iterator[tuple[np.ndarray, ...]]:
+        """(a, b, toxic rows, rows) of pairs of terms, by place, with PAIR_ROWS
+        rows of one label and as many as enough(a, b) says."""
+        side = slice(0, self.n_toxic) if toxic else slice(self.n_toxic, self.n)
+        other = slice(self.n_toxic, self.n) if toxic else slice(0, self.n_toxic)
+        cuts = range(0, len(self.terms), PAIR_BLOCK)
+        for i in cuts:
+            left = self.rows(i, min(i + PAIR_BLOCK, len(self.terms)))
+            for j in range(i, len(self.terms), PAIR_BLOCK):
+                right = left if i == j else self.rows(j, min(j + PAIR_BLOCK, len(self.terms)))
+                count = left[:, side].astype(np.float32) @ right[:, side].astype(np.float32).T
+                if i == j:
+                    count = np.triu(count, 1)
+                a, b = np.nonzero(count >= np.maximum(PAIR_ROWS, enough(slice(i, i + len(left)), slice(j, j + len(right)))))
+                bits = [_words(x[:, other]) for x in (left, right)]
+                for at in range(0, len(a), 1 << 15):
+                    x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                    own, rest = count[x, y].astype(float), np.bitwise_count(bits[0][x] & bits[1][y]).sum(1, dtype=np.int64).astype(float)
+                    yield x + i, y + j, own if toxic else rest, own + rest
+
+
+def _logit(toxic: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the label in a cell, and their variance."""
+    return np.log((toxic + 0.5) / (rows - toxic + 0.5)), 1 / (toxic + 0.5) + 1 / (rows - toxic + 0.5)
+
+
+def _says_more(toxic: bool, bt: np.ndarray, b: np.ndarray, ta, ra, tb, rb, t: float, n: float) -> np.ndarray:
+    """Whether a pair's rows have a label more often than both terms explain,
+    whose log odds add up where they don't interact."""
+    cells = [_logit(*x) for x in ((ta - bt, ra - b), (tb - bt, rb - b), (t - ta - tb + bt, n - ra - rb + b))]
+    sign = 1.0 if toxic else -1.0
+    expected = cells[0][0] + cells[1][0] - cells[2][0] + sign * SURE * np.sqrt(sum(v for _, v in cells))
+    p = 1 / (1 + np.exp(-np.clip(expected, -30, 30)))
+    seen = bt / b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        deviance = 2 * (np.nan_to_num(bt * np.log(seen / p)) + np.nan_to_num((b - bt) * np.log((1 - seen) / (1 - p))))
+    return (deviance > TOGETHER) & (sign * (seen - p) > 0)
+
+
+def _joint(places: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Those terms that say with another what they don't say alone. A pair that
+    says toxic has PAIR_ROWS toxic rows, so each of its terms has; every term
+    that has takes part. A pair that clears needs so many clean rows that they
+    are unlikely by its more toxic term, whose share is taken a standard error
+    higher: terms without take no part in these."""
+    n, t = float(len(y)), float(y.sum())
+    toxic, rows = _counts(places, y)
+    good = np.zeros(1 << BITS, bool)
+    log_odds, spread = _logit(toxic, rows)
+    most = log_odds + np.sqrt(spread)
+    clears = (rows - toxic) * np.log1p(np.exp(np.clip(most, -30, 30))) >= TOGETHER / 2
+    for says, terms in ((True, np.flatnonzero(toxic >= PAIR_ROWS)), (False, np.flatnonzero((rows - toxic >= PAIR_ROWS) & clears))):
+        if len(terms) < 2:
+            continue
+        own = most[terms]
+        least = lambda a, b, own=own: TOGETHER / 2 / np.log1p(np.exp(np.clip(np.maximum.outer(own[a], own[b]) + 1, -30, 30)))
+        none = lambda a, b: 0.0
+        for a, b, bt, both in _Postings(places, y, terms).pairs(says, none if says else least):
+            x, z = terms[a], terms[b]
+            more = _says_more(says, bt, both, toxic[x], rows[x], toxic[z], rows[z], t, n)
+            good[x[more]] = good[z[more]] = True
+    return np.flatnonzero(good)
+
+
+def _distinct(places: list[np.ndarray]) -> np.ndarray:
+    """Rows without copies and near copies of earlier ones, whose pairs would
+    count as often as they were copied: those that share 8 least hashes of terms
+    in one of 4 bands."""
+    seen: set[tuple] = set()
+    out = []
+    for k, p in enumerate(places):
+        if not len(p):
+            continue
+        least = [int(mix(p.astype(U) + U(i << BITS)).min()) for i in range(1, 33)]
+        bands = [(i, *least[i : i + 8]) for i in range(0, 32, 8)]
+        if seen.isdisjoint(bands):
+            out.append(k)
+        seen.update(bands)
+    return np.array(out, np.int64)
+
+
+def _counts(places: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic rows, and all rows, of each place."""
+    toxic, rows = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for run, flat, row in _chunks(places):
-        col = rank[flat]
-        x = np.zeros((run.stop - run.start, m), np.float32)
-        x[row[col >= 0], col[col >= 0]] = 1
-        both += x.T @ x
-        x = x[y[run] > 0]
-        both_toxic += x.T @ x
-    good, r, t = np.zeros(m, bool), rows[terms], toxic[terms]
-    for k in range(m):
-        b, bt = both[k].astype(float), both_toxic[k].astype(float)
-        z, spread = np.zeros(m), np.zeros(m)
-        for sign, ct, cr in ((1, bt, b), (-1, t[k] - bt, r[k] - b), (-1, t - bt, r - b), (1, y.sum() - t - t[k] + bt, n - r - r[k] + b)):
-            z += sign * np.log((ct + 0.5) / (cr - ct + 0.5))
-            spread += 1 / (ct + 0.5) + 1 / (cr - ct + 0.5)
-        z /= np.sqrt(spread)
-        z[k] = 0
-        good[k] = np.abs(z).max() > TOGETHER
-    return terms[good]
+        rows += np.bincount(flat, minlength=1 << BITS)
+        toxic += np.bincount(flat, y[run][row], 1 << BITS)
+    return toxic, rows
 
 
 def chosen_terms(places: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The places that get weights and factors."""
-    size, n, share = 1 << BITS, len(y), y.mean()
-    toxic, rows = np.zeros(size), np.zeros(size)
-    for run, flat, row in _chunks(places):
-        rows += np.bincount(flat, minlength=size)
-        toxic += np.bincount(flat, y[run][row], size)
+    n, share = len(y), y.mean()
+    toxic, rows = _counts(places, y)
     alone = _ratio(toxic, rows, share) + _ratio(y.sum() - toxic, n - rows, share)
-    seen = np.flatnonzero(rows >= LEAST_ROWS)
-    even = seen[np.argsort(-np.minimum(rows[seen], n - rows[seen]), kind="stable")[:PAIR_TERMS]]
-    return np.union1d(seen[alone[seen] > ALONE], _joint(places, y, np.sort(even), toxic, rows))
+    own = _distinct(places)
+    return np.union1d(np.flatnonzero((rows >= LEAST_ROWS) & (alone > ALONE)), _joint([places[k] for k in own], y[own]))
 
 
-def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: int = 20, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
-    """Fit by AdaGrad on the log loss. Of one class only, or of no rows, the
+def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: int = 10, l2: float = 1e-3, seeds: tuple[int, ...] = (7, 8, 9)) -> FactorizationMachine:
+    """Fit by AdaGrad on the log loss, once a seed; the mean of these models'
+    logits is a factorization machine again. Of one class only, or of no rows, the
     model is the share of label 1 alone; so it is where no term tells anything."""
     n, y = len(toxic), np.asarray(toxic, float)
     size = 1 << BITS
-    none = FactorizationMachine(float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))), np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
+    none = FactorizationMachine(float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))), np.zeros(size, np.float32), np.zeros((size, factors * len(seeds)), np.float32))
     if y.sum() in (0, n):
         return none
     chosen = chosen_terms(places, y)
@@ -142,8 +233,16 @@ def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: i
     rank = np.full(size, -1, np.int32)
     rank[chosen] = np.arange(len(chosen))
     own = [r[r >= 0] for r in (rank[p] for p in places)]
-    rng = np.random.default_rng(seed)
-    w, v, b = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)), none.bias
+    found = [_descend(own, y, len(chosen), none.bias, factors, rounds, l2, np.random.default_rng(seed)) for seed in seeds]
+    out = FactorizationMachine(float(np.mean([b for b, _, _ in found])), none.weight, none.factors)
+    out.weight[chosen], out.factors[chosen] = np.mean([w for _, w, _ in found], 0), np.concatenate([v for _, _, v in found], 1) / np.sqrt(len(seeds))
+    return out
+
+
+def _descend(own: list[np.ndarray], y: np.ndarray, terms: int, bias: float, factors: int, rounds: int, l2: float, rng: np.random.Generator) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors of the terms 0, 1, ... that rows hold."""
+    n = len(y)
+    w, v, b = np.zeros(terms), rng.normal(0, 0.02, (terms, factors)), bias
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
     for _ in range(rounds):
         for batch in np.array_split(rng.permutation(n), max(1, n // 128)):
@@ -170,9 +269,7 @@ def fit(places: list[np.ndarray], toxic: np.ndarray, factors: int = 8, rounds: i
             gv[u] += dv**2
             w[u] -= 0.2 * dw / np.sqrt(gw[u])
             v[u] -= 0.03 * dv / np.sqrt(gv[u])
-    out = FactorizationMachine(float(b), none.weight, none.factors)
-    out.weight[chosen], out.factors[chosen] = w, v
-    return out
+    return float(b), w, v
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -183,26 +280,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists: list[np.ndarray] = []
-        for _, buf, bounds in blocks(batch.column(0)):
+        for _, buf, bounds in blocks(batch.column(0)):  # text, h, toxic
             doc, place = _terms(buf, bounds, None)
             lists += np.split(place.astype(np.int32), np.searchsorted(doc, np.arange(1, len(bounds) - 1)))
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.tobytes() for x in lists], pa.binary())], ["toxic", "places"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(x) for x in lists], pa.int64()), pa.array([x.tobytes() for x in lists], pa.binary())], ["h", "toxic", "n", "places"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Fit on labelled documents that aren't held out, at most sample_rows of
-    them. A doc_id labelled several times counts as toxic if one label says so;
+    them and with at most SAMPLE_TERMS terms. A doc_id labelled several times counts as toxic if one label says so;
     of several texts of a doc_id the first in order teaches; null labels, and
     labels without a document, teach nothing."""
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
-    got = rows.mapInArrow(lean(_places), "toxic double, places binary").toArrow()
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", F.xxhash64("doc_id").alias("h"), "toxic")
+    work = workdir(docs.sparkSession, "toxicity")
+    sample = written(rows.mapInArrow(lean(_places), "h long, toxic double, n long, places binary"), f"{work}/sample")
+    sizes = sample.select("h", "n").orderBy("h").collect()  # a number for each sampled row
+    within = np.searchsorted(np.cumsum([r.n for r in sizes]), SAMPLE_TERMS, "right")
+    got = (sample if within == len(sizes) else sample.where(F.col("h") < sizes[within].h)).select("toxic", "places").toArrow()
     order = sorted(zip(got["toxic"].to_pylist(), got["places"].to_pylist(), strict=True))
     model = fit([np.frombuffer(p, np.int32) for _, p in order], np.array([t for t, _ in order]))
     del got, order
+    discard(docs.sparkSession, work)
     give_back()
     return model
 

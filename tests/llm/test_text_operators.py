@@ -217,6 +217,61 @@ def test_toxicity_of_terms_that_say_nothing_alone():
     assert right > 0.95 and abs(np.mean((linear > np.median(linear)) == np.array(toxic[800:], bool)) - 0.5) < 0.15
 
 
+def pure_pair(share, n=3000, common=1500, seed=5):
+    """Rows of many common terms; the label is that two more of them meet, in
+    this share of the rows, while each alone tells little."""
+    r = np.random.default_rng(seed)
+    side = np.sqrt(share)
+    a, b = r.random(n) < side, r.random(n) < side
+    noise = r.random((n, common)) < 0.35
+    rare = r.random((n, 2000)) < 0.004
+    places = [np.concatenate((np.flatnonzero(noise[k]) + 10, np.flatnonzero(rare[k]) + 5000, [1] * int(a[k]) + [2] * int(b[k]))).astype(np.int32) for k in range(n)]
+    return [np.unique(p) for p in places], (a & b).astype(float)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.1, 0.05])
+def test_toxicity_finds_a_pair_among_common_terms(share):
+    places, toxic = pure_pair(share)
+    chosen = toxicity.chosen_terms(places[:2000], toxic[:2000])
+    pair = toxicity._joint(places[:2000], toxic[:2000])
+    assert set(pair.tolist()) <= {1, 2} and {1, 2} <= set(chosen.tolist()) and len(chosen) < 40
+    assert len(pair) == 2 or share < 0.1  # rare enough, each of the two says something alone
+    fm = toxicity.fit(places[:2000], toxic[:2000])
+    doc, place = np.repeat(np.arange(1000), [len(p) for p in places[2000:]]), np.concatenate(places[2000:])
+    assert np.mean((fm.logits(doc, place, 1000) > 0) == toxic[2000:].astype(bool)) > 0.95
+
+
+def test_copies_dont_make_pairs():
+    places, _ = pure_pair(0.0)
+    places, toxic = places + [places[0]] * 40, np.append(np.zeros(3000), np.ones(40))
+    own = toxicity._distinct(places)
+    assert 2900 < len(own) <= 3000 and own.max() < 3000 and not len(toxicity._joint([places[k] for k in own], toxic[own]))
+
+
+def test_pairs_are_counted_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 7)
+    r = np.random.default_rng(1)
+    x, y = r.random((200, 30)) < 0.4, (r.random(200) < 0.3).astype(float)
+    places = [np.flatnonzero(row).astype(np.int32) for row in x]
+    for toxic in (True, False):
+        got = {(int(a), int(b)): (bt, both) for parts in toxicity._Postings(places, y, np.arange(30)).pairs(toxic, lambda a, b: 0.0) for a, b, bt, both in zip(*parts, strict=True)}
+        for i in range(30):
+            for j in range(i + 1, 30):
+                both = x[:, i] & x[:, j]
+                want = ((both & (y > 0)).sum(), both.sum())
+                enough = want[0] if toxic else want[1] - want[0]
+                assert got.get((i, j)) == (want if enough >= toxicity.PAIR_ROWS else None)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    rows, labels = toxic_rows(200)
+    monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 900)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda places, toxic: seen.append(sum(map(len, places))))
+    toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 500 < seen[0] <= 900
+
+
 def test_terms_of_long_texts(monkeypatch):
     text = " ".join(f"word{k} x{k}" for k in range(300)).encode()
     buf, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
@@ -339,28 +394,27 @@ def test_pii_finds_secrets(spark):
 
 
 def brute_scores(edges, rounds, damping):
-    """The graph's scores by the definition: edges (pattern, instance, seed)."""
+    """The graph's scores by the definition: edges (pattern, instance, seed).
+    Neither side hears from the other what it said itself."""
     sure = {}
     for _, i, k in edges:
         if k >= 0:
             sure.setdefault(i, set()).add(k)
     links = {(p, i) for p, i, _ in edges}
-    belief = {(i, k): 1.0 for i, ks in sure.items() for k in ks}
+    gave = {(p, i, k): 1.0 for p, i in links for k in sure.get(i, ())}
     for r in range(rounds):
-        reliability = {}
-        for p in {p for p, _ in links}:
-            own = [i for q, i in links if q == p]
-            for k in range(5):
-                if support := [belief[i, k] for i in own if (i, k) in belief]:
-                    reliability[p, k] = sum(support) / (len(own) + damping)
+        degree = {p: sum(q == p for q, _ in links) for p, _ in links}
+        support = {}
+        for (p, _, k), x in gave.items():
+            support[p, k] = support.get((p, k), 0) + x
         if r + 1 < rounds:
-            belief = {(i, k): 1.0 for i, ks in sure.items() for k in ks}
-            for i in {i for _, i in links} - set(sure):
-                for k in range(5):
-                    doubt = [1 - min(reliability[p, k], 0.999) for p, j in links if j == i and (p, k) in reliability]
-                    if doubt and 1 - np.prod(doubt) >= pii.BELIEF:
-                        belief[i, k] = 1 - np.prod(doubt)
-    return reliability
+            told = {(p, i, k): min(0.999, (support[p, k] - gave.get((p, i, k), 0)) / (degree[p] - 1 + damping)) for p, i in links if i not in sure for k in range(5) if (p, k) in support}
+            gave = {x: v for x, v in gave.items() if x[1] in sure}
+            for p, i, k in told:
+                belief = 1 - np.prod([1 - x for (q, j, m), x in told.items() if j == i and m == k and q != p])
+                if belief >= pii.BELIEF:
+                    gave[p, i, k] = belief
+    return {(p, k): x / (degree[p] + damping) for (p, k), x in support.items()}
 
 
 def test_scores_of_the_pii_graph(spark):
@@ -373,6 +427,45 @@ def test_scores_of_the_pii_graph(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_nothing_in_the_pii_graph_confirms_itself(spark):
+    """Half of the numbers of one shape pass their check, in context that
+    doesn't repeat: whatever the rounds, the others stay out."""
+    good = [n for n in (f"{4000_0000_0000_0000 + 7919 * k}" for k in range(3000)) if pii.luhn(n)][:150]
+    bad = [n for n in (f"{5000_0000_0000_0000 + 7919 * k}" for k in range(3000)) if not pii.luhn(n)][:130]
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(k, f"u{word(k)} x{word(k)} {n} y{word(k)}") for k, n in enumerate(good + bad)]
+    for rounds in (3, 8):
+        got = pii.digest(pii.find_pii(docs(spark, rows), rounds=rounds)).collect()
+        assert sum(r.n_card for r in got) == len(good) and sum(r.n_discovered for r in got) == 0
+    few = [(k, f"u{word(k)} x{word(k)} {n} y{word(k)}") for k, n in enumerate(good + bad[:3])]  # a shape that is nearly certain, still failing its check
+    assert sum(r.n_discovered for r in pii.digest(pii.find_pii(docs(spark, few))).collect()) == 0
+
+
+def test_pii_finds_planted_forms(spark):
+    """Identifiers of a form that no base pattern has, where seeds stand."""
+    r = random.Random(3)
+    before, after = ["reach me under", "my line is", "please ring"], ["in the morning", "after work", "or not"]
+    rows, planted = [], {}
+    for k in range(240):
+        a, b = r.choice(before), r.choice(after)
+        new = k % 4 == 0
+        x = f"0{r.randrange(100, 999)}/{r.randrange(10**6, 10**7)}" if new else f"+49 {r.randrange(100, 999)} {r.randrange(10**6, 10**7)}"
+        rows.append((k, f"w{k} v{k} {a} {x} {b} z{k}"))
+        if new:
+            planted[k] = f"phone:{rows[-1][1].index(x)}:{rows[-1][1].index(x) + len(x)}"
+    rows += [(1000 + k, f"part q{k} no 0{k + 200}/{1000000 + k} of t{k} the list") for k in range(60)]
+    got = {x.doc_id: x.spans for x in pii.digest(pii.find_pii(docs(spark, rows))).collect()}
+    assert all(got[k] == x for k, x in planted.items()) and not any(got[1000 + k] for k in range(60))
+
+
+def test_pii_of_long_values(spark):
+    value, word = "ab1" * 100, "ü" * 100
+    rows = [(1, f"password = '{value}'"), (2, 'api_key' + " " * 40 + f'= "{value}"'), (3, "api_token=abcdef123456, x"), (4, "password: required"), (5, "token: abcdefgh rest"), (6, f"{word} 12345678 {word}"), (7, "1" * 500), (8, "x password:abc12345")]
+    got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs(spark, rows))).collect()}
+    assert [got[k].secrets for k in range(1, 9)] == ["secret:12:312", "secret:50:350", "secret:10:22", "", "", "", "", "secret:11:19"]
+    assert got[7].spans == "" and pii.contexts(rows[5][1], 101, 109)[0] != pii.contexts("ö" * 100 + " 12345678 b", 101, 109)[0]
+
+
 def test_instances_of_pii():
     found = lambda t: [t[s:e] for s, e in pii._instances(t, pii.base_spans(t))]
     assert found("call 030 123 456 10.0.0.1 now") == ["030 123 456"] and found("id AB123456 7 or 12/34/5678, x@y") == ["AB123456", "12/34/5678", "x@y"]
