@@ -218,15 +218,7 @@ class Engine:
 
     def find_dead_code(self, root: str, patterns: list[str] | None = None, include_exported: bool = False, **o) -> dict:
         facts = self._facts(root, patterns)
-        nodes = liveness.candidates(facts.roots("functions"), include_exported).withColumnRenamed("fn_id", "id")
-        edges = facts.call_edges().select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-        # a closure runs where it stands: its function reaches it
-        inner = facts.roots("functions").where("parent_fn <> ''").select(F.col("parent_fn").alias("src"), F.col("fn_id").alias("dst"))
-        # a method whose name is called on something unknown may be what is called, and values of package variables are made first of all
-        maybe = facts.open_methods().select(F.lit("?").alias("src"), F.col("fn_id").alias("dst"))
-        first = self.spark.createDataFrame([("?",)], "id string").unionByName(facts.roots("calls").select(F.concat("pkg_path", F.lit(".init")).alias("id")).distinct())
-        start = liveness.seeds(facts.roots("functions"), facts.go_sites()).unionByName(first)
-        rows = liveness.dead(nodes, edges.unionByName(inner).unionByName(maybe), start)
+        rows = liveness.dead_of(facts, include_exported)
         rows = rows.select("kind", F.col("id").alias("function"), F.col("pkg_path").alias("package"), "exported", "file", "line", anchor("file", "line", "name").alias("anchor"))
         return self._page("dead", rows, ["kind", "package", "function"], ["kind", "function"], root, o)
 

@@ -41,6 +41,20 @@ def candidates(functions: DataFrame, include_exported: bool = False) -> DataFram
     return rows if include_exported else rows.where(~F.col("exported"))
 
 
+def dead_of(facts, include_exported: bool = False) -> DataFrame:
+    """Dead functions of a fact set (dead())."""
+    functions = facts.roots("functions")
+    nodes = candidates(functions, include_exported).withColumnRenamed("fn_id", "id")
+    edges = facts.call_edges().select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    # a closure runs where it stands: its function reaches it
+    inner = functions.where("parent_fn <> ''").select(F.col("parent_fn").alias("src"), F.col("fn_id").alias("dst"))
+    # a method whose name is called on something unknown may be what is called, and values of package variables are made first of all
+    maybe = facts.open_methods().select(F.lit("?").alias("src"), F.col("fn_id").alias("dst"))
+    first = functions.sparkSession.createDataFrame([("?",)], "id string").unionByName(facts.roots("calls").select(F.concat("pkg_path", F.lit(".init")).alias("id")).distinct())
+    start = seeds(functions, facts.go_sites()).unionByName(first)
+    return dead(nodes, edges.unionByName(inner).unionByName(maybe), start)
+
+
 def dead(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     """nodes (id, ...) with kind: unreferenced if nothing calls them, else
     unreachable_from_entrypoint if no path from start (id) leads to them. A

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferngraph.functions import receiver_name
@@ -51,6 +51,38 @@ def candidates(functions: DataFrame, query: str) -> DataFrame:
     return rows.join(F.broadcast(top), rank == F.col("top")).select("fn_id", "stage").distinct()
 
 
+def resolve_all(functions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, stage, n, fn_id, others): what every asked name (column asked)
+    means, by the stages of candidates(): the best stage, how many functions it
+    leaves, the first of them, and up to 20 of them where they are several. stage
+    is null and n 0 if nothing has the name.
+
+    An inverted index of spellings is joined once as written and once folded, so
+    the names may be as many as the functions; names that many functions have
+    are aggregated before anything is listed."""
+    names = asked.select("asked").where("asked is not null").distinct()
+    rows = aliases(functions).withColumn("made", F.coalesce("synthetic", F.lit("")) != "")
+    index = rows.select("fn_id", "is_root", "made", F.explode("aliases").alias("alias")).distinct()
+    folded = index.select("fn_id", "is_root", "made", F.lower("alias").alias("alias")).distinct()
+    method = rows.where(F.coalesce("recv_type", F.lit("")) != "").select("fn_id", "is_root", "made", F.lower("name").alias("alias"))
+    low = names.withColumn("low", F.lower("asked"))
+    last = low.where(F.col("low").contains(".")).withColumn("low", F.element_at(F.split("low", r"\."), -1))
+    columns = ["asked", "fn_id", "is_root", "made"]
+    exact = names.join(index, names["asked"] == index["alias"]).select(*columns, F.when(F.col("is_root"), 1).otherwise(2).alias("stage"))
+    loose = [a.join(b, F.col("low") == F.col("alias")).select(*columns, F.when(F.col("is_root"), 3).otherwise(4).alias("stage")) for a, b in ((low, folded), (last, method))]
+    found = exact.unionByName(loose[0]).unionByName(loose[1])
+    # the least of (stage, not in roots, made) wins; of its functions each counts once
+    level = F.struct("stage", (~F.col("is_root")).alias("outside"), "made")
+    best = found.groupBy("asked").agg(F.min(level).alias("best"))
+    top = found.select("asked", "fn_id", level.alias("best")).join(best, ["asked", "best"]).select("asked", "best", "fn_id").distinct()
+    counts = top.groupBy("asked", F.col("best.stage").alias("stage")).agg(F.count("*").alias("n"), F.min("fn_id").alias("fn_id"))
+    several = top.join(counts.where("n > 1").select("asked"), "asked")
+    w = Window.partitionBy("asked").orderBy("fn_id")
+    others = several.withColumn("_k", F.row_number().over(w)).where("_k <= 20").groupBy("asked").agg(F.sort_array(F.collect_list("fn_id")).alias("others"))
+    out = names.join(counts, "asked", "left").join(others, "asked", "left")
+    return out.select("asked", F.col("stage").cast("int").alias("stage"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "fn_id", "others")
+
+
 def resolve(functions: DataFrame, query: str) -> str:
     """The one fn_id that a name means; NotFound or Ambiguous otherwise."""
     found = [r.fn_id for r in candidates(functions, query).orderBy("fn_id").limit(21).collect()]

@@ -96,8 +96,9 @@ def registrations(register_calls: DataFrame, register_funcs: DataFrame, services
 
 def implementations(regs: DataFrame) -> DataFrame:
     """(service, implementations): distinct ones in the order of their calls."""
-    listed = regs.where("service is not null").groupBy("service").agg(F.sort_array(F.collect_list(F.struct("ord", "implementation"))).alias("x"))
-    return listed.select("service", F.array_distinct(F.transform("x", lambda r: r["implementation"])).alias("implementations"))
+    first = regs.where("service is not null").groupBy("service", "implementation").agg(F.min("ord").alias("ord"))
+    listed = first.groupBy("service").agg(F.sort_array(F.collect_list(F.struct("ord", "implementation"))).alias("x"))
+    return listed.select("service", F.transform("x", lambda r: r["implementation"]).alias("implementations"))
 
 
 def endpoints(services: DataFrame, methods: DataFrame, impl: DataFrame) -> DataFrame:

@@ -379,6 +379,11 @@ class FactSet:
         return rows.select(sig.alias("sig"), "target").distinct()
 
     def call_edges(self) -> DataFrame:
+        """(caller, callee, call_type, file, line, site_ord); see _edges."""
+        return self._edges
+
+    @cached_property
+    def _edges(self) -> DataFrame:
         """(caller, callee, call_type, file, line, site_ord): calls of known
         functions and of methods of known types; a call of an interface's method
         leads to that method of every type that has its whole method set, a call
@@ -403,7 +408,7 @@ class FactSet:
         valued = values.join(by_sig, "sig").withColumn("callee", F.col("target")).select(columns)
         static = direct.unionByName(typed).unionByName(valued)
         inside = call_graph.class_hierarchy_edges(static, through, self._implementors(needs)).join(functions, "callee", "left_semi").select(columns)
-        return inside.unionByName(outside).distinct()
+        return checkpointed(inside.unionByName(outside).distinct())
 
     @staticmethod
     def _anonymous(calls: DataFrame) -> DataFrame:
