@@ -134,8 +134,8 @@ class _Postings:
                     count = np.triu(count, 1)
                 a, b = np.nonzero(count >= np.maximum(PAIR_ROWS, enough(slice(i, i + len(left)), slice(j, j + len(right)))))
                 bits = [_words(x[:, other]) for x in (left, right)]
-                for at in range(0, len(a), 1 << 15):
-                    x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                for at in range(0, len(a), 1 << 14):
+                    x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
                     own, rest = count[x, y].astype(float), np.bitwise_count(bits[0][x] & bits[1][y]).sum(1, dtype=np.int64).astype(float)
                     yield x + i, y + j, own if toxic else rest, own + rest
 
@@ -286,6 +286,22 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([len(x) for x in lists], pa.int64()), pa.array([x.tobytes() for x in lists], pa.binary())], ["h", "toxic", "n", "places"])
 
 
+MODEL = "bias double, k int, used binary, weight binary, factors binary"
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the whole bounded sample, in one task, so that the driver
+    doesn't hold the sample."""
+    rows = [x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    if rows:
+        rows.sort()
+        model = fit([np.frombuffer(p, np.int32) for _, p in rows], np.array([t for t, _ in rows]))
+        used = np.flatnonzero((model.weight != 0) | model.factors.any(1))
+        cols = [pa.array([model.bias]), pa.array([model.factors.shape[1]], pa.int32())]
+        cols += [pa.array([x.tobytes()], pa.binary()) for x in (used.astype(np.int32), model.weight[used], model.factors[used])]
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in MODEL.split(", ")])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Fit on labelled documents that aren't held out, at most sample_rows of
     them and with at most SAMPLE_TERMS terms. A doc_id labelled several times counts as toxic if one label says so;
@@ -300,12 +316,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = written(rows.mapInArrow(lean(_places), "h long, toxic double, n long, places binary"), f"{work}/sample")
     sizes = sample.select("h", "n").orderBy("h").collect()  # a number for each sampled row
     within = np.searchsorted(np.cumsum([r.n for r in sizes]), SAMPLE_TERMS, "right")
-    got = (sample if within == len(sizes) else sample.where(F.col("h") < sizes[within].h)).select("toxic", "places").toArrow()
-    order = sorted(zip(got["toxic"].to_pylist(), got["places"].to_pylist(), strict=True))
-    model = fit([np.frombuffer(p, np.int32) for _, p in order], np.array([t for t, _ in order]))
-    del got, order
+    rows = (sample if within == len(sizes) else sample.where(F.col("h") < sizes[within].h)).select("toxic", "places")
+    got = rows.repartition(1).mapInArrow(lean(_fitted), MODEL).collect()
     discard(docs.sparkSession, work)
-    give_back()
+    if not got:
+        return fit([], np.empty(0))
+    used, weight = np.frombuffer(got[0].used, np.int32), np.frombuffer(got[0].weight, np.float32)
+    model = FactorizationMachine(got[0].bias, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, got[0].k), np.float32))
+    model.weight[used], model.factors[used] = weight, np.frombuffer(got[0].factors, np.float32).reshape(-1, got[0].k)
     return model
 
 

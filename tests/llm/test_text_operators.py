@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,10 +267,14 @@ def test_pairs_are_counted_whole(monkeypatch):
 def test_the_sample_is_bounded(spark, monkeypatch):
     rows, labels = toxic_rows(200)
     monkeypatch.setattr(toxicity, "SAMPLE_TERMS", 900)
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda places, toxic: seen.append(sum(map(len, places))))
-    toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert 500 < seen[0] <= 900
+
+    def counted(batches):
+        n = sum(len(p) // 4 for b in batches for p in b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([1], pa.int32()), *[pa.array([b""], pa.binary())] * 3], ["bias", "k", "used", "weight", "factors"])
+
+    monkeypatch.setattr(toxicity, "_fitted", counted)
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert 500 < model.bias <= 900
 
 
 def test_terms_of_long_texts(monkeypatch):
