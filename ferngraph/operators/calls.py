@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferngraph.functions import anchor
-from ferngraph.plans.graphs import checkpointed, reach
+from ferngraph.plans.graphs import checkpointed, cut, reach
 
 HIERARCHY_DEPTH, CALLERS_DEPTH, PATH_DEPTH, PATHS = 3, (3, 8), (8, 12), (20, 100)
 
@@ -30,16 +30,16 @@ def path_limits(depth: int, paths: int) -> tuple[int, int]:
 def _walk(edges: DataFrame, roots: DataFrame, depth: int, at: str, to: str) -> DataFrame:
     """Edges met within depth steps from the roots, each (caller, callee) once:
     at its fewest steps, then at its first site. A level is one join with a
-    frontier of nodes that are new; frontiers are checkpointed, so no level
+    frontier of nodes that are new; frontiers are written, so no level
     computes the ones before again."""
     frontier, seen, levels = roots.select(F.col("id").alias(at)).distinct(), None, []
     for k in range(1, depth + 1):
         hop = edges.join(frontier, at).withColumn("depth", F.lit(k))
         levels.append(hop)
         if k < depth:
-            seen = frontier if seen is None else checkpointed(seen.unionByName(frontier))
-            frontier = checkpointed(hop.select(F.col(to).alias(at)).distinct().join(seen, at, "left_anti"))
-            if frontier.isEmpty():
+            seen = frontier if seen is None else seen.unionByName(frontier)
+            frontier, (n,) = cut(hop.select(F.col(to).alias(at)).distinct().join(seen, at, "left_anti"))
+            if not n:
                 break
     every = reduce(DataFrame.unionByName, levels)
     if "site_ord" not in every.columns:
@@ -95,11 +95,11 @@ def paths(edges: DataFrame, start: DataFrame, target: DataFrame, max_depth: int
     for k in range(1, depth + 1):
         step = open_paths.join(pairs, "src").where(~F.array_contains("path", F.col("dst")))
         step = step.join(left.where(F.col("left") <= depth - k), "dst").select(F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path"), "goal")
-        step = checkpointed(step)
+        step, (rows, there) = cut(step, there=(F.col("src") == F.col("goal")).cast("long"))
         found.append(step.where("src = goal").select(F.lit(k).alias("length"), "path"))
-        n += found[-1].count()
+        n += there
         open_paths = step.where("src <> goal")
-        if n >= most or open_paths.isEmpty():
+        if n >= most or rows == there:
             break
     return reduce(DataFrame.unionByName, found).orderBy("length", "path").limit(most)
 

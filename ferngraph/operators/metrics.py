@@ -68,6 +68,7 @@ def rollup(rows: DataFrame) -> DataFrame:
     all are 0; min_maintainability_function the smallest index; the first in
     extraction order (ord) of equal ones."""
     last = -F.col("ord")
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,2)")).cast("double")  # noqa: E731  both have two decimals, so that no order of rows matters
     return rows.groupBy("package").agg(
         F.count("*").alias("functions"),
         F.sum("cyclomatic").alias("total_cyclomatic"),
@@ -77,11 +78,11 @@ def rollup(rows: DataFrame) -> DataFrame:
         F.avg("cyclomatic").alias("average_cyclomatic"),
         F.avg("cognitive").alias("average_cognitive"),
         F.max_by("function", F.struct("cognitive", "cyclomatic", last)).alias("max_function"),
-        round2(F.sum("volume")).alias("total_volume"),
-        round2(F.avg("volume")).alias("average_volume"),
+        round2(total("volume")).alias("total_volume"),
+        round2(total("volume") / F.count("volume")).alias("average_volume"),
         F.max("volume").alias("max_volume"),
         F.when(F.max("volume") > 0, F.max_by("function", F.struct("volume", last))).otherwise("").alias("max_halstead_function"),
-        round2(F.avg("maintainability")).alias("average_maintainability"),
+        round2(total("maintainability") / F.count("maintainability")).alias("average_maintainability"),
         F.min("maintainability").alias("min_maintainability"),
         F.min_by("function", F.struct("maintainability", "ord")).alias("min_maintainability_function"),
     )

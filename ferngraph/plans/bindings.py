@@ -1,5 +1,5 @@
 """Fact tables bound to the driver's tables, so that every operator runs on
-real volume: call edges from consecutive returned lines of an order, packages
+real volume: call edges from consecutive lines of an order, packages
 from brand and type of parts, bodies and tokens from documents."""
 
 from __future__ import annotations
@@ -12,18 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def graph(spark: SparkSession, sf_dir: str, min_quantity: float = 0, returned: bool = True) -> DataFrame:
-    """(src, dst): parts on consecutive lines of one order, returned ones unless all are asked for."""
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): parts on consecutive lines of one order."""
     lines = table(spark, sf_dir, "lineitem")
-    if returned:
-        lines = lines.where(F.col("l_returnflag") == "R")
-    if min_quantity:
-        lines = lines.where(F.col("l_quantity") >= min_quantity)
     a = lines.select("l_orderkey", F.col("l_partkey").alias("src"), (F.col("l_linenumber") + 1).alias("n"))
     b = lines.select("l_orderkey", F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("n"))
     return a.join(b, ["l_orderkey", "n"]).where("src <> dst").select("src", "dst").distinct()
 
 
+def first_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): each part with the one that follows it first."""
+    s = sites(spark, sf_dir)
+    return s.groupBy(F.col("caller").alias("src")).agg(F.min(F.struct("site_ord", "callee"))["callee"].alias("dst"))
+
+
 def root(edges: DataFrame) -> DataFrame:
     """(id): the source of most edges, the smallest of equal ones."""
     return edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
@@ -42,7 +44,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(caller, callee, site_ord): the same graph with every place of an edge."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    lines = table(spark, sf_dir, "lineitem")
     a = lines.select("l_orderkey", F.col("l_partkey").alias("caller"), (F.col("l_linenumber") + 1).alias("n"))
     b = lines.select("l_orderkey", F.col("l_partkey").alias("callee"), F.col("l_linenumber").alias("n"))
     return a.join(b, ["l_orderkey", "n"]).where("caller <> callee").select("caller", "callee", (F.col("l_orderkey") * 10 + F.col("n")).alias("site_ord"))

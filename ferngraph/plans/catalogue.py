@@ -17,10 +17,6 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 GRAPH = """g AS (
-  SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
-    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_partkey <> b.l_partkey)"""
-DENSE = """g AS (
   SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
     ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 ROOT = "r AS (SELECT src AS id FROM g GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
@@ -105,8 +101,7 @@ for _name, _asked, _used in (("callers_d3", 3, 3), ("callers_d8", 8, 8), ("calle
 
 SITES = """c AS (
   SELECT a.l_partkey AS caller, b.l_partkey AS callee, min(a.l_orderkey * 10 + b.l_linenumber) AS site_ord FROM lineitem a JOIN lineitem b
-    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
+    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)"""
 
 
 @query(_with(GRAPH, ROOT, _levels(3), SITES, "SELECT caller, callee, site_ord, CAST(min(depth) AS INTEGER) AS depth FROM w JOIN c ON c.caller = w.src AND c.callee = w.dst GROUP BY 1, 2, 3", recursive=True))
@@ -133,14 +128,14 @@ def hierarchy_window(spark, sf_dir):
 
 
 def _paths_sql(depth: int, most: int) -> str:
-    return _with(DENSE, ROOT, "z AS (SELECT max(dst) AS id FROM g JOIN r ON r.id <> dst WHERE dst IN (SELECT b.dst FROM g a JOIN g b ON b.src = a.dst JOIN r ON a.src = r.id))", f"""w AS (
+    return _with(GRAPH, ROOT, "z AS (SELECT max(dst) AS id FROM g JOIN r ON r.id <> dst WHERE dst IN (SELECT b.dst FROM g a JOIN g b ON b.src = a.dst JOIN r ON a.src = r.id))", f"""w AS (
   SELECT g.src, g.dst AS at, [g.src, g.dst] AS path, 1 AS length FROM g JOIN r ON g.src = r.id
   UNION ALL SELECT w.src, g.dst, list_append(path, g.dst), length + 1 FROM w JOIN g ON g.src = w.at, z
   WHERE length < {depth} AND w.at <> z.id AND NOT list_contains(path, g.dst))""", f"SELECT CAST(length AS INTEGER) AS length, array_to_string(path, '>') AS path FROM (SELECT * FROM w, z WHERE w.at = z.id ORDER BY length, w.path LIMIT {most})", recursive=True)
 
 
 def _paths(spark, sf_dir, depth, most):
-    c = b.graph(spark, sf_dir, returned=False).withColumnsRenamed({"src": "caller", "dst": "callee"})
+    c = b.graph(spark, sf_dir).withColumnsRenamed({"src": "caller", "dst": "callee"})
     start = b.root(c.select(F.col("caller").alias("src")))
     one = c.join(start.select(F.col("id").alias("caller")), "caller").select(F.col("callee").alias("caller"))
     two = one.join(c, "caller").select(F.col("callee").alias("id")).join(start, "id", "left_anti")
@@ -259,9 +254,14 @@ def import_cycles(spark, sf_dir):
     return _cycles(b.graph(spark, sf_dir))
 
 
-@query(_with(GRAPH.replace("a.l_partkey <> b.l_partkey", "a.l_partkey <> b.l_partkey AND a.l_quantity >= 15 AND b.l_quantity >= 15"), CYCLES, CYCLES_LAST, recursive=True))
+FIRST = """g AS (
+  SELECT a.l_partkey AS src, min({'o': a.l_orderkey * 10 + b.l_linenumber, 'd': b.l_partkey}).d AS dst FROM lineitem a JOIN lineitem b
+    ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1)"""
+
+
+@query(_with(FIRST, CYCLES, CYCLES_LAST, recursive=True))
 def import_cycles_sparse(spark, sf_dir):
-    return _cycles(b.graph(spark, sf_dir, 15))
+    return _cycles(b.first_graph(spark, sf_dir))
 
 
 RULES = {"forbid": ("Brand#1/", "Brand#2/"), "allow_only": ("Brand#3/", "Brand#4/"), "allow_prefix": ("Brand#5/", "Brand#1")}
@@ -294,15 +294,14 @@ def boundary_counts(spark, sf_dir):
 
 
 def _topology(spark, sf_dir, methods):
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40")
-    rows = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     sets = rows.select(F.lit("").alias("pkg_path"), F.col("o_custkey").alias("type_name"), F.lit("value").alias("recv_kind"), F.col("p_type").alias("method"), F.lit("").alias("sig")).distinct()
     kinds = sets.select("pkg_path", "type_name", F.lit("struct").alias("kind")).distinct()
     need = spark.createDataFrame([(m, "") for m in methods], "method string, sig string")
     return types.implementors(kinds, sets, need).select(F.col("type_name").alias("struct"))
 
 
-HAS = "x AS (SELECT DISTINCT o_custkey AS struct, p_type AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 40)"
+HAS = "x AS (SELECT DISTINCT o_custkey AS struct, p_type AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"
 
 
 @query(_with(HAS, "SELECT struct FROM x WHERE m IN ('ECONOMY', 'STANDARD') GROUP BY 1 HAVING count(*) = 2"))
@@ -358,13 +357,12 @@ for _mode in metrics.SORTS:
 
 
 @query(_with(GRAPH, METRICS, """SELECT package, count(*) AS functions, CAST(sum(cyclomatic) AS BIGINT) AS total_cyclomatic, CAST(sum(cognitive) AS BIGINT) AS total_cognitive, max(cyclomatic) AS max_cyclomatic, max(cognitive) AS max_cognitive, avg(cyclomatic) AS average_cyclomatic, avg(cognitive) AS average_cognitive,
-  round(sum(volume), 1) AS total_volume, round(avg(volume), 1) AS average_volume, round(avg(maintainability), 1) AS average_maintainability,
+  round(CAST(sum(CAST(volume AS DECIMAL(20,2))) AS DOUBLE) * 100) / 100 AS total_volume, round(CAST(sum(CAST(volume AS DECIMAL(20,2))) AS DOUBLE) / count(*) * 100) / 100 AS average_volume, round(CAST(sum(CAST(maintainability AS DECIMAL(20,2))) AS DOUBLE) / count(*) * 100) / 100 AS average_maintainability,
   arg_max("function", (cognitive, cyclomatic, -"function")) AS max_function, max(volume) AS max_volume, arg_max("function", (volume, -"function")) AS max_halstead_function,
   min(maintainability) AS min_maintainability, arg_min("function", (maintainability, "function")) AS min_maintainability_function FROM m GROUP BY 1"""))
 def complexity_rollup(spark, sf_dir):
     rows = b.metrics(spark, sf_dir)
     out = metrics.rollup(rows).withColumn("max_halstead_function", F.col("max_halstead_function").cast("long"))
-    out = out.withColumns({c: F.round(c, 1) for c in ("total_volume", "average_volume", "average_maintainability")})  # sums of doubles differ in the last places
     return out.select("package", "functions", "total_cyclomatic", "total_cognitive", "max_cyclomatic", "max_cognitive", "average_cyclomatic", "average_cognitive", "total_volume", "average_volume", "average_maintainability", "max_function", "max_volume", "max_halstead_function", "min_maintainability", "min_maintainability_function")
 
 

@@ -1,190 +1,140 @@
-"""Graph loops that run either in one task or over the cluster.
+"""Graph loops over the cluster, the same at every size.
 
-A graph whose edges and seeds were counted and are at most LOCAL_EDGES fits one
-task many times over, and a loop of jobs would cost more than its work. Beyond that count
-the loops run level by level over the cluster, with each level checkpointed.
+A loop's tables are written to the shared folder, which cuts their lineage, and
+are counted as they are written. Every round goes several steps before it writes,
+so that a small graph takes few jobs; a frontier holds new nodes only.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ferngraph.shipping import ship
+#: Steps that a round goes before it writes.
+STEPS = 3
+_folders: dict[str, str] = {}
 
-LOCAL_EDGES = 2_000_000
+
+def _folder(spark) -> str:
+    """A folder of this application below spark.checkpoint.dir; of this machine
+    only where the setting is missing, as in tests. It goes when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        _folders[app] = f"{root.rstrip('/')}/loops-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders[app])
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def clear() -> None:
+            try:
+                files.delete(path, True)
+            except Exception:  # noqa: BLE001  the JVM may have gone before
+                pass
+
+        atexit.register(clear)
+    return _folders[app]
+
+
+def cut(df: DataFrame, **sums) -> tuple[DataFrame, tuple[int, ...]]:
+    """df as a written table, with its count and sums over its rows."""
+    spark = df.sparkSession
+    path, seen = f"{_folder(spark)}/{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(n) for n, c in sums.items()]).write.parquet(path)
+    got = seen.get
+    return spark.read.schema(df.schema).parquet(path), (got["_rows"] or 0, *(got[n] or 0 for n in sums))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        # a folder of this machine only where the setting is missing, as in tests
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
-def is_small(edges: DataFrame, bound: int | None = None) -> bool:
-    bound = LOCAL_EDGES if bound is None else bound
-    return edges.limit(bound + 1).count() <= bound
-
-
-def _adjacency(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(src, kind="stable")
-    return dst[order], np.searchsorted(src[order], np.arange(n + 1))
-
-
-def _neighbours(to: np.ndarray, start: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    counts = start[nodes + 1] - start[nodes]
-    if not counts.sum():
-        return np.empty(0, np.int64)
-    skip = np.repeat(start[nodes] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    return np.unique(to[np.arange(counts.sum()) + skip])
-
-
-def reach_locally(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (src, dst) and seeds (src, null) of one graph: nodes reached by
-    steps from the seeds, with the fewest steps."""
-    codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]))
-    n, half = len(names), len(pdf)
-    seed = codes[half:] < 0
-    src, dst = codes[:half][~seed].astype(np.int64), codes[half:][~seed].astype(np.int64)
-    to, start = _adjacency(src, dst, n)
-    depth = np.full(n, -1)
-    frontier = np.unique(codes[:half][seed]).astype(np.int64)
-    depth[frontier] = 0
-    k = 0
-    while len(frontier):
-        k += 1
-        near = _neighbours(to, start, frontier)
-        frontier = near[depth[near] < 0]
-        depth[frontier] = k
-    got = np.flatnonzero(depth >= 0)
-    return pd.DataFrame({"id": names[got], "depth": depth[got]})
-
-
-def reach(edges: DataFrame, seeds: DataFrame, bound: int | None = None) -> DataFrame:
+    """Cut lineage by a written table."""
+    return cut(df)[0]
+
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, depth): every node reachable from the seeds (column id) over edges
-    (src, dst), the seeds included at depth 0."""
-    kind = seeds.schema["id"].dataType.simpleString()
-    ship(edges.sparkSession)
-    pairs, seeds = checkpointed(edges.select("src", "dst").distinct()), checkpointed(seeds.select("id").distinct())
-    if is_small(pairs.unionByName(seeds.select(F.col("id").alias("src"), F.col("id").alias("dst"))), bound):
-        both = pairs.unionByName(seeds.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst")))
-        return both.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(reach_locally, f"id {kind}, depth int")
-    seen = frontier = checkpointed(seeds.withColumn("depth", F.lit(0)))
-    k = 0
-    while not frontier.isEmpty():
-        k += 1
-        near = pairs.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(near.join(seen, "id", "left_anti").withColumn("depth", F.lit(k)))
-        seen = checkpointed(seen.unionByName(frontier))
+    (src, dst), the seeds included at depth 0, by the fewest steps."""
+    pairs = checkpointed(edges.select("src", "dst").distinct())
+    seen, (n,) = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    frontier, k = seen, 0
+    while n:
+        found = None
+        for _ in range(STEPS):
+            k += 1
+            near = pairs.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+            near = near.join(seen.select("id"), "id", "left_anti")
+            if found is not None:
+                near = near.join(found.select("id"), "id", "left_anti")
+            frontier = near.withColumn("depth", F.lit(k))
+            found = frontier if found is None else found.unionByName(frontier)
+        found, (n,) = cut(found)
+        frontier = found.where(F.col("depth") == k)
+        seen = seen.unionByName(found)
+        if not k % (16 * STEPS):  # else its plan grows with every round
+            seen = checkpointed(seen)
     return seen
 
 
-def components_locally(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Strongly connected components of one graph: of what remains, cut off
-    nodes without way in or out, then split by what a pivot reaches and is
-    reached from; small leftovers are done one after another."""
-    codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]))
-    n, half = len(names), len(pdf)
-    src, dst = codes[:half].astype(np.int64), codes[half:].astype(np.int64)
-    label = np.full(n, -1)
-    work = [np.arange(n)]
-    inside = np.full(n, -1)
-    turn = 0
-    while work:
-        part = work.pop()
-        turn += 1
-        inside[part] = turn
-        keep = (inside[src] == turn) & (inside[dst] == turn) & (src != dst)
-        s, d = src[keep], dst[keep]
-        while True:  # a node without edges in or out is alone
-            alive = np.zeros(n, bool)
-            alive[np.intersect1d(s, d)] = True
-            keep = alive[s] & alive[d]
-            if keep.all():
-                break
-            s, d = s[keep], d[keep]
-        left = np.intersect1d(s, d)
-        alone = np.setdiff1d(part, left)
-        label[alone] = alone
-        if not len(left):
-            continue
-        pivot = left[:1]
-        ahead, back = (_closure(*_adjacency(a, b, n), pivot, n) for a, b in ((s, d), (d, s)))
-        own = np.flatnonzero(ahead & back)
-        label[own] = own.min()
-        for rest in (ahead & ~back, back & ~ahead, ~ahead & ~back):
-            nodes = left[rest[left]]
-            if len(nodes):
-                work.append(nodes)
-    least = pd.DataFrame({"id": names, "c": label}).assign(component=lambda x: x.groupby("c")["id"].transform("min"))
-    return least[["id", "component"]]
-
-
-def _closure(to: np.ndarray, start: np.ndarray, frontier: np.ndarray, n: int) -> np.ndarray:
-    seen = np.zeros(n, bool)
-    seen[frontier] = True
-    while len(frontier):
-        near = _neighbours(to, start, frontier)
-        frontier = near[~seen[near]]
-        seen[frontier] = True
-    return seen
+def _trimmed(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Edges between nodes that have ways in and out, among these edges."""
+    while n:
+        kept = edges
+        for _ in range(STEPS):
+            into, out = kept.select(F.col("dst").alias("src")).distinct(), kept.select(F.col("src").alias("dst")).distinct()
+            kept = kept.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+        kept, (left,) = cut(kept)
+        if left == n:
+            break
+        edges, n = kept, left
+    return edges, n
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(id, c): the smallest id that reaches each node, itself included."""
+    start = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    colour, changed = checkpointed(start.withColumn("c", F.col("id"))), 1
+    while changed:
+        new = colour.withColumn("old", F.col("c"))
+        for _ in range(STEPS):
+            heard = edges.join(new.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("h"))
+            new = new.join(heard, "id", "left").select("id", F.least("c", F.coalesce("h", "c")).alias("c"), "old")
+        new, (_, changed) = cut(new, changed=(F.col("c") != F.col("old")).cast("long"))
+        colour = new.select("id", "c")
+    return colour
+
+
+def _reaching(same: DataFrame) -> DataFrame:
+    """(id, component): nodes that reach their colour's namesake by edges
+    (src, dst) within the colour cs, and the namesake."""
+    back = checkpointed(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    names = same.select(F.col("cs").alias("id")).distinct()
+    got = reach(back, names).select("id")
+    own = same.select(F.col("src").alias("id"), F.col("cs").alias("component")).unionByName(same.select(F.col("dst").alias("id"), F.col("cs").alias("component"))).distinct()
+    return own.join(got, "id")
 
 
-def strong_components(edges: DataFrame, bound: int | None = None) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each node's strongly connected
-    component, over edges (src, dst)."""
-    kind = edges.schema["src"].dataType.simpleString()
-    ship(edges.sparkSession)
+    component, over edges (src, dst). Rounds cut off nodes without a way in or
+    out, colour the others with the smallest id that reaches them, and take the
+    nodes of a colour that reach its namesake: these are its component."""
     pairs = checkpointed(edges.select("src", "dst").distinct())
-    if is_small(pairs, bound):
-        return pairs.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(components_locally, f"id {kind}, component {kind}")
     nodes = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-    left, done = checkpointed(pairs.where("src <> dst")), None
-    while not (left := _trimmed(left)).isEmpty():
-        # colour every node with the smallest id that reaches it; the nodes of a
-        # colour that reach its namesake are one component
-        colour = checkpointed(left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct().withColumn("c", F.col("id")))
-        while True:
-            heard = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("h"))
-            new = checkpointed(colour.join(heard, "id", "left").select("id", F.least("c", F.coalesce("h", "c")).alias("c")))
-            changed = new.join(colour.withColumnRenamed("c", "old"), "id").where("c <> old")
-            stop = changed.isEmpty()
-            colour = new
-            if stop:
-                break
-        same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
-        found = checkpointed(reach_pairs(same.select("src", "dst", "cs")))
-        done = found if done is None else checkpointed(done.unionByName(found))
+    left, (n,) = cut(pairs.where("src <> dst"))
+    done = None
+    while n:
+        left, n = _trimmed(left, n)
+        if not n:
+            break
+        colour = _coloured(left)
+        ends = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
+        same = checkpointed(ends.where("cs = cd").select("src", "dst", "cs"))
+        found = checkpointed(_reaching(same))
+        done = found if done is None else done.unionByName(found)
         gone = found.select("id")
-        left = checkpointed(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        left, (n,) = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
     if done is None:
         return nodes.withColumn("component", F.col("id"))
     return nodes.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges between nodes that have ways in and out, among these edges."""
-    while True:
-        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
-        kept = checkpointed(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
-        if kept.count() == edges.count():
-            return kept
-        edges = kept
-
-
-def reach_pairs(same: DataFrame) -> DataFrame:
-    """(id, component): nodes that reach their colour's namesake by edges
-    (src, dst) within the colour cs, and the namesake."""
-    seen = frontier = checkpointed(same.select(F.col("cs").alias("id"), F.col("cs").alias("component")).distinct())
-    while not frontier.isEmpty():
-        near = same.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), F.col("cs").alias("component")).distinct()
-        frontier = checkpointed(near.join(seen, ["id"], "left_anti"))
-        seen = checkpointed(seen.unionByName(frontier))
-    return seen

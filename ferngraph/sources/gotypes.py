@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferngraph.operators import calls as call_graph
-from ferngraph.plans.graphs import checkpointed
+from ferngraph.plans.graphs import checkpointed, cut
 from ferngraph.sources import goterms
 
 #: Embedded types are followed so deep.
@@ -229,7 +229,7 @@ class FactSet:
         constant = F.create_map(*[F.lit(x) for kv in CONSTANTS.items() for x in kv])
         meant = F.when(F.col("alt").startswith("="), F.concat(F.lit("type:"), F.expr("substring(alt, 2)"))).when(F.col("name").isin(*PREDECLARED), F.concat(F.lit("type:"), "name")).when(F.col("name") == "any", "type:interface{}").otherwise(constant[F.col("name")])
         start = [exprs.where("op = 'type'").select("eid", F.col("name").alias("type")), glob.where("what in ('func', 'type', 'out')").select("eid", F.col("value").alias("type")), free.select("eid", meant.alias("type")).where("type is not null")]
-        delta = checkpointed(union(start))
+        delta, (n,) = cut(union(start))
 
         alias = local.where("value <> ''").select("eid", "value").unionByName(glob.where("what = 'var' and value <> ''").select("eid", "value"))
         todo = exprs.where("base <> '' and op not in ('name', 'type')").join(taken, "eid", "left_anti").select("eid", "op", "base", "name", "k")
@@ -249,7 +249,7 @@ class FactSet:
         args = checkpointed(self["handoffs"].join(generic, "fun").select("fun", "sig", "arg", "sym")) if any_generic else None
         bound = done = None
         known = [delta]
-        while not delta.isEmpty():
+        while n:
             told = delta.select(F.col("eid").alias("base"), F.col("type").alias("of"))
             rows = todo.join(told, "base").withColumn("owner", owner_of("of")).join(members, ["owner", "name"], "left").join(under, "owner", "left")
             new = rows.select("eid", _step("op", "of", "name", "k", "member", "under").alias("type")).where("type <> ''")
@@ -264,7 +264,7 @@ class FactSet:
                 done = whole if done is None else checkpointed(done.unionByName(whole))
                 results = todo.where("op = 'ret'").join(whole.select(F.col("fun").alias("base"), "term"), "base")
                 new = new.unionByName(results.select("eid", _step(F.lit("ret"), "term", F.lit(""), "k", F.lit(None).cast("string"), F.lit(None).cast("string")).alias("type")).where("type <> ''"))
-            delta = checkpointed(new)
+            delta, (n,) = cut(new)
             known.append(delta)
             if len(known) > 16:
                 known = [checkpointed(union(known))]

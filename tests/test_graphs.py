@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from ferngraph.operators import calls, liveness, packages
 from ferngraph.plans import graphs
 
@@ -41,17 +45,35 @@ def test_paths(spark):
     assert calls.cutoff_reason(1, 1) and calls.cutoff_reason(0, 5) and not calls.cutoff_reason(2, 5)
 
 
-def test_both_ways_of_reaching_agree(spark):
+def brute_reach(pairs, start):
+    depth, frontier = dict.fromkeys(start, 0), set(start)
+    while frontier:
+        frontier = {b for a, b in pairs if a in frontier} - set(depth)
+        depth |= dict.fromkeys(frontier, max(depth.values()) + 1)
+    return depth
+
+
+def test_reach(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")])
-    for bound in (None, 0):
-        assert {(r.id, r.depth) for r in graphs.reach(e, ids(spark, "a"), bound).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert {(r.id, r.depth) for r in graphs.reach(e, ids(spark, "a")).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
+    assert [tuple(r) for r in graphs.reach(e, ids(spark, "z", "z")).collect()] == [("z", 0)] and graphs.reach(e, ids(spark)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reach_and_components_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    pairs = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range((30, 50, 120)[seed])] + [(f"p{k}", f"p{k + 1}") for k in range(7)]
+    e = edges(spark, pairs)
+    assert {x.id: x.depth for x in graphs.reach(e, ids(spark, "n1", "p0")).collect()} == brute_reach(pairs, ["n1", "p0"])
+    names = {x for p in pairs for x in p}
+    far = {x: set(brute_reach(pairs, [x])) for x in names}
+    assert {x.id: x.component for x in graphs.strong_components(e).collect()} == {x: min(y for y in names if y in far[x] and x in far[y]) for x in names}
 
 
-def test_both_ways_of_components_agree(spark):
+def test_components(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("b", "c"), ("e", "e"), ("d", "f"), ("f", "g"), ("g", "h"), ("h", "f")])
     want = {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e", "f": "f", "g": "f", "h": "f"}
-    for bound in (None, 0):
-        assert {r.id: r.component for r in graphs.strong_components(e, bound).collect()} == want
+    assert {r.id: r.component for r in graphs.strong_components(e).collect()} == want
 
 
 def test_cycles(spark):
