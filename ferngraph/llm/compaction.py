@@ -8,7 +8,10 @@ files. Once no tier is full, runs of any size that lie in files far below the
 target are rewritten, each by itself. A version is committed by moving a
 finished manifest to its number, which fails if another writer took it; readers
 see one version or the next, never a mixture, and files that no version lists
-are never read. Superseded runs stay, so every listed version can be read, until
+are never read. A manifest has a line's worth for each run, its folder, bytes
+and number of files, and never names files. A writer that loses the race for a
+version puts its runs on top of the winner's once, and else takes them away.
+Superseded runs stay, so every listed version can be read, until
 clean_up() drops old versions and then what only they had. DataFrame functions
 only: a merge is a scan and a write, without a shuffle.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -33,7 +37,7 @@ def tier(size: int, smallest: int, fanout: int) -> int:
 def scattered(run: dict, target: int) -> bool:
     """Whether the run lies in more than twice the files that its bytes fill,
     and wasn't found to lie in no fewer when it was rewritten."""
-    return not run.get("settled") and len(run.get("files", ())) > 2 * max(1, math.ceil(run["bytes"] / target))
+    return not run.get("settled") and run.get("files", 0) > 2 * max(1, math.ceil(run["bytes"] / target))
 
 
 def plan(runs: list[dict], target: int, smallest: int, fanout: int) -> list[list[str]]:
@@ -47,6 +51,18 @@ def plan(runs: list[dict], target: int, smallest: int, fanout: int) -> list[list
     return full or [[r["id"]] for r in runs if scattered(r, target)]
 
 
+#: Tasks of an append until files of the target's size need more.
+APPEND_TASKS = 4096
+
+
+def append_tasks(size: int, ways: int, smallest: int, target: int) -> int:
+    """Tasks that write size bytes for so many arrivals, a file each: files of
+    a quarter of the smallest run at least, and no more than APPEND_TASKS files an
+    arrival until files reach the target."""
+    fine, coarse = math.ceil(4 * size / (ways * smallest)), math.ceil(size / (ways * target))
+    return max(1, min(fine, max(APPEND_TASKS, coarse)))
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -105,8 +121,8 @@ class ShardStore:
         return new
 
     def _run(self, folder: str, arrived: int) -> dict | None:
-        files = [(s.getPath().toString(), s.getLen()) for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
-        return {"id": folder, "arrived": arrived, "files": [f for f, _ in files], "sizes": [n for _, n in files], "bytes": sum(n for _, n in files)} if files else None
+        sizes = [s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
+        return {"id": folder, "arrived": arrived, "files": len(sizes), "largest": max(sizes), "bytes": sum(sizes)} if sizes else None
 
     # writing
 
@@ -114,40 +130,56 @@ class ShardStore:
         """Commit df as new runs: one for each value of the column `arrival`
         (null is a value too; about `ways` of them), or one. The column stays in
         the data. Rows of other columns or types than the store's are refused.
-        Small input partitions are written together, so that a run's files don't
-        become tiny."""
+        Input partitions are written together, so that a run's files don't become
+        tiny, and not more than APPEND_TASKS of them, or as many as files of the
+        target's size need; of rows of unknown size, a partition for each core. If another writer commits first, the runs follow its
+        own; if that happens again, they are dropped and CommitConflict is raised."""
         base = self.manifest()
-        kinds = lambda fields: [(f.name, f.dataType) for f in fields]
-        if base["schema"] and kinds(self._schema(base)) != kinds(df.schema):
-            raise ValueError(f"the store holds {self._schema(base).simpleString()}, not {df.schema.simpleString()}")
+        self._check(base, df.schema)
         folder = f"runs/{uuid.uuid4().hex}"
         name = "run"
         while name in df.columns:
             name += "_"
         key = F.coalesce(F.col(arrival).cast("string"), F.lit("none")) if arrival else F.lit("all")
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        tasks = max(1, math.ceil(4 * size / (ways * self.smallest_bytes)))
-        if tasks < 1 << 20:  # else the size isn't known
-            df = df.coalesce(tasks)
+        known = size < 1 << 60
+        df = df.coalesce(append_tasks(size, ways, self.smallest_bytes, self.target_bytes) if known else self.spark.sparkContext.defaultParallelism)
         df.withColumn(name, key).write.partitionBy(name).parquet(f"{self.root}/{folder}")
         parts = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)) if s.isDirectory())
-        number = max([r["arrived"] for r in base["runs"]], default=0)
-        runs = [r for k, p in enumerate(parts) if (r := self._run(f"{folder}/{p}", number + 1 + k))]
-        return self._commit(base, base["runs"] + runs, base["schema"] or df.schema.json())
+        runs = [r for k, p in enumerate(parts) if (r := self._run(f"{folder}/{p}", k))]
+        try:
+            for again in (False, True):
+                number = 1 + max([r["arrived"] for r in base["runs"]], default=0)
+                try:
+                    return self._commit(base, base["runs"] + [r | {"arrived": number + k} for k, r in enumerate(runs)], base["schema"] or df.schema.json())
+                except CommitConflict:
+                    if again:
+                        raise
+                    base = self.manifest()
+                    self._check(base, df.schema)
+        except (CommitConflict, ValueError):
+            self._fs.delete(self._path(folder), True)
+            raise
+        raise AssertionError("unreachable")
+
+    def _check(self, base: dict, schema: T.StructType) -> None:
+        kinds = lambda fields: [(f.name, f.dataType) for f in fields]
+        if base["schema"] and kinds(self._schema(base)) != kinds(schema):
+            raise ValueError(f"the store holds {self._schema(base).simpleString()}, not {schema.simpleString()}")
 
     def _merge(self, runs: list[dict], schema: T.StructType) -> dict:
         folder = f"runs/{uuid.uuid4().hex}"
-        total, largest = sum(r["bytes"] for r in runs), max(max(r.get("sizes") or [r["bytes"]]) for r in runs)
+        total, largest = sum(r["bytes"] for r in runs), max(r["largest"] for r in runs)
         # a partition takes files until the next would pass its most, so all but the last hold total / files at least
         most = -(-total // max(1, round(total / self.target_bytes))) + largest
         session = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
         for key, value in (("maxPartitionBytes", most), ("openCostInBytes", 0), ("minPartitionNum", 1)):
             session.conf.set(f"spark.sql.files.{key}", str(value))
-        rows = session.read.schema(schema).parquet(*[f for r in runs for f in r["files"]])
+        rows = session.read.schema(schema).parquet(*[f"{self.root}/{r['id']}" for r in runs])
         rows = rows.coalesce(max(1, round(total / self.target_bytes)))  # where the settings don't hold, too
         rows.write.parquet(f"{self.root}/{folder}")
         new = self._run(folder, max(r["arrived"] for r in runs))
-        if len(runs) == 1 and len(new["files"]) >= len(runs[0]["files"]):
+        if len(runs) == 1 and new["files"] >= runs[0]["files"]:
             new["settled"] = True
         return new
 
@@ -161,25 +193,51 @@ class ShardStore:
             with ThreadPoolExecutor(4) as pool:
                 merged = list(pool.map(lambda g: self._merge([by[i] for i in g], schema), groups))
             gone = {i for g in groups for i in g}
-            runs = sorted([r for r in now["runs"] if r["id"] not in gone] + merged, key=lambda r: r["arrived"])
-            now = self._commit(now, runs, now["schema"])
+            for again in (False, True):
+                runs = sorted([r for r in now["runs"] if r["id"] not in gone] + merged, key=lambda r: r["arrived"])
+                try:
+                    now = self._commit(now, runs, now["schema"])
+                    break
+                except CommitConflict:
+                    now = self.manifest()
+                    if again or not gone <= {r["id"] for r in now["runs"]}:  # what was merged may have been merged by another
+                        for r in merged:
+                            self._fs.delete(self._path(r["id"]), True)
+                        if again:
+                            raise
+                        break
             if keep:
                 self.clean_up(keep)
         return now
 
-    def clean_up(self, keep: int = 1) -> list[int]:
+    def clean_up(self, keep: int = 1, orphans_after: float | None = None) -> list[int]:
         """Drop all but the newest `keep` versions, first from the list, then
-        the runs that no version left names; the versions that went."""
+        the runs that no version left names; the versions that went. Folders that
+        no version ever named, which writers leave that died before they
+        committed, go if nothing in them is younger than orphans_after seconds."""
         known = self.versions()
         gone, left = known[: max(0, len(known) - max(keep, 1))], known[-max(keep, 1) :]
         old = {r["id"] for v in gone for r in self.manifest(v)["runs"]}
         needed = {r["id"] for v in left for r in self.manifest(v)["runs"]}
         for v in gone:
             self._fs.delete(self._path(f"manifests/{v:08d}.json"), False)
+        append = lambda i: "/".join(i.split("/")[:2])  # noqa: E731  the folder of all runs that were written together
+        held = set(map(append, needed))
         for i in sorted(old - needed):
-            self._fs.delete(self._path(i), True)
+            self._fs.delete(self._path(i if append(i) in held else append(i)), True)
+        top = self._path("runs")
+        if orphans_after is not None and self._fs.exists(top):
+            named = {i.split("/")[1] for i in needed}
+            for s in self._fs.listStatus(top):
+                if s.getPath().getName() not in named and self._age(s) >= orphans_after:
+                    self._fs.delete(s.getPath(), True)
         return gone
 
+    def _age(self, status) -> float:
+        """Seconds since anything in a folder was changed."""
+        latest = max([status.getModificationTime(), *(s.getModificationTime() for s in self._fs.listStatus(status.getPath()))])
+        return time.time() - latest / 1000
+
     # reading
 
     @staticmethod
@@ -187,7 +245,7 @@ class ShardStore:
         return T.StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else T.StructType([])
 
     def _scan(self, runs: list[dict], schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*[f for r in runs for f in r["files"]])
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{r['id']}" for r in runs])
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a committed version."""

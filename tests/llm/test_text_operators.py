@@ -1,8 +1,10 @@
 import hashlib
+import json
 import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -523,8 +525,8 @@ def test_store_far_above_the_target(spark):
     store = compaction.shard(df, workdir(spark, "store"), target_bytes=target, arrivals=16)
     runs = store.manifest()["runs"]
     assert sum(r["bytes"] for r in runs) > 3 * 16 * target  # every arrival is above the target
-    assert all(len(r["files"]) <= 2 * -(-r["bytes"] // target) for r in runs)
-    assert all(target / 2 <= r["bytes"] / len(r["files"]) <= 2 * target for r in runs)
+    assert all(r["files"] <= 2 * -(-r["bytes"] // target) for r in runs)
+    assert all(target / 2 <= r["bytes"] / r["files"] <= 2 * target for r in runs)
     assert store.read().drop("arrival").exceptAll(df).count() == 0 and store.read().count() == 1600
 
 
@@ -538,13 +540,62 @@ def test_store_with_small_partitions(spark, monkeypatch):
         df = docs(spark, [(k, hashlib.sha256(str(k).encode()).hexdigest() * 20) for k in range(900)]).repartition(20)
         store = compaction.shard(df, workdir(spark, "store"), target_bytes=64 << 10, arrivals=8)
         runs = store.manifest()["runs"]
-        assert store.read().count() == 900 and all(len(r["files"]) <= 2 * -(-r["bytes"] // (64 << 10)) for r in runs)
+        assert store.read().count() == 900 and all(r["files"] <= 2 * -(-r["bytes"] // (64 << 10)) for r in runs)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_files_of_an_append():
+    tasks = lambda size, ways=64: compaction.append_tasks(size, ways, 1 << 20, 32 << 20)
+    assert tasks(0) == 1 and tasks(512 << 20) == 32 and tasks(1 << 40) == 4096
+    assert tasks(100 << 40) == (100 << 40) // (64 * (32 << 20))  # files of the target's size
+
+
+def test_an_append_of_many_partitions_writes_few_files(spark):
+    df = docs(spark, [(k, "x" * 50) for k in range(3000)]).repartition(200)
+    store = compaction.ShardStore(spark, workdir(spark, "store"), 1 << 20)
+    runs = store.append(df.withColumn("a", (F.col("doc_id") % 64).cast("int")), "a", 64)["runs"]
+    assert len(runs) == 64 and all(r["files"] <= spark.sparkContext.defaultParallelism for r in runs) and store.read().count() == 3000
+    assert len(json.dumps(store.manifest())) < 64 * 300
+
+
+def test_writers_that_lose_the_race(spark, monkeypatch):
+    df = docs(spark, [(k, "x") for k in range(20)])
+    store, other = (compaction.ShardStore(spark, root, 1 << 20) for root in [workdir(spark, "store")] * 2)
+    store.append(df)
+    commit, lost = compaction.ShardStore._commit, []
+
+    def slow(self, base, runs, schema):
+        if self is store and len(lost) < times:
+            lost.append(1)
+            other.append(df)
+        return commit(self, base, runs, schema)
+
+    monkeypatch.setattr(compaction.ShardStore, "_commit", slow)
+    times = 1
+    store.append(df)
+    assert store.read().count() == 60 and [r["arrived"] for r in store.manifest()["runs"]] == [1, 2, 3]
+    lost.clear()
+    times = 2
+    with pytest.raises(compaction.CommitConflict):
+        store.append(df)
+    folders = lambda: len(list(Path(store.root.removeprefix("file://"), "runs").iterdir()))
+    assert store.read().count() == 100 and folders() == 5  # what lost is gone
+    lost.clear()
+    times = 1
+    store.compact()
+    assert store.read().count() == 120 and len(store.manifest()["runs"]) < 5
+    store.clean_up()
+    kept = folders()
+    spark.range(3).write.parquet(f"{store.root}/runs/left-behind")
+    store.clean_up(orphans_after=3600)
+    assert folders() == kept + 1
+    store.clean_up(orphans_after=0)
+    assert folders() == kept and store.read().count() == 120
+
+
 def test_plan_rewrites_scattered_runs():
-    run = lambda k, size, n: {"id": f"r{k}", "bytes": size, "files": [f"f{j}" for j in range(n)]}
+    run = lambda k, size, n: {"id": f"r{k}", "bytes": size, "files": n}
     assert compaction.plan([run(0, 10_000, 200), run(1, 10_000, 10), run(2, 10, 1)], 1000, 10, 4) == [["r0"]]
     assert compaction.plan([run(0, 10_000, 200) | {"settled": True}], 1000, 10, 4) == []
     assert compaction.plan([run(0, 10_000, 200), *(run(k, 10, 9) for k in range(1, 5))], 1000, 10, 4) == [["r1", "r2", "r3", "r4"]]
