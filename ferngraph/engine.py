@@ -30,12 +30,13 @@ def _plain(v):
 class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.orders = delivery.Orders()
         self.catalog = FactCatalog(lambda root, patterns: go_facts(spark, root, patterns, config.module_pairs(config.suggest(root))))
 
     def run(self, tool: str, **arguments) -> str:
         """A tool's result as JSON: {"is_error": false, "result": ...}, or
         {"is_error": true, "error": ...} for what it refuses."""
-        known = [k for k in dir(self) if not k.startswith("_") and k not in ("run", "spark", "catalog")]
+        known = [k for k in dir(self) if not k.startswith("_") and k not in ("run", "spark", "catalog", "orders")]
         try:
             if tool not in known:
                 raise LookupError(f"unknown tool {tool}; there are {', '.join(known)}")
@@ -57,7 +58,7 @@ class Engine:
 
     def _page(self, name: str, df: DataFrame, order: list[str], key: list[str], root: str, given: dict, descending: tuple[str, ...] = ()) -> dict:
         columns = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
-        page = delivery.deliver(df, order, f"{name}:{root}", columns, self._options(root, given), descending)
+        page = delivery.deliver(df, order, f"{name}:{root}", columns, self._options(root, given), descending, self.orders)
         out = {"total": page.total, "total_before_truncate": page.total, "truncated": page.truncated, "items": _plain(page.rows)}
         return out | ({"has_more": page.has_more, "next_cursor": page.next_cursor} if given.get("chunk_size") else {})
 

@@ -1,8 +1,9 @@
 """Delivering results: windows, resumable cursors, diagrams.
 
 A cursor is an opaque token over a sorted, finite result. It holds the offset,
-the total and a fingerprint of total, first and last key; one aggregate job
-checks it, and the page itself is a sort with offset and limit.
+the total and a fingerprint of total, first and last key. Where pages follow one
+another, the order is written once and a page reads the part that holds it;
+else one aggregate job checks the cursor, and a page is a sort with offset and limit.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ import binascii
 import hashlib
 import json
 import os
+from collections import OrderedDict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ferngraph.plans.graphs import written_by
+
 CHUNK, CHUNK_ENV = 50, "FERNGRAPH_MAX_CHUNK"
 
 
@@ -107,10 +112,80 @@ def _direction(name: str, down: bool, df: DataFrame) -> Column:
     return (-F.col(name)).alias(name)
 
 
-def deliver(df: DataFrame, order: list[str], identifier: str, key: Column, o: Options, descending: tuple[str, ...] = ()) -> Page:
-    """Chunk or window of a result. In chunks, max_items caps the whole result."""
+class Order:
+    """A result written in its order: dealt out by range of the order's columns,
+    sorted within each part, every row with its place in the part. The parts'
+    sizes, summed up, say which part holds the n-th row, so that a page reads one
+    part or two and nothing is sorted or counted again."""
+
+    def __init__(self, df: DataFrame, order: list[str], key: Column, descending: tuple[str, ...] = (), parts: int = 0):
+        spark = df.sparkSession
+        by = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order]
+        parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.withColumn("_key", key).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        place = F.monotonically_increasing_id()  # of a partition in its upper bits, of a row in its lower 33
+        rows = rows.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))})
+        self.columns, self.table = df.columns, written_by(rows, "_part")
+        ends = self.table.groupBy("_part").agg(F.count("*").alias("n"), F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last")).orderBy("_part").collect()  # a row for each part
+        self.parts, sizes = [r["_part"] for r in ends], [r["n"] for r in ends]
+        self.starts = [0, *accumulate(sizes)]
+        self.total = self.starts[-1]
+        self.first, self.last = (ends[0]["first"], ends[-1]["last"]) if ends else ("", "")
+
+    def rows(self, start: int, end: int) -> DataFrame:
+        """Rows start to end - 1."""
+        held = [(p, a) for p, a, b in zip(self.parts, self.starts, self.starts[1:], strict=False) if a < end and b > start]
+        if not held:
+            return self.table.where("false").select(*self.columns)
+        place = F.col("_at") + F.element_at(F.create_map(*[F.lit(x) for p, a in held for x in (p, a)]), F.col("_part"))
+        rows = self.table.where(F.col("_part").isin([p for p, _ in held])).where((place >= start) & (place < end))
+        return rows.orderBy("_part", "_at").select(*self.columns)
+
+
+def in_order(order: Order, identifier: str, o: Options) -> Page:
+    """A chunk of a written order; max_items caps the whole result."""
+    chunk, total = clamp_chunk(o.chunk_size), min(order.total, o.max_items) if o.max_items > 0 else order.total
+    last = order.last if total == order.total else f"{order.last}|{total}"
+    mark = fingerprint(identifier, total, order.first or "", last or "")
+    offset = _offset(o.cursor, mark, total)
+    end = min(total, offset + chunk)
+    more = end < total
+    return Page(order.rows(offset, end).collect() if end > offset else [], total, more or bool(o.cursor), more, encode_cursor(end, total, mark) if more else "")
+
+
+def _offset(cursor: str, mark: str, total: int) -> int:
+    if not cursor:
+        return 0
+    c = decode_cursor(cursor)
+    if c["f"] != mark or c["t"] != total:
+        raise CursorError("stream cursor invalidated: the result has changed")
+    return min(max(0, c["o"]), total)
+
+
+class Orders:
+    """Written orders by what they are of, the latest few."""
+
+    def __init__(self, most: int = 8):
+        self.most, self.held = most, OrderedDict()
+
+    def get(self, df: DataFrame, order: list[str], identifier: str, key: Column, descending: tuple[str, ...]) -> Order:
+        of = (identifier, df.semanticHash(), tuple(order), descending)
+        if of not in self.held:
+            self.held[of] = Order(df, order, key, descending)
+        self.held.move_to_end(of)
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return self.held[of]
+
+
+def deliver(df: DataFrame, order: list[str], identifier: str, key: Column, o: Options, descending: tuple[str, ...] = (), orders: Orders | None = None) -> Page:
+    """Chunk or window of a result. In chunks, max_items caps the whole result;
+    given written orders, a chunk is read from one of them, which is written for
+    the first chunk only."""
     by = [F.col(c).desc() if c in descending else F.col(c).asc() for c in order]
     chunk = clamp_chunk(o.chunk_size)
+    if chunk > 0 and orders is not None:
+        return in_order(orders.get(df, order, identifier, key, descending), identifier, o)
     if chunk <= 0:
         total = df.count()
         start, end = bounds(total, o)
@@ -123,12 +198,7 @@ def deliver(df: DataFrame, order: list[str], identifier: str, key: Column, o: Op
     ends = df.select(key.alias("_key"), at.alias("_at")).agg(F.count("*").alias("n"), F.min_by("_key", "_at").alias("first"), F.max_by("_key", "_at").alias("last")).first()
     total = ends["n"]
     mark = fingerprint(identifier, total, ends["first"] or "", ends["last"] or "")
-    offset = 0
-    if o.cursor:
-        c = decode_cursor(o.cursor)
-        if c["f"] != mark or c["t"] != total:
-            raise CursorError("stream cursor invalidated: the result has changed")
-        offset = min(max(0, c["o"]), total)
+    offset = _offset(o.cursor, mark, total)
     end = min(total, offset + chunk)
     rows = df.orderBy(*by).offset(offset).limit(end - offset).collect() if end > offset else []
     more = end < total

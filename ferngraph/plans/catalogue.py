@@ -515,6 +515,16 @@ def cursor_chunk(spark, sf_dir):
     return spark.createDataFrame(second.rows, rows.schema)
 
 
+@query("""SELECT n AS page, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (ORDER BY l_returnflag, l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) - 1 AS r, count(*) OVER () AS total FROM lineitem),
+  (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS n) WHERE r >= n * (total // 3) AND r < n * (total // 3) + 40""")
+def pages_by_key(spark, sf_dir):
+    """Pages from the start, a third and two thirds of all lines, whose first key is one of three."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    held = delivery.Order(lines, ["l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"], F.col("l_orderkey").cast("string"), ("l_extendedprice",))
+    pages = [held.rows(k * (held.total // 3), k * (held.total // 3) + 40).select(F.lit(k).alias("page"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice") for k in range(3)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 @query(_with(GRAPH, ROOT, _levels(1), "x AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS e FROM w)", "y AS (SELECT src AS label, e, 0 AS p FROM x UNION ALL SELECT dst, e, 1 FROM x)", "f AS (SELECT label, min((e, p)) AS m FROM y GROUP BY 1)", """SELECT CAST(label AS VARCHAR) AS label, 'n' || (row_number() OVER (ORDER BY m) - 1) AS id FROM f""", recursive=True))
 def json_graph_nodes(spark, sf_dir):
     edges = _hierarchy(spark, sf_dir, 1).select(F.col("caller").alias("from"), F.col("callee").alias("to"))

@@ -48,6 +48,14 @@ def cut(df: DataFrame, **sums) -> tuple[DataFrame, tuple[int, ...]]:
     return spark.read.schema(df.schema).parquet(path), (got["_rows"] or 0, *(got[n] or 0 for n in sums))
 
 
+def written_by(df: DataFrame, column: str) -> DataFrame:
+    """df as a written table, a folder for each value of a column."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a written table."""
     return cut(df)[0]

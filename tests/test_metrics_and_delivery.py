@@ -111,3 +111,22 @@ def test_lifecycle_and_risks(spark):
     sites = spark.createDataFrame([("G",), ("H",), ("H",)], "target string")
     stores = spark.createDataFrame([("G", "S", "n", "a.go", 1), ("H", "S", "n", "a.go", 2)], "fn_id string, struct string, field string, file string, line int")
     assert [(r.function, r.risk_level) for r in state.risks(sites, stores, state.protected(calls)).collect()] == [("H", "High")] * 2
+
+
+def test_pages_of_a_written_order(spark):
+    rows = [(k % 3, -k * 7 % 50, f"r{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, name string")
+    want = sorted(rows, key=lambda r: (r[0], -r[1], r[2]))
+    held = delivery.Order(df, ["a", "b", "name"], F.col("name"), ("b",), parts=7)
+    assert held.total == 200 and held.first == want[0][2] and held.last == want[-1][2]
+    for start, end in ((0, 5), (13, 13), (60, 140), (195, 200), (190, 400), (300, 310)):
+        assert [tuple(r) for r in held.rows(start, end).collect()] == want[start:end]
+    orders, cursor, got, pages = delivery.Orders(), "", [], 0
+    while pages == 0 or cursor:
+        page = delivery.deliver(df, ["a", "b", "name"], "x", F.col("name"), delivery.Options(chunk_size=30, cursor=cursor, max_items=100), ("b",), orders)
+        got, cursor, pages = got + [tuple(r) for r in page.rows], page.next_cursor, pages + 1
+    assert got == want[:100] and pages == 4 and page.total == 100 and len(orders.held) == 1
+    with pytest.raises(delivery.CursorError):
+        delivery.deliver(df.limit(150), ["a", "b", "name"], "x", F.col("name"), delivery.Options(chunk_size=30, cursor=delivery.encode_cursor(30, 200, "0")), ("b",), orders)
+    none = delivery.deliver(df.where("a > 9"), ["name"], "x", F.col("name"), delivery.Options(chunk_size=5), (), orders)
+    assert none.rows == [] and none.total == 0 and not none.has_more
