@@ -16,8 +16,8 @@ from ferngraph.functions import anchor, is_stdlib, short_function_name
 from ferngraph.operators import calls, delivery, liveness, metrics, packages, resolve, state, surfaces, types
 from ferngraph.operators.delivery import Diagram, Options
 from ferngraph.sources import config
-from ferngraph.sources.catalog import FactCatalog
-from ferngraph.sources.gofacts import go_facts
+from ferngraph.sources.catalog import FactCatalog, key_of
+from ferngraph.sources.gofacts import changed_files, go_facts
 from ferngraph.sources.gotypes import FactSet
 
 
@@ -31,7 +31,8 @@ class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.orders = delivery.Orders()
-        self.catalog = FactCatalog(lambda root, patterns: go_facts(spark, root, patterns, config.module_pairs(config.suggest(root))))
+        self.catalog = FactCatalog(lambda root, patterns: go_facts(spark, root, patterns, config.module_pairs(config.suggest(root)), previous=self._previous.pop(key_of(root, patterns), None)))
+        self._previous: dict[str, FactSet] = {}
 
     def run(self, tool: str, **arguments) -> str:
         """A tool's result as JSON: {"is_error": false, "result": ...}, or
@@ -50,7 +51,11 @@ class Engine:
         settings = config.effective(root)
         if settings["cache"]["capacity"]:
             self.catalog.set_capacity(settings["cache"]["capacity"])
-        return self.catalog.get(root, config.merge_patterns(patterns or [], pattern, settings))
+        return self.catalog.get(root, self._asked(root, patterns, pattern))
+
+    @staticmethod
+    def _asked(root: str, patterns: list[str] | None, pattern: str = "") -> list[str]:
+        return config.merge_patterns(patterns or [], pattern, config.effective(root))
 
     def _options(self, root: str, given: dict) -> Options:
         out = config.effective(root)["output"]
@@ -247,9 +252,15 @@ class Engine:
     # Cache and configuration
 
     def reload_workspace(self, root: str, patterns: list[str] | None = None) -> dict:
+        """Read the folder again; files that haven't changed aren't parsed."""
+        asked = self._asked(root, patterns)
+        before = self.catalog.held(root, asked)
         self.catalog.clear(root)
+        if before is not None:
+            self._previous[key_of(root, asked)] = before
         facts = self._facts(root, patterns)
-        return {"reloaded": True, "packages": facts.packages().where("is_root").count()}
+        files = {r.state: r["count"] for r in (changed_files(before, facts) if before is not None else changed_files(facts, facts).withColumn("state", F.lit("parsed"))).groupBy("state").count().collect()}
+        return {"reloaded": True, "packages": facts.packages().where("is_root").count(), "files": {k: files.get(k, 0) for k in ("kept", "parsed", "dropped")}}
 
     def cache_status(self) -> dict:
         return self.catalog.status()

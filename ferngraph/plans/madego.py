@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ferngraph.operators import calls, liveness, packages, resolve, state, surfaces, types
 from ferngraph.plans.bindings import table
 from ferngraph.plans.catalogue import query
-from ferngraph.sources.gofacts import go_facts
+from ferngraph.sources.gofacts import changed_files, go_facts
 from ferngraph.sources.gotypes import FactSet
 
 PART = """package p{k}
@@ -135,8 +135,10 @@ def filled(template: str, **columns: Column) -> Column:
     return F.concat(*[columns[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content) of the code base."""
+def sources(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    """(path, content) of the code base; edited: the names that a dot import
+    brings in have changed for every tenth supplier, large parts have one more
+    function, and the smallest ones' second files are gone."""
     least = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type").join(least, "p_partkey", "left").withColumn("s", F.coalesce("s", F.lit(0)))
     k, z, s, m = F.col("p_partkey"), F.col("p_size"), F.col("s"), F.initcap("p_type")
@@ -152,6 +154,14 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select(place("s", "a", F.col("s_suppkey")).alias("path"), filled(SUPPLIER, k=F.col("s_suppkey"), nation=F.col("nation"), up=up).alias("t"))
     kinds = part.select(m.alias("m")).distinct().select(F.concat(F.lit("/made/t/"), F.lower("m"), F.lit(".go")).alias("path"), filled(TYPE, m=F.col("m")).alias("t"))
     shared = table(spark, sf_dir, "region").limit(1).select(F.lit("/made/t/shared.go").alias("path"), F.lit(SHARED).alias("t"))  # once
+    if edited:
+        more = lambda rows, when, text: rows.withColumn("t", F.when(when, F.concat("t", F.lit(text))).otherwise(F.col("t")))
+        key = lambda folder: F.regexp_extract("path", rf"^/made/{folder}(\d+)/", 1).cast("long")
+        large, small = (part.where(w).select("p_partkey") for w in (z >= 45, z <= 3))
+        files = files.withColumn("p_partkey", key("p")).join(large.withColumn("large", F.lit(True)), "p_partkey", "left").join(small.withColumn("small", F.lit(True)), "p_partkey", "left")
+        files = files.where("small is null or path like '%/a.go'")
+        files = more(files, F.col("large") & F.col("path").endswith("/a.go"), "\nfunc added() { lost() }\n").select("path", "t")
+        suppliers = more(suppliers, key("s") % 10 == 0, "\nfunc Extra() {}\n")
     every = files.unionByName(mains).unionByName(suppliers).unionByName(kinds).unionByName(shared)
     return every.select("path", F.col("t").cast("binary").alias("content"))
 
@@ -163,14 +173,17 @@ def facts_of(spark: SparkSession, sf_dir: str) -> FactSet:
     """The facts of the code base; the latest one is kept."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
-        for app, _ in list(_made):
-            held = _made.pop((app, _))
-            if app == key[0]:
-                held.cached.unpersist()
+        _made.clear()
         _made[key] = go_facts(spark, "/made", None, [("", "m")], sources(spark, sf_dir))
     return _made[key]
 
 
+def reloaded(spark: SparkSession, sf_dir: str) -> tuple[FactSet, FactSet]:
+    """The facts before and after the edit, the latter by what has changed."""
+    before = facts_of(spark, sf_dir)
+    return before, go_facts(spark, "/made", None, [("", "m")], sources(spark, sf_dir, True), before)
+
+
 # what must come out, by the tables alone
 
 BASE = """u AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
@@ -363,3 +376,24 @@ def made_grpc(spark, sf_dir):
     services = facts.roots("grpc_services").select("pkg_path", "desc_name", "service")
     ends = surfaces.endpoints(services, facts.roots("grpc_methods").drop("is_root"), surfaces.implementations(regs))
     return ends.select("service", "method", "rpc_type", "full_method", F.array_join("implementations", ",").alias("implementations"))
+
+
+# reload
+
+
+@query(f"""WITH {BASE} SELECT '/made/p' || k || '/a.go' AS path, CASE WHEN z >= 45 THEN 'parsed' ELSE 'kept' END AS state FROM p
+UNION ALL SELECT '/made/p' || k || '/b.go', CASE WHEN z <= 3 THEN 'dropped' WHEN s % 10 = 0 THEN 'parsed' ELSE 'kept' END FROM p UNION ALL SELECT '/made/p' || k || '/cmd/main.go', 'kept' FROM p WHERE z % 2 = 0
+UNION ALL SELECT '/made/s' || s_suppkey || '/a.go', CASE WHEN s_suppkey % 10 = 0 THEN 'parsed' ELSE 'kept' END FROM supplier
+UNION ALL SELECT DISTINCT '/made/t/' || lower(m) || '.go', 'kept' FROM p UNION ALL SELECT '/made/t/shared.go', 'kept'""")
+def made_reload(spark, sf_dir):
+    """Files that an edit makes be parsed again: their own text, or the names
+    that their dot import brings in, changed."""
+    return changed_files(*reloaded(spark, sf_dir))
+
+
+@query(f"""WITH {BASE} SELECT pkg || f AS fn_id, change FROM p, LATERAL (VALUES ('.added', 'added', z >= 45), ('.dots', 'dropped', z <= 3)) v(f, change, yes) WHERE yes
+UNION ALL SELECT 'm/s' || s_suppkey || '.Extra', 'added' FROM supplier WHERE s_suppkey % 10 = 0""")
+def made_reload_functions(spark, sf_dir):
+    """Functions that came and went with the edit."""
+    before, after = (x["functions"].select("fn_id") for x in reloaded(spark, sf_dir))
+    return after.exceptAll(before).withColumn("change", F.lit("added")).unionByName(before.exceptAll(after).withColumn("change", F.lit("dropped")))

@@ -52,9 +52,12 @@ class FactCatalog:
             self._drop(next(iter(self._sets)))
 
     def _drop(self, key: str) -> None:
-        cached = getattr(self._sets.pop(key)[2], "cached", None)
-        if cached is not None:
-            cached.unpersist()
+        self._sets.pop(key)
+
+    def held(self, root: str, patterns: list[str]) -> FactSet | None:
+        """The set, if it is kept; no request for the counts."""
+        with self._lock:
+            return self._sets.get(key_of(root, patterns), (None, None, None))[2]
 
     def set_capacity(self, n: int) -> None:
         with self._lock:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferngraph.operators.packages import all_packages
-from ferngraph.plans.graphs import checkpointed
+from ferngraph.plans.graphs import checkpointed, written_by
 from ferngraph.shipping import ship
 from ferngraph.sources.gometrics import Complexity, halstead_tokens
 from ferngraph.sources.gosyntax import GoSyntaxError, Node, parse
@@ -517,16 +517,19 @@ def place_of(path: str, root: str, modules: list[tuple[str, str]]) -> tuple[str,
     return local, folder, module, "/".join(x for x in (module, inner) if x) or "main"
 
 
+PARSED = "path string, sha string, kind string, row string"
+
+
 def _extract(root: str, modules: list[tuple[str, str]], patterns: list[str]):
     """Facts of files (path, content), with `env`, if there, a list of
-    (place, name, package): names of packages unlike their folders' by import
-    path, and what dot imports bring in."""
+    (dot, name, package): names of packages unlike their folders' by import
+    path, and what dot imports bring in; and `sha`, which stays with the facts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            env = frame["env"] if "env" in frame else [None] * len(frame)
-            for path, content, known in zip(frame["path"], frame["content"], env, strict=True):
+            env, sha = (frame[c] if c in frame else [None] * len(frame) for c in ("env", "sha"))
+            for path, content, known, mark in zip(frame["path"], frame["content"], env, sha, strict=True):
                 local, folder, module, pkg = place_of(path, root, modules)
                 known = [] if known is None else list(known)
                 named, dots = {x["package"]: x["name"] for x in known if not x["dot"]}, {x["name"]: x["package"] for x in known if x["dot"]}
@@ -534,8 +537,8 @@ def _extract(root: str, modules: list[tuple[str, str]], patterns: list[str]):
                     facts = _File(content.decode("utf-8", "replace"), local, pkg, module, matches(folder, patterns), named, dots).run()
                 except (GoSyntaxError, RecursionError, IndexError) as e:
                     facts = [("errors", {"file": local, "message": str(e)})]
-                rows += [(k, json.dumps(r)) for k, r in facts]
-            yield pd.DataFrame(rows, columns=["kind", "row"])
+                rows += [(path, mark or "", k, json.dumps(r)) for k, r in facts]
+            yield pd.DataFrame(rows, columns=["path", "sha", "kind", "row"])
 
     return run
 
@@ -593,7 +596,7 @@ def with_env(files: DataFrame, root: str, modules: list[tuple[str, str]]) -> Dat
     shown = files.join(heads.select("path", F.col("pkg").alias("package")).join(dotted, "package", "left_semi").select("path"), "path", "left_semi").select("path", "content")
     shown = shown.mapInPandas(_exports(root, modules), "package string, name string").distinct()
     brought = each.where("not dot").join(odd, "package").unionByName(each.where("dot").join(shown, "package"))
-    env = brought.groupBy("path").agg(F.collect_list(F.struct("dot", "name", "package")).alias("env"))  # of one file's imports
+    env = brought.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("dot", "name", "package"))).alias("env"))  # of one file's imports
     return files.join(env, "path", "left")
 
 
@@ -631,23 +634,44 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(~F.col("path").endswith("_test.go")).select("path", "content")
 
 
-def go_facts(spark: SparkSession, root: str, patterns: list[str] | None = None, modules: list[tuple[str, str]] | None = None, files: DataFrame | None = None) -> FactSet:
+def changed_files(before: FactSet, after: FactSet) -> DataFrame:
+    """(path, state): files whose facts were kept, parsed or dropped between two
+    loads."""
+    old, new = (x.parsed.select("path", F.col("sha").alias(c)).distinct() for x, c in ((before, "old"), (after, "new")))
+    state = F.when(F.col("new").isNull(), "dropped").when(F.col("old") == F.col("new"), "kept").otherwise("parsed")
+    return old.join(new, "path", "full").select("path", state.alias("state"))
+
+
+def go_facts(spark: SparkSession, root: str, patterns: list[str] | None = None, modules: list[tuple[str, str]] | None = None, files: DataFrame | None = None, previous: FactSet | None = None) -> FactSet:
     """Parse the Go files below root, or the given ones (path, content), whose
     paths start with root. modules: (folder, module path) pairs. Packages that
     match the patterns are roots; facts of others are kept as far as roots
-    import them. Raises LookupError if nothing matches."""
+    import them. Raises LookupError if nothing matches.
+
+    Given the previous facts of the same folder, patterns and modules, only files
+    are parsed whose content, or what their imports bring in, has another hash;
+    facts of the others are kept, and those of files that are gone go."""
     ship(spark)
     root = os.path.abspath(root)
     patterns, modules = normal_patterns(root, patterns or []), modules or [("", "")]
     files = source_files(spark, root) if files is None else files.select("path", "content")
     files = with_env(files, root, modules).repartition(max(1, spark.sparkContext.defaultParallelism))
-    parsed = files.mapInPandas(_extract(root, modules, patterns), "kind string, row string").cache()
+    files = files.withColumn("sha", F.sha2(F.concat("content", F.coalesce(F.to_json("env"), F.lit("")).cast("binary")), 256))
+    of = (root, tuple(patterns), tuple(modules))
+    held = None
+    if previous is not None and previous.of == of:
+        now = checkpointed(files.select("path", "sha"))
+        held = previous.parsed.join(now, ["path", "sha"], "left_semi")
+        files = files.join(previous.parsed.select("path", "sha").distinct(), ["path", "sha"], "left_anti")
+    parsed = files.mapInPandas(_extract(root, modules, patterns), PARSED)
+    if held is not None:
+        parsed = parsed.unionByName(held.select("path", "sha", "kind", "row"))
+    parsed = written_by(parsed, "kind")
     tables = {k: parsed.where(F.col("kind") == k).select(F.from_json("row", s).alias("r")).select("r.*") for k, s in SCHEMAS.items()}
     if tables["files"].where("is_root").isEmpty():
-        parsed.unpersist()
         raise LookupError(f"no Go packages match {', '.join(patterns)} in {root}")
     facts = FactSet(tables, patterns)
-    facts.cached = parsed
+    facts.parsed, facts.of = parsed, of
     if not tables["files"].where("not is_root").isEmpty():
         loaded = checkpointed(all_packages(facts.packages(), tables["imports"]))
         facts.tables = {k: t if k == "errors" else t.join(loaded, "pkg_path", "left_semi") for k, t in tables.items()}

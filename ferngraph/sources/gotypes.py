@@ -111,6 +111,9 @@ class FactSet:
 
     tables: dict[str, DataFrame]
     patterns: list[str] = field(default_factory=list)
+    #: The parsed rows (path, sha, kind, row), and of which folder, patterns and modules.
+    parsed: DataFrame | None = None
+    of: tuple = ()
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]

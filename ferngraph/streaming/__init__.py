@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ferngraph.shipping import ship
-from ferngraph.sources.gofacts import SCHEMAS, _extract
+from ferngraph.sources.gofacts import PARSED, SCHEMAS, _extract
 
 
 def follow_facts(spark: SparkSession, root: str, target: str, checkpoint: str, modules: list[tuple[str, str]] | None = None, **trigger) -> StreamingQuery:
@@ -20,7 +20,7 @@ def follow_facts(spark: SparkSession, root: str, target: str, checkpoint: str, m
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.go").option("recursiveFileLookup", "true").load(root)
     files = files.where(~F.col("path").endswith("_test.go")).select("path", "content")
-    parsed = files.mapInPandas(_extract(os.path.abspath(root), modules or [("", "")], ["./..."]), "kind string, row string")
+    parsed = files.mapInPandas(_extract(os.path.abspath(root), modules or [("", "")], ["./..."]), PARSED)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()

@@ -156,6 +156,21 @@ def test_cache(shop):
         e.list_entrypoints(root, ["./nothing/..."])
 
 
+def test_reload_parses_what_has_changed(spark, tmp_path):
+    for name, text in FILES.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    e, root = Engine(spark), str(tmp_path)
+    assert e.reload_workspace(root)["files"] == {"kept": 0, "parsed": 3, "dropped": 0}
+    assert "deadCaller" in {r["function"].rsplit(".", 1)[-1] for r in e.find_dead_code(root)["items"]}
+    (tmp_path / "main.go").write_text(FILES["main.go"].replace("func main() {", "func main() {\n\tdeadCaller()"))
+    (tmp_path / "api/api.go").unlink()
+    got = e.reload_workspace(root)
+    assert got["files"] == {"kept": 1, "parsed": 1, "dropped": 1} and got["packages"] == 2
+    assert "deadCaller" not in {r["function"].rsplit(".", 1)[-1] for r in e.find_dead_code(root)["items"]}
+    assert {r["caller"] for r in e.find_callers(root, "Store.Save")["items"]} == {"ex.com/shop.main"}
+
+
 def test_catalog_keeps_the_latest():
     made = []
     c = FactCatalog(lambda r, p: made.append((r, p)) or object(), 2)

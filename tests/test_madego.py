@@ -8,7 +8,7 @@ from ferngraph.operators import resolve, types
 from ferngraph.plans import catalogue, madego  # noqa: F401
 
 SMALLEST = "/root/testdata/sf0.001"
-ASKED = ("made_call_edges", "made_callers", "made_dead_code", "made_entrypoints", "made_risks", "made_lifecycles", "made_topology", "made_function_names", "made_import_cycles", "made_routes", "made_grpc", "made_dependents")
+ASKED = ("made_call_edges", "made_callers", "made_dead_code", "made_entrypoints", "made_risks", "made_lifecycles", "made_topology", "made_function_names", "made_import_cycles", "made_routes", "made_grpc", "made_dependents", "made_reload", "made_reload_functions")
 
 
 @pytest.mark.parametrize("name", ASKED)
