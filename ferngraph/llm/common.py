@@ -4,20 +4,16 @@ intermediate tables, and shipping this package to Python workers."""
 from __future__ import annotations
 
 import atexit
-import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferngraph import shipping
-
-#: Bytes of an Arrow batch that goes to a Python worker, whatever the rows' lengths.
-BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+from ferngraph.shipping import BATCH, give_back
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,14 +23,6 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set(*BATCH)
 
 
-def give_back() -> None:
-    """Return freed memory of this Python worker to the system: allocators keep
-    it otherwise, for a worker that may lie idle for the rest of a stage."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
-        trim(0)
-
-
 def lean(run: Callable) -> Callable:
     """A function over batches that gives memory back after each of them."""
 

@@ -2,11 +2,13 @@
 
 import json
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ferngraph.operators import delivery, resolve
-from ferngraph.sources import catalog, config
-from ferngraph.sources.gofacts import go_facts, import_name, matches, normal_patterns, unquoted
+from ferngraph.sources import catalog, config, gofacts
+from ferngraph.sources.gofacts import SLICE, _extract, go_facts, import_name, matches, normal_patterns, unquoted
 from tests.gotree import tree
 
 SHOP = "ex.com/shop"
@@ -531,3 +533,19 @@ def test_interfaces_that_arent_known(spark):
 def test_packages_named_unlike_their_folders(spark):
     facts = made(spark, a='package x\nimport "ex.com/x/go-lib"\nfunc F() { lib.G() }\n', **{"go-lib__l": "package lib\nfunc G() {}\n"})
     assert [(r.caller, r.callee) for r in facts.call_edges().collect()] == [("ex.com/x.F", "ex.com/x/go-lib.G")]
+
+
+def test_facts_of_many_files_come_in_slices():
+    text = "package a\n\nfunc F(a int) int {\n" + "\ta = a + 1\n" * 20 + "\treturn a\n}\n"
+    files = pd.DataFrame([(f"/x/f{k}.go", text.encode()) for k in range(1_000)], columns=["path", "content"])
+    frames = list(_extract("/x", [("", "m")], ["./..."])(iter([files])))
+    assert max(map(len, frames)) < SLICE + 1_000 < sum(map(len, frames))
+    assert set().union(*(set(f["path"]) for f in frames)) == set(files["path"])
+
+
+def test_sources_are_dealt_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(gofacts, "SOURCE", 1_000)
+    rows = [(f"/x/p{k}/a.go", f"package p{k}\n\nfunc F() {{\n{'// a line of text' * 20}\n}}\n".encode()) for k in range(60)]
+    facts = go_facts(spark, "/x", None, [("", "m")], spark.createDataFrame(rows, "path string, content binary"))
+    tasks = facts.parsed.where("kind = 'files'").select(F.input_file_name().alias("f")).distinct().count()
+    assert tasks > 8 and facts["functions"].count() == 60
