@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -85,20 +86,69 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seen
 
 
-def _trimmed(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """Edges between nodes that have ways in and out, among these edges."""
-    while n:
-        kept = edges
-        for _ in range(STEPS):
-            into, out = kept.select(F.col("dst").alias("src")).distinct(), kept.select(F.col("src").alias("dst")).distinct()
-            kept = kept.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
-        kept, (left,) = cut(kept)
-        if left == n:
-            break
-        edges, n = kept, left
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between nodes that have ways in and out, STEPS times among those
+    that are left, and their count."""
+    for _ in range(STEPS):
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")
+    edges, (n,) = cut(edges)
     return edges, n
 
 
+@dataclass
+class _Chains:
+    """Nodes with one way out, taken from a graph: where they get (id, to) by 1,
+    4, 16, ... steps; where those end (id, to) that leave; and the edges that
+    lead to these from elsewhere (src, dst, to)."""
+
+    levels: list[DataFrame]
+    ends: DataFrame
+    entries: DataFrame
+
+
+def _compressed(edges: DataFrame, lone: DataFrame, n: int) -> tuple[DataFrame, int, DataFrame, _Chains]:
+    """The graph without its n nodes that have one way out (id, to), where an
+    edge to such a node leads to its chain's end instead; the cycles among these
+    nodes (id, component); the chains. Steps are doubled twice a round, so that
+    chains and cycles of any length take a round for each fourfold length."""
+    levels, span = [checkpointed(lone.withColumn("low", F.col("id")))], 1
+    while span < n:
+        then = levels[-1].select(F.col("id").alias("to"), F.col("to").alias("then"), F.col("low").alias("least"))
+        far = levels[-1]
+        for _ in range(STEPS):
+            far = far.join(then, "to", "left").select("id", F.coalesce("then", "to").alias("to"), F.least("low", F.coalesce("least", "low")).alias("low"))
+        levels.append(checkpointed(far))
+        span *= STEPS + 1
+    last, own = levels[-1], lone.select("id")
+    rings = checkpointed(last.join(last.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select("id", F.col("low").alias("component")))
+    ends = last.select("id", "to").join(own.withColumnRenamed("id", "to"), "to", "left_anti")
+    outer = edges.join(own.withColumnRenamed("id", "src"), "src", "left_anti")
+    led = outer.join(last.select(F.col("id").alias("dst"), "to"), "dst", "left").join(own.withColumnRenamed("id", "to"), "to", "left_anti")
+    led = checkpointed(led.select("src", "dst", "to"))
+    left, (n,) = cut(led.select("src", F.coalesce("to", "dst").alias("dst")).where("src <> dst").distinct())
+    return left, n, rings, _Chains([x.select("id", "to") for x in levels], ends.select("id", "to"), led.where("to is not null"))
+
+
+def _restored(found: DataFrame, chains: _Chains) -> DataFrame:
+    """found (id, component) with the chains' nodes that lie on a cycle: those
+    after an edge from the component to which the chain leads."""
+    of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    back = chains.entries.join(of("src"), "src", "left").join(of("to"), "to", "left").withColumn("component", F.coalesce("of_to", "to"))
+    back, (n,) = cut(back.where(F.coalesce("of_src", "src") == F.col("component")).select("dst", "to", "component"))
+    if not n:
+        return found
+    marked = back.select(F.col("dst").alias("id"), "component").distinct()
+    for level in chains.levels:
+        step = new = marked
+        for _ in range(STEPS):
+            step = step.join(level, "id").select(F.col("to").alias("id"), "component")
+            new = new.unionByName(step)
+        marked = checkpointed(new.distinct().join(chains.ends.select("id"), "id", "left_semi"))
+    heads = back.select(F.col("to").alias("id"), "component").distinct().join(found.select("id"), "id", "left_anti")
+    return checkpointed(found.unionByName(marked).unionByName(heads))
+
+
 def _coloured(edges: DataFrame) -> DataFrame:
     """(id, c): the smallest id that reaches each node, itself included."""
     start = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
@@ -126,23 +176,33 @@ def _reaching(same: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each node's strongly connected
     component, over edges (src, dst). Rounds cut off nodes without a way in or
-    out, colour the others with the smallest id that reaches them, and take the
+    out and compress chains of nodes with one way out. If both leave what there
+    is, they colour it with the smallest id that reaches a node, and take the
     nodes of a colour that reach its namesake: these are its component."""
     pairs = checkpointed(edges.select("src", "dst").distinct())
     nodes = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
     left, (n,) = cut(pairs.where("src <> dst"))
-    done = None
+    found, taken = nodes.limit(0).withColumn("component", F.col("id")), []
+    rounds = 0
     while n:
-        left, n = _trimmed(left, n)
+        before, rounds = n, rounds + 1
+        left, n = _trimmed(left)
         if not n:
             break
-        colour = _coloured(left)
-        ends = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
-        same = checkpointed(ends.where("cs = cd").select("src", "dst", "cs"))
-        found = checkpointed(_reaching(same))
-        done = found if done is None else done.unionByName(found)
-        gone = found.select("id")
-        left, (n,) = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
-    if done is None:
-        return nodes.withColumn("component", F.col("id"))
-    return nodes.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        lone, (k,) = cut(left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1").select("id", "to"))
+        if k and (8 * k >= n or rounds > 3):
+            left, n, rings, chains = _compressed(left, lone, k)
+            taken.append(chains)
+            found, rounds = checkpointed(found.unionByName(rings)), 0
+        elif n == before:
+            colour = _coloured(left)
+            ends = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
+            same = checkpointed(ends.where("cs = cd").select("src", "dst", "cs"))
+            new = checkpointed(_reaching(same))
+            found, rounds = checkpointed(found.unionByName(new)), 0
+            gone = new.select("id")
+            left, (n,) = cut(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    for chains in reversed(taken):
+        found = _restored(found, chains)
+    least = found.groupBy("component").agg(F.min("id").alias("least"))
+    return nodes.join(found.join(least, "component").select("id", "least"), "id", "left").select("id", F.coalesce("least", "id").alias("component"))
