@@ -3,7 +3,9 @@ import random
 import pytest
 
 from ferngraph.operators import calls, liveness, packages
-from ferngraph.plans import graphs
+from ferngraph.plans import bindings, catalogue, graphs
+
+SMALLEST = "/root/testdata/sf0.001"
 
 
 def edges(spark, pairs):
@@ -99,3 +101,15 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     got = {r.id: r.component for r in graphs.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == {x: 0 if x < 300 or x in (400, 401) else x for x in {x for p in pairs for x in p}}
     assert len(tables) < 40
+
+
+def test_rows_are_dealt_by_their_count(spark, monkeypatch):
+    """Joins and groups of a walk have parts for their rows, not a fixed number."""
+    plain = {tuple(r) for r in catalogue.QUERIES["callers_d3"](spark, SMALLEST).collect()}
+    monkeypatch.setattr(graphs, "ROWS", 200)
+    for few in (graphs.FEW, 5):
+        monkeypatch.setattr(calls, "FEW", few)
+        monkeypatch.setattr(bindings, "FEW", few)
+        got = catalogue.QUERIES["callers_d3"](spark, SMALLEST)
+        assert {tuple(r) for r in got.collect()} == plain and got.rdd.getNumPartitions() > 8
+    assert bindings.graph(spark, SMALLEST).rdd.getNumPartitions() > 8
