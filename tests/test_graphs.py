@@ -113,3 +113,9 @@ def test_rows_are_dealt_by_their_count(spark, monkeypatch):
         got = catalogue.QUERIES["callers_d3"](spark, SMALLEST)
         assert {tuple(r) for r in got.collect()} == plain and got.rdd.getNumPartitions() > 8
     assert bindings.graph(spark, SMALLEST).rdd.getNumPartitions() > 8
+
+
+def test_no_trimming_where_nothing_is_loose(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "_trimmed", None)
+    pairs = [(k, (k + s) % 12) for k in range(12) for s in (1, 2)]
+    assert {tuple(r) for r in graphs.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()} == {(k, 0) for k in range(12)}
