@@ -549,3 +549,23 @@ def test_sources_are_dealt_by_their_bytes(spark, monkeypatch):
     facts = go_facts(spark, "/x", None, [("", "m")], spark.createDataFrame(rows, "path string, content binary"))
     tasks = facts.parsed.where("kind = 'files'").select(F.input_file_name().alias("f")).distinct().count()
     assert tasks > 8 and facts["functions"].count() == 60
+
+
+def test_sources_are_dealt_by_their_bytes_whatever_the_joins(spark, monkeypatch):
+    """Sources, and facts that are kept, also where joins shuffle: these have the
+    session's number of parts, 4 here, unless both sides are dealt alike."""
+    monkeypatch.setattr(gofacts, "SOURCE", 1_000)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(f"/x/p{k}/a.go", f'package p{k}\n\nimport . "x/p{k + 1}"\n\nfunc F{k}() {{\n{"// a line of text" * 20}\n}}\n'.encode()) for k in range(60)]
+        files = spark.createDataFrame(rows, "path string, content binary")
+        before = go_facts(spark, "/x", None, [("", "x")], files)
+        after = go_facts(spark, "/x", None, [("", "x")], files.where("path <> '/x/p7/a.go'"), before)
+        for facts, n in ((before, 60), (after, 59)):
+            tasks = facts.parsed.where("kind = 'files'").select(F.input_file_name().alias("f")).distinct().count()
+            assert tasks > 8 and facts["functions"].count() == n
+        states = gofacts.changed_files(before, after).groupBy("state").count().collect()
+        assert {r["state"]: r["count"] for r in states} == {"kept": 58, "dropped": 1, "parsed": 1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
