@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,30 +59,42 @@ def resolve_all(functions: DataFrame, asked: DataFrame) -> DataFrame:
     leaves, the first of them, and up to 20 of them where they are several. stage
     is null and n 0 if nothing has the name.
 
-    An inverted index of spellings is joined once as written and once folded, so
-    the names may be as many as the functions; names that many functions have
-    are aggregated before anything is listed."""
-    names = asked.select("asked").where("asked is not null").distinct()
+    An inverted index of spellings is joined once as written and once folded, by
+    each spelling once: many names may share one, such as a method's name at their
+    ends, and what it means is summed up before it goes to them. So no step has
+    names times functions, however many have the same."""
+    names = asked.select("asked").where("asked is not null").distinct().withColumn("low", F.lower("asked"))
+    names = names.withColumn("last", F.when(F.col("low").contains("."), F.element_at(F.split("low", r"\."), -1)))
     rows = aliases(functions).withColumn("made", F.coalesce("synthetic", F.lit("")) != "")
-    index = rows.select("fn_id", "is_root", "made", F.explode("aliases").alias("alias")).distinct()
-    folded = index.select("fn_id", "is_root", "made", F.lower("alias").alias("alias")).distinct()
-    method = rows.where(F.coalesce("recv_type", F.lit("")) != "").select("fn_id", "is_root", "made", F.lower("name").alias("alias"))
-    low = names.withColumn("low", F.lower("asked"))
-    last = low.where(F.col("low").contains(".")).withColumn("low", F.element_at(F.split("low", r"\."), -1))
-    columns = ["asked", "fn_id", "is_root", "made"]
-    exact = names.join(index, names["asked"] == index["alias"]).select(*columns, F.when(F.col("is_root"), 1).otherwise(2).alias("stage"))
-    loose = [a.join(b, F.col("low") == F.col("alias")).select(*columns, F.when(F.col("is_root"), 3).otherwise(4).alias("stage")) for a, b in ((low, folded), (last, method))]
-    found = exact.unionByName(loose[0]).unionByName(loose[1])
-    # the least of (stage, not in roots, made) wins; of its functions each counts once
-    level = F.struct("stage", (~F.col("is_root")).alias("outside"), "made")
-    best = found.groupBy("asked").agg(F.min(level).alias("best"))
-    top = found.select("asked", "fn_id", level.alias("best")).join(best, ["asked", "best"]).select("asked", "best", "fn_id").distinct()
-    counts = top.groupBy("asked", F.col("best.stage").alias("stage")).agg(F.count("*").alias("n"), F.min("fn_id").alias("fn_id"))
-    several = top.join(counts.where("n > 1").select("asked"), "asked")
-    w = Window.partitionBy("asked").orderBy("fn_id")
-    others = several.withColumn("_k", F.row_number().over(w)).where("_k <= 20").groupBy("asked").agg(F.sort_array(F.collect_list("fn_id")).alias("others"))
-    out = names.join(counts, "asked", "left").join(others, "asked", "left")
-    return out.select("asked", F.col("stage").cast("int").alias("stage"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "fn_id", "others")
+    rows = rows.withColumn("method", F.when(F.coalesce("recv_type", F.lit("")) != "", F.lower("name")))
+    index = rows.select("fn_id", "is_root", "made", "method", F.explode("aliases").alias("alias"))
+    exact = names.select("asked").join(index, F.col("asked") == F.col("alias"))
+    # of a name's folded matches, those that its last part means as well are counted there
+    folded = names.select("low", "last").distinct().join(index.withColumn("alias", F.lower("alias")), F.col("low") == F.col("alias"))
+    folded = folded.where(~F.col("last").eqNullSafe(F.col("method")) | F.col("last").isNull())
+    methods = names.select("last").where("last is not null").distinct().join(rows, F.col("last") == F.col("method"))
+    out = names
+    for k, (found, key, stage) in enumerate(((exact, "asked", 1), (folded, "low", 3), (methods, "last", 3))):
+        out = out.join(_meaning(found, key, stage, k), key, "left")
+    # the least of (stage, not in roots, made) wins
+    best = F.least("level0", "level1", "level2")
+    won = lambda c, other: [F.when(F.col(f"level{k}") == best, F.col(f"{c}{k}")).otherwise(other) for k in range(3)]
+    n = reduce(lambda x, y: x + y, won("n", F.lit(0).cast("long")))
+    first = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in won("first", F.lit(None))])
+    others = F.when(n > 1, F.slice(F.array_sort(first), 1, 20))
+    return out.select("asked", best["stage"].cast("int").alias("stage"), n.alias("n"), F.least(*won("fn", F.lit(None))).alias("fn_id"), others.alias("others"))
+
+
+def _meaning(found: DataFrame, key: str, stage: int, k: int) -> DataFrame:
+    """(key, level, n, fn, first), all but the key with k behind: the best level of
+    the functions found for a spelling, how many have it, the first and up to 20 of them."""
+    level = F.struct(F.when(F.col("is_root"), stage).otherwise(stage + 1).alias("stage"), (~F.col("is_root")).alias("outside"), "made")
+    each = found.select(key, level.alias("level"), "fn_id").distinct()
+    best = each.groupBy(key, "level").agg(F.count("*").alias("n"), F.min("fn_id").alias("fn")).groupBy(key).agg(F.min(F.struct("level", "n", "fn")).alias("m")).select(key, "m.*")
+    w = Window.partitionBy(key, "level").orderBy("fn_id")
+    first = each.withColumn("_k", F.row_number().over(w)).where("_k <= 20").groupBy(key, "level").agg(F.sort_array(F.collect_list("fn_id")).alias("first"))
+    rows = best.join(first, [key, "level"])
+    return rows.select(key, *[F.col(c).alias(f"{c}{k}") for c in ("level", "n", "fn", "first")])
 
 
 def resolve(functions: DataFrame, query: str) -> str:

@@ -54,3 +54,29 @@ def test_many_names_as_one_by_one(spark):
         assert got[a].n == len(one), a
         assert (got[a].fn_id, got[a].stage) == (one[0] if one else (None, None)), a
         assert (got[a].others or []) == ([f for f, _ in one][:20] if len(one) > 1 else []), a
+
+
+FUNCTION = "fn_id string, name string, pkg_path string, pkg_name string, recv_type string, is_root boolean, synthetic string"
+
+
+def _most_rows(node) -> int:
+    """The most rows that a node of an executed plan made."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _most_rows(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _most_rows(node.plan())
+    made = node.metrics().get("numOutputRows")
+    kids = node.children()
+    return max([made.get().value() if made.isDefined() else 0, *(_most_rows(kids.apply(i)) for i in range(kids.size()))])
+
+
+def test_names_that_end_alike_are_not_multiplied(spark):
+    """Where n names end with the name of n methods, no step has n times n rows."""
+    n = 500
+    functions = spark.createDataFrame([(f"(*x/p{k}.Node).Touch", "Touch", f"x/p{k}", f"p{k}", f"*x/p{k}.Node", True, "") for k in range(n)], FUNCTION)
+    got = resolve.resolve_all(functions, spark.createDataFrame([(f"q{k}.node.touch",) for k in range(n)], "asked string"))
+    rows = got.collect()
+    assert len(rows) == n and {(r.stage, r.n, r.fn_id) for r in rows} == {(3, n, "(*x/p0.Node).Touch")}
+    assert all(len(r.others) == 20 and r.others == sorted(r.others) for r in rows)
+    assert _most_rows(got._jdf.queryExecution().executedPlan()) < 20 * n
