@@ -4,8 +4,9 @@ computes from the same tables; operators over many names and interfaces."""
 import duckdb
 import pytest
 
-from ferngraph.operators import resolve, types
+from ferngraph.operators import calls, resolve, types
 from ferngraph.plans import catalogue, madego  # noqa: F401
+from ferngraph.sources.gofacts import go_facts
 
 SMALLEST = "/root/testdata/sf0.001"
 ASKED = ("made_call_edges", "made_callers", "made_dead_code", "made_entrypoints", "made_risks", "made_lifecycles", "made_topology", "made_function_names", "made_import_cycles", "made_routes", "made_grpc", "made_dependents", "made_reload", "made_reload_functions")
@@ -80,3 +81,18 @@ def test_names_that_end_alike_are_not_multiplied(spark):
     assert len(rows) == n and {(r.stage, r.n, r.fn_id) for r in rows} == {(3, n, "(*x/p0.Node).Touch")}
     assert all(len(r.others) == 20 and r.others == sorted(r.others) for r in rows)
     assert _most_rows(got._jdf.queryExecution().executedPlan()) < 20 * n
+
+
+def test_interfaces_that_nothing_calls_meet_no_types(spark, monkeypatch):
+    """n interfaces with a method that n types have, of which one is called: no
+    step has n times n rows, and the call leads to all types."""
+    n = 60
+    of = lambda k: f"package q{k}\n\ntype Server interface{{ Get() }}\n\ntype impl struct{{}}\n\nfunc (impl) Get() {{}}\n"
+    texts = {f"/x/q{k}/a.go": of(k) for k in range(n)} | {"/x/r/a.go": 'package r\n\nimport "m/q0"\n\nfunc Run(s q0.Server) { s.Get() }\n'}
+    files = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()], "path string, content binary")
+    seen, made = [], calls.class_hierarchy_edges
+    monkeypatch.setattr(calls, "class_hierarchy_edges", lambda static, through, impl: seen.append(impl) or made(static, through, impl))
+    got = go_facts(spark, "/x", None, [("", "m")], files).call_edges().collect()
+    assert {(r.caller, r.callee, r.call_type) for r in got} == {("m/r.Run", f"(m/q{k}.impl).Get", "Interface") for k in range(n)}
+    assert len(seen[0].collect()) == n
+    assert _most_rows(seen[0]._jdf.queryExecution().executedPlan()) < 10 * n
