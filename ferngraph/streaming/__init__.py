@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ferngraph.shipping import ship
-from ferngraph.sources.gofacts import PARSED, SCHEMAS, _extract
+from ferngraph.sources.gofacts import PARSED, SCHEMAS, _extract, facts_in
 
 
 def follow_facts(spark: SparkSession, root: str, target: str, checkpoint: str, modules: list[tuple[str, str]] | None = None, **trigger) -> StreamingQuery:
@@ -24,9 +24,8 @@ def follow_facts(spark: SparkSession, root: str, target: str, checkpoint: str, m
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for kind, columns in SCHEMAS.items():
-            rows = batch.where(F.col("kind") == kind).select(F.from_json("row", columns).alias("r")).select("r.*")
-            rows.write.mode("overwrite").parquet(f"{target}/{kind}/batch={number}")  # a batch run again replaces its own files
+        for kind in SCHEMAS:
+            facts_in(batch, kind).write.mode("overwrite").parquet(f"{target}/{kind}/batch={number}")  # a batch run again replaces its own files
         batch.unpersist()
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
